@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrail.llm import quality_rules
+from loomtrail.llm import bpe, quality_rules, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": token_files.op1_token_files,
+    "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
 }
 
