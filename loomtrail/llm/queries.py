@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrail.llm import bpe, quality_rules, token_files
+from loomtrail.llm import bpe, near_vectors, packing, pairwise_quality, quality_rules, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_packing": packing.op6_packing,
+    "op7_warc_audit": warc.op7_warc_audit,
+    "op8_near_vectors": near_vectors.op8_near_vectors,
+    "op10_pairwise_quality": pairwise_quality.op10_pairwise_quality,
 }
 
-ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules.oracle()}
+ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules.oracle(), "op7_warc_audit": warc.oracle()}
