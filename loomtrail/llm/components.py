@@ -46,22 +46,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= CHUNK:
+        if n > CHUNK:
             yield out(held)
             held, n = [], 0
     if n:
         yield out(held)
 
 
+def _labels(stars: DataFrame) -> DataFrame:
+    return stars.selectExpr("a as node", "b as component").union(stars.selectExpr("b", "b").distinct())
+
+
 def components(edges: DataFrame, stages: Stages, name: str = "components") -> DataFrame:
     """(node, component) for each node of an edge; component is the least node that is reachable."""
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    e = stages.write(edges.mapInArrow(_contract, "a long, b long"), f"{name}-0")  # a > b from here on
+    edges = stages.write(edges, f"{name}-edges")
+    few = edges.count() <= CHUNK
+    e = stages.write((edges.coalesce(1) if few else edges).mapInArrow(_contract, "a long, b long"), f"{name}-0")  # a > b from here on
+    if few:  # one chunk holds them all, and is contracted whole
+        return _labels(e)
     k, was = 0, None
     while True:
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == was:
-            return e.selectExpr("a as node", "b as component").union(e.selectExpr("b", "b").distinct())
+            return _labels(e)
         both = e.union(e.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").selectExpr("v as a", "m as b").distinct()
