@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrail.llm import bpe, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, token_files, warc
+from loomtrail.llm import bpe, chain_dedup, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": packing.op6_packing,
     "op7_warc_audit": warc.op7_warc_audit,
     "op8_near_vectors": near_vectors.op8_near_vectors,
+    "op9_chain_dedup": chain_dedup.op9_chain_dedup,
     "op10_pairwise_quality": pairwise_quality.op10_pairwise_quality,
 }
 
