@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomtrail.llm import chain_dedup, ngram_join, packing, pairwise_quality, quality_rules
 from loomtrail.llm.common import Stages
@@ -16,15 +15,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    names = docs.columns
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return quality_rules.measure(docs).where(~base & quality_rules.verdict()).select(*names)
+    return quality_rules.kept_rows(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking predicts as good; it learns from the labels of the documents given."""
     model = pairwise_quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return pairwise_quality.score(docs, model).where(pairwise_quality.predicted() == 1).select(*docs.columns)
+    return pairwise_quality.kept_rows(docs, model)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,6 +91,16 @@ def quality_rules(docs: DataFrame, text_col: str = "text", thresholds: list[tupl
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
 
 
+def kept_rows(docs: DataFrame, text_col: str = "text", thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
+    """The rows of ``docs`` that the base rule and the table keep, with their columns.
+
+    The row number keeps the filter above the projection: pushed below it, every condition would repeat all counts.
+    """
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    kept = measure(docs.withColumn("_text", F.col(text_col)), "_text").withColumn("_kept", ~base & verdict(thresholds))
+    return kept.withColumn("_row", F.monotonically_increasing_id()).where("_kept and _row >= 0").select(*docs.columns)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
