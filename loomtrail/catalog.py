@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+from loomtrail.plans import choices, documents, joins, logs, runs, scores
+
+_FAMILIES = (scores, logs, joins, runs, choices, documents)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLE.items()}
+FLAGSHIP = "pass_at_k"
