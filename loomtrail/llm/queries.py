@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrail.llm import bpe, chain_dedup, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, token_files, warc
+from loomtrail.llm import bpe, chain_dedup, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, suffix_dedup, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_packing": packing.op6_packing,
