@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ BASE = 0x9E3779B97F4A7C15
 MIX1 = 0xBF58476D1CE4E5B9
 MIX2 = 0x94D049BB133111EB
 #: Bytes of text that are hashed at once inside a task.
-SPAN = 2 << 20
+SPAN = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +47,7 @@ class Stages:
         """Deletes a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of jobs that are over
 
 
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,33 +155,6 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndar
     return mix(out[keep]), row[keep], at[keep]
 
 
-class Pieces:
-    """Ids of pieces of text, each encoded once by a worker; all are forgotten once there are more than ``most``."""
-
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 300_000) -> None:
-        self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces in a row, and the number of ids of each piece."""
-        if len(self.index) > self.most:
-            self.clear()
-        index = self.index
-        if new := [x for x in dict.fromkeys(pieces) if x not in index]:
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-            got = self.encode(new)
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.int32, int(size.sum()))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-            self.ids, self.size = np.concatenate([self.ids, flat]), np.concatenate([self.size, size])
-        at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-        return self.ids[ragged(self.start[at], self.size[at])], self.size[at]
-
-
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for size[0] values, then the same for each further range."""
     before = np.cumsum(size) - size

@@ -19,7 +19,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Code points of Unicode's White_Space (fixed values).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Bytes of text that are handled at once.
-CHUNK = 1 << 20
+CHUNK = 512 << 10
 #: The first combining mark: texts without code points from here on are in composed form.
 MARKS = 0x300
 
@@ -175,7 +175,8 @@ def joined(encode: Callable[[list[str]], list[list[int]]], mark: str, mark_id: i
         apart = set(single)
         plain = [i for i in range(len(pieces)) if i not in apart]
         texts = [mark.join([pieces[i] for i in plain[k : k + 500]]) + mark for k in range(0, len(plain), 500)]
-        ids = np.array([i for x in encode(texts) for i in x], np.int32) if texts else np.zeros(0, np.int32)
+        parts = [np.array([i for x in encode(texts[k : k + 16]) for i in x], np.int32) for k in range(0, len(texts), 16)]
+        ids = np.concatenate([np.zeros(0, np.int32), *parts])
         ends = np.flatnonzero(ids == mark_id)
         assert len(ends) == len(plain), "each mark must give one id"
         size = np.diff(ends, prepend=-1) - 1

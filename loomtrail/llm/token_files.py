@@ -18,56 +18,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrail.llm.common import Pieces, Stages, buffers, spans
+from loomtrail.llm.common import Stages
+from loomtrail.llm.pretokens import Ids, chunks, gpt_pieces, joined
 
 SCHEMA = "part int, before long, doc_id long, n_tokens long, ids array<int>"
 #: Bytes of a row group and of a page, before compression.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 END_ID = 2
 
-_WORKER: dict[str, Pieces] = {}
+_WORKER: dict[str, Ids] = {}
 
 
-def byte_bpe(path: str) -> Pieces:
-    """The tokenizers library's encoder, asked once per pre-token of a worker."""
+def byte_bpe(path: str) -> Ids:
+    """The tokenizers library's encoder, asked once per pre-token of a worker; a line feed is a pre-token of its own."""
     if path not in _WORKER:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _WORKER[path] = Pieces(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        (mark,) = library(["\n"])[0]
+        _WORKER[path] = Ids(joined(library, "\n", mark, lambda x: x[-1].isspace()), gpt_pieces)
     return _WORKER[path]
 
 
-def encoded(texts: list[str], pieces: Pieces, split: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in a row, and the number of ids of each text."""
-    found, counts = [], []
-    for text in texts:
-        words = split.findall(text)
-        counts.append(len(words))
-        found += words
-    ids, size = pieces(found)
-    ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-    return ids, np.diff(ends, prepend=0)
-
-
 def with_end(ids: np.ndarray, size: np.ndarray, end_id: int) -> np.ndarray:
     """Appends ``end_id`` to each document's ids."""
     return np.insert(ids, np.cumsum(size), end_id)
 
 
 def encode_partition(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    pieces, split = byte_bpe(path), regex.compile(public_tokenizers.PATTERN)
+    ids_of = byte_bpe(path)
     part, before = TaskContext.get().partitionId(), 0
     for batch in batches:
-        text = batch.column("text")
-        for lo, hi in spans(buffers(text)[1]):
-            ids, size = encoded([x or "" for x in text[lo:hi].to_pylist()], pieces, split)
+        for lo, hi, texts in chunks(batch.column("text")):
+            ids, size = ids_of(texts)
             ids, size = with_end(ids, size, end_id), size + 1
             ends = np.cumsum(size)
             yield pa.RecordBatch.from_arrays(
