@@ -37,7 +37,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of tokens."""
-    return packing.digests(packing.packed(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
 STAGES: list[tuple[str, Stage]] = [("quality rules", rules), ("quality classifier", classifier), ("n-gram join", near_copies), ("substring dedup", passages), ("packing", windows)]

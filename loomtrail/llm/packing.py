@@ -27,7 +27,7 @@ from loomtrail.llm.pretokens import Ids, chunks, joined, word_pieces
 from loomtrail.llm.token_files import END_ID, list_crc32, with_end
 
 WINDOW = 4096
-SHARD_TOKENS, SHARD_DOCS = 2_000_000, 4096
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
 #: Terms of a seed that are looked up, BM25's constants, and neighbours asked for at once.
 TERMS, K1, B, NEIGHBOURS = 24, 1.2, 0.75, 16
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
@@ -42,12 +42,10 @@ def _word_bpe(path: str) -> Ids:
 
         tokenizer = Tokenizer.from_file(path)
         mark, mark_id = max((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items())
-        plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
 
         def library(texts: list[str]) -> list[list[int]]:
-            own = tokenizer if texts and texts[0].endswith(mark) else plain
-            return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+            tokenizer.encode_special_tokens = not texts[0].endswith(mark)  # only the marks that stand between pieces are special
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         _WORKER[path] = Ids(joined(library, mark, mark_id, lambda x: "<|" in x or "|>" in x), word_pieces)
     return _WORKER[path]
@@ -173,8 +171,11 @@ def _binary(pieces: list[tuple[int, int, int, int, int]], last: int) -> list[tup
     return out
 
 
-def pack(tokens: DataFrame) -> DataFrame:
-    """Pieces of all documents of ``tokens`` (doc_id, ids), which must be a table that is read the same way each time."""
+def pack(tokens: DataFrame, digest: bool = False) -> DataFrame:
+    """Pieces of all documents of ``tokens`` (doc_id, ids), which must be a table that is read the same way each time.
+
+    With ``digest`` the pieces' ids are given as ids_crc32 only.
+    """
     df, n_docs, n_ids = frequencies(tokens)
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5)) if n_docs else np.zeros(0)
     mean = n_ids / max(n_docs, 1)
@@ -192,8 +193,8 @@ def pack(tokens: DataFrame) -> DataFrame:
             flat = np.concatenate([ids[a : a + n] for a, n in zip(at[part], length[part], strict=True)])
             own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length[part])]).astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks().take(pa.array(doc[part])), pa.array(start[part]), pa.array(length[part]), own, pa.array(size[doc[part]]), pa.array((number << 20) + sequence[part]), pa.array(offset[part])],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                [table["doc_id"].combine_chunks().take(pa.array(doc[part])), pa.array(start[part]), pa.array(length[part]), list_crc32(own) if digest else own, pa.array(size[doc[part]]), pa.array((number << 20) + sequence[part]), pa.array(offset[part])],
+                names=["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,24 +213,13 @@ def pack(tokens: DataFrame) -> DataFrame:
         if docs:
             yield from shard(held, number)
 
-    return tokens.select("doc_id", "ids").mapInArrow(each, PIECES)
-
-
-def packed(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Pieces of all documents; their ids are in ``ids``."""
-    return pack(Stages(docs.sparkSession, "packing").write(encode(docs, tokenizer), "tokens", compression="zstd"))
-
+    return tokens.select("doc_id", "ids").mapInArrow(each, PIECES.replace("ids array<int>", "ids_crc32 long") if digest else PIECES)
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """Replaces ``ids`` by ids_crc32."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([list_crc32(b.column("ids")) if c == "ids_crc32" else b.column(c) for c in names], names=names)
 
-    return pieces.mapInArrow(each, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+def packed(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
+    """Pieces of all documents; their ids are in ``ids``, or with ``digest`` in ids_crc32."""
+    return pack(Stages(docs.sparkSession, "packing").write(encode(docs, tokenizer), "tokens", compression="zstd"), digest)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")))
+    return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
