@@ -13,8 +13,8 @@ either hold l shared ones: a longer prefix must match more often before a pair i
 
 Candidates are checked on whole sets. As a group of near copies is one component, its pairs need not all be checked:
 each round a document is held against the member of another component that it shares most with, components are
-merged, and when the pairs left across components are no longer many, all of them are checked that share min(l, l')
-prefix elements. Pairs within a component change nothing and are never made.
+merged, and when few of these checks give links any more, all pairs left across components are checked that share
+min(l, l') elements, at places and of sizes that leave room for the threshold. Pairs within a component change nothing and are never made.
 
 Null and empty texts have no shingles and are linked with nothing; a text of fewer than five words is one shingle. Rows
 without an id are left out, and of rows that share an id the greatest text is used. Other columns are ignored.
@@ -40,6 +40,8 @@ PERCENT, WORDS = 75, 5
 MOST_MATCHES, CHECK_COST = 8, 8
 #: Shingles of a block, and pivot rounds at most before all pairs across components are checked.
 BLOCK, ROUNDS = 400_000, 10
+#: Pivot rounds go on while this share of the pairs checked gives links.
+LEAST_GAIN = 0.2
 
 
 def least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -276,10 +278,10 @@ def _postings(percent: int):
             token, count = own[known], df[at[known]]
             order = np.lexsort((token, count))
             l, size = adaptive(count[order], n - len(token), n, percent)
-            rows.append((doc, n, l, token[order[:size]]))
-        size = np.array([len(r[3]) for r in rows], np.int64)
-        flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
-        return pd.DataFrame({"token": flat.astype(np.int64), **{c: np.repeat(np.array([r[k] for r in rows], np.int64), size) for k, c in enumerate(("doc_id", "n", "l"))}})
+            rows.append((doc, n, l, len(token), token[order[:size]]))
+        size = np.array([len(r[-1]) for r in rows], np.int64)
+        flat = np.concatenate([r[-1] for r in rows]) if rows else np.zeros(0, np.uint64)
+        return pd.DataFrame({"token": flat.astype(np.int64), **{c: np.repeat(np.array([r[k] for r in rows], np.int64), size) for k, c in enumerate(("doc_id", "n", "l", "known"))}, "behind": np.concatenate([r[3] - np.arange(len(r[-1])) for r in rows]) if rows else size})
 
     return each
 
@@ -305,20 +307,21 @@ def links(sets: DataFrame, posts: DataFrame, stages: Stages, percent: int) -> Da
         full = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return stages.write(full.mapInArrow(_verified(percent), "a long, b long"), name)
 
-    n_posts, found, tested, label = posts.count(), None, None, None
+    found, tested, label, gain = None, None, None, 1.0
     for k in range(ROUNDS + 1):
         own = posts.withColumn("part", F.col("doc_id")) if label is None else posts.join(label.toDF("doc_id", "c"), "doc_id", "left").withColumn("part", F.coalesce("c", "doc_id")).drop("c")
         parts = own.groupBy("token", "part").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id")).alias("pick"))
-        mixed = parts.groupBy("token").agg(F.max(F.struct("m", (-F.col("part")).alias("p"), F.col("pick.doc_id").alias("pivot"))).alias("top"), F.expr("(sum(m) * sum(m) - sum(m * m)) / 2").alias("cross"), F.count("*").alias("kinds")).where("kinds > 1")
-        mixed = stages.write(mixed.selectExpr("token", "top.pivot", "-top.p as top_part", "cast(cross as double) as cross"), f"mixed-{k}")
-        cross = mixed.agg(F.sum("cross")).first()[0]
-        if not cross:
+        mixed = parts.groupBy("token").agg(F.max(F.struct("m", (-F.col("part")).alias("p"), F.col("pick.doc_id").alias("pivot"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+        own = own.join(mixed.selectExpr("token", "top.pivot", "-top.p as top_part"), "token")
+        posts = stages.write(own.drop("pivot", "top_part", "part"), f"posts-{k}")  # the others can link nothing new
+        if posts.isEmpty():
             break
-        own = own.join(mixed.select("token", "pivot", "top_part"), "token")
-        last = k == ROUNDS or cross <= 2 * n_posts
+        last = k == ROUNDS or gain < LEAST_GAIN
         if last:
-            a, b = (own.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "l", "part"))) for s in "ab")
-            near = (F.col("doc_ida") < F.col("doc_idb")) & (F.col("parta") != F.col("partb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            a, b = (own.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "l", "part", "known", "behind"))) for s in "ab")
+            # the l-th shared element has l - 1 before it and no more than the rest of either document from it on
+            room = F.least("behinda", "behindb") + F.least("la", "lb") - 1
+            near = (F.col("doc_ida") < F.col("doc_idb")) & (F.col("parta") != F.col("partb")) & ((100 + percent) * F.least("knowna", "knownb", room) >= percent * (F.col("na") + F.col("nb")))
             pairs = a.join(b, "token").where(near).groupBy(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("needed")).where("shared >= needed").select("a", "b")
             pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         else:
@@ -330,6 +333,7 @@ def links(sets: DataFrame, posts: DataFrame, stages: Stages, percent: int) -> Da
         found = new if found is None else found.union(new)
         if last:
             break
+        gain = new.count() / max(pairs.count(), 1)
         tested = pairs if tested is None else tested.union(pairs)
         label = stages.write(components(found, stages, f"label-{k}"), f"label-{k}")
     return found
@@ -349,7 +353,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = dealt.select("bucket", "block", "blob").mapInArrow(_by_bucket(_summed, "block blob"), "block long, blob binary")
     none = F.lit(None)
     rows = single.select("block", "doc_id", "set", none.cast("binary").alias("blob")).union(told.select("block", none.cast("long"), none.cast("binary"), "blob"))
-    posts = stages.write(rows.groupBy("block").applyInPandas(_postings(percent), "token long, doc_id long, n long, l long"), "posts")
+    posts = stages.write(rows.groupBy("block").applyInPandas(_postings(percent), "token long, doc_id long, n long, l long, known long, behind long"), "posts")
     found = links(single, posts, stages, percent)
     member = sets.select("doc_id", "digest").join(classes, "digest").select("doc_id", "first")
     if found is not None:
