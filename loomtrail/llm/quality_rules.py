@@ -35,6 +35,11 @@ THRESHOLDS = [
 ]
 
 
+def settled(c: Column) -> Column:
+    """The same value, which the optimizer does not move: a filter on it would otherwise repeat all counts below it, once per use."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def repeat_words(df: DataFrame, words: str = "words") -> DataFrame:
     """Adds n_repeat_words: the words that lie in a 3-word window found twice or more in the same text.
 
@@ -55,7 +60,7 @@ def repeat_words(df: DataFrame, words: str = "words") -> DataFrame:
     p, k = F.col("_places"), F.greatest(F.size("_places") - 1, F.lit(0))
     gaps = F.zip_with(F.slice(p, F.lit(1), k), F.slice(p, F.lit(2), k), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.aggregate(gaps, F.lit(3), lambda acc, x: acc + x)
-    return df.withColumn("n_repeat_words", F.when(F.size("_places") > 0, covered).otherwise(0).cast("long")).drop("_windows", "_places")
+    return df.withColumn("n_repeat_words", settled(F.when(F.size("_places") > 0, covered).otherwise(0).cast("long"))).drop("_windows", "_places")
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -81,24 +86,25 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def verdict(thresholds: list[tuple] = THRESHOLDS) -> Column:
     """The table as one boolean expression; a ratio without a value (no words) fails."""
-    return reduce(lambda a, b: a & b, (F.coalesce(F.expr(ratio).between(least, most), F.lit(False)) for _, ratio, least, most in thresholds))
+    def value(ratio: str) -> Column:
+        count, _, of = ratio.partition(" / ")
+        return F.try_divide(F.col(count), F.col(of)) if of else F.col(count)
+
+    return reduce(lambda a, b: a & b, (F.coalesce(value(ratio).between(least, most), F.lit(False)) for _, ratio, least, most in thresholds))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
     """All columns of ``docs`` are dropped but doc_id; adds the counts, base_failed and kept."""
     out = measure(docs.select("doc_id", F.col(text_col).alias("text"))).drop("text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict(thresholds))
+    return out.withColumns({"base_failed": settled(base), "kept": settled(~base & verdict(thresholds))})
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
-    """The rows of ``docs`` that the base rule and the table keep, with their columns.
-
-    The row number keeps the filter above the projection: pushed below it, every condition would repeat all counts.
-    """
+    """The rows of ``docs`` that the base rule and the table keep, with their columns."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = measure(docs.withColumn("_text", F.col(text_col)), "_text").withColumn("_kept", ~base & verdict(thresholds))
-    return kept.withColumn("_row", F.monotonically_increasing_id()).where("_kept and _row >= 0").select(*docs.columns)
+    kept = measure(docs.withColumn("_text", F.col(text_col)), "_text").withColumn("_kept", settled(~base & verdict(thresholds)))
+    return kept.where("_kept").select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
