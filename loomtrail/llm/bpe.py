@@ -1,8 +1,8 @@
 """Byte-level BPE by ranks, with a queue of ranks that is a hierarchy of bitmaps.
 
 A pre-token's bytes form a linked list. Each pair of neighbours whose concatenation has a rank lies in the bucket of
-that rank; a bitmap of 64-bit words marks the buckets in use, and a level of words above marks the words in use, so
-find-first-set from the top gives the least rank in a few steps at any length. A bucket's positions are taken from
+that rank; a bitmap of 256-bit words marks the buckets in use, and one above it marks the words in use, so
+find-first-set from the top gives the least rank in two steps at any length. A bucket's positions are taken from
 left to right; entries whose pair has changed since are skipped. Time grows linearly with the pre-token but for the
 sort within buckets, so one that fills a whole document is no special case.
 
@@ -19,58 +19,45 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrail.llm.common import Pieces, buffers, spans
-from loomtrail.llm.token_files import encoded
+from loomtrail.llm.pretokens import Ids, chunks, gpt_pieces
+
+
+BIT = [1 << i for i in range(256)]
 
 
 class RankQueue:
-    """Buckets of positions by rank; ``first`` finds the least rank in use."""
+    """Buckets of positions by rank; bitmaps of 256-bit words, and one over the words, tell the least rank in use."""
 
     def __init__(self, n: int) -> None:
-        self.levels = []
-        while not self.levels or n > 1:
-            n = (n + 63) // 64
-            self.levels.append([0] * n)
+        self.words = [0] * ((n >> 8) + 1)
+        self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
+        if rank in self.buckets:
+            self.buckets[rank].append(position)
             return
         self.buckets[rank] = [position]
-        for words in self.levels:
-            word, rank = rank >> 6, rank & 63
-            was, words[word] = words[word], words[word] | 1 << rank
-            if was:
-                return
-            rank = word
-
-    def first(self) -> int:
-        """The least rank in use, or -1."""
-        top = self.levels[-1][0]
+        word = rank >> 8
+        self.words[word] |= BIT[rank & 255]
+        self.top |= 1 << word
+
+    def take(self) -> tuple[int, list[int]]:
+        """The least rank in use and its positions, which it gives up; (-1, []) if none is."""
+        top = self.top
         if not top:
-            return -1
-        at = (top & -top).bit_length() - 1
-        for words in self.levels[-2::-1]:
-            word = words[at]
-            at = at << 6 | (word & -word).bit_length() - 1
-        return at
-
-    def take(self, rank: int) -> list[int]:
-        """Empties a bucket."""
-        found = self.buckets.pop(rank)
-        for words in self.levels:
-            word, rank = rank >> 6, rank & 63
-            words[word] &= ~(1 << rank)
-            if words[word]:
-                break
-            rank = word
-        return found
+            return -1, []
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        rank = (word << 8) + (bits & -bits).bit_length() - 1
+        bits &= bits - 1
+        self.words[word] = bits
+        if not bits:
+            self.top = top & (top - 1)
+        return rank, self.buckets.pop(rank)
 
 
 def merge(data: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
@@ -86,10 +73,9 @@ def merge(data: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
         if rank is not None:
             pair[i] = rank
             queue.push(rank, i)
-    while (rank := queue.first()) >= 0:
-        found = queue.take(rank)
-        if len(found) > 1:
-            found.sort()
+    while queue.top:
+        rank, found = queue.take()
+        found.sort()
         for k, i in enumerate(found):
             if pair[i] != rank:
                 continue
@@ -127,17 +113,22 @@ def merge(data: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 class Codec:
     """Encodes and decodes by a file of ranks."""
 
-    def __init__(self, lines: bytes, pattern: str = public_tokenizers.PATTERN) -> None:
+    def __init__(self, lines: bytes) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
-        self.split = regex.compile(pattern)
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.pieces = Pieces(lambda new: [merge(x.encode(), self.ranks, self.queue) for x in new])
+        self.ids_of = Ids(self.merged, gpt_pieces)
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
 
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [merge(x.encode(), self.ranks, self.queue) for x in pieces]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return encoded(texts, self.pieces, self.split)
+        """The ids of all texts in a row, and the number of ids of each text."""
+        return self.ids_of(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -158,9 +149,8 @@ def bpe_encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks)
         for b in batches:
-            text = b.column("text")
-            for lo, hi in spans(buffers(text)[1]):
-                ids, size = coder.encode([x or "" for x in text[lo:hi].to_pylist()])
+            for lo, hi, texts in chunks(b.column("text")):
+                ids, size = coder.encode(texts)
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
 
