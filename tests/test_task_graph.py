@@ -1,0 +1,60 @@
+"""A small world, and graphs over it."""
+
+from __future__ import annotations
+
+import pytest
+
+from loomtrail.plans.task_graph import Run, TaskError, order
+
+
+@pytest.fixture
+def world(spark):
+    return {
+        "crm.contacts": spark.createDataFrame([(1, "Ann", "a@x"), (2, "Bo", "b@x")], "_rowid long, name string, mail string"),
+        "shop.orders": spark.createDataFrame([(1, 1, 10.0), (2, 1, 30.0), (3, 2, 5.0)], "_rowid long, contact long, total double"),
+    }
+
+
+GRAPH = {
+    "nodes": [
+        {"node_id": "a_find", "produces": [{"name": "who", "derivation": {"kind": "sql", "query": "SELECT _rowid FROM crm.contacts WHERE name = 'Ann'"}}]},
+        {"node_id": "b_sum", "produces": [{"name": "spent", "derivation": {"kind": "sql", "query": "SELECT sum(total) FROM shop.orders WHERE contact = :who"}}, {"name": "big", "derivation": {"kind": "expr", "expr": "spent > 20"}}]},
+        {"node_id": "c_order", "produces": [{"name": "new", "derivation": {"kind": "create", "table": "shop.orders"}}], "writes": [{"table": "shop.orders", "column": "contact", "effect_type": "create", "value_ref": "who"}, {"table": "shop.orders", "column": "total", "effect_type": "create", "value": 1.0}]},
+        {"node_id": "d_mail", "writes": [{"table": "crm.contacts", "column": "mail", "effect_type": "modify", "entity_ref": "who", "value": "new@x"}]},
+        {"node_id": "e_small", "produces": [{"name": "x", "derivation": {"kind": "literal", "value": 1}}]},
+        {"node_id": "f_after", "produces": [{"name": "y", "derivation": {"kind": "literal", "value": 1}}]},
+    ],
+    "edges": [
+        {"from": "a_find", "to": "b_sum", "from_port": "who", "to_port": "who"}, {"from": "b_sum", "to": "c_order", "kind": "control", "predicate": "big"}, {"from": "c_order", "to": "d_mail"},
+        {"from": "b_sum", "to": "e_small", "kind": "control", "predicate": "not big"}, {"from": "e_small", "to": "f_after"},
+    ],
+    "verifier": {"kind": "all_of", "parts": [{"kind": "sql", "predicate": "SELECT count(*) = 3 FROM shop.orders WHERE contact = :who"}, {"kind": "derived", "predicate": "spent", "expected": 40.0}]},
+}
+
+
+def test_run(spark, world):
+    run = Run(spark, world)
+    got = run.go(GRAPH)
+    assert got["order"] == ["a_find", "b_sum", "c_order", "e_small", "d_mail", "f_after"]
+    assert got["values"] == {"a_find": {"who": 1}, "b_sum": {"spent": 40.0, "big": True}, "c_order": {"new": 4}, "d_mail": {}}
+    assert {(t["node_id"], t["skipped"], t["changed"]) for t in got["timeline"]} >= {("c_order", False, True), ("d_mail", False, True), ("e_small", True, False), ("f_after", True, False)}
+    assert [(w["table"], w["column"], w["old"], w["value"]) for w in got["writes"]] == [("shop.orders", "contact", None, 1), ("shop.orders", "total", None, 1.0), ("crm.contacts", "mail", "a@x", "new@x")]
+    assert got["passed"] is True
+    assert world["shop.orders"].count() == 3 and run.tables["shop.orders"].count() == 4
+
+
+def test_override_takes_the_other_branch(spark, world):
+    got = Run(spark, world, {("b_sum", "big"): False}).go(GRAPH)
+    assert {t["node_id"] for t in got["timeline"] if t["skipped"]} == {"c_order", "d_mail"}
+    assert got["passed"] is False
+
+
+def test_rules(spark, world):
+    with pytest.raises(TaskError, match="cycle"):
+        order(["a", "b"], [("a", "b"), ("b", "a")])
+    for sql in ("DROP TABLE crm.contacts", "INSERT INTO crm.contacts VALUES (1, 'x', 'y')"):
+        with pytest.raises(TaskError, match="read"):
+            Run(spark, world).query(sql, {})
+    run = Run(spark, world)
+    run.apply({"node_id": "n", "writes": [{"table": "crm.contacts", "column": "mail", "effect_type": "modify", "rowid": 2, "value": "z"}, {"table": "crm.contacts", "column": "*", "effect_type": "delete", "rowid": 2}]}, {})
+    assert [r.name for r in run.tables["crm.contacts"].collect()] == ["Ann"]
