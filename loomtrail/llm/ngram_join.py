@@ -308,6 +308,9 @@ def links(sets: DataFrame, posts: DataFrame, stages: Stages, percent: int) -> Da
         return stages.write(full.mapInArrow(_verified(percent), "a long, b long"), name)
 
     found, tested, label, gain = None, None, None, 1.0
+    # a document's whole prefix, as the lower halves of its hashes; ``twins`` are those lost as their halves are equal
+    fronts = posts.groupBy("doc_id").agg(F.max("known").alias("_k"), F.count("*").alias("_n"), F.collect_set(F.col("token").bitwiseAND(0x7FFFFFFF).cast("int")).alias("front"))
+    fronts = fronts.select("doc_id", (F.col("_k") - F.size("front")).alias("rest"), (F.col("_n") - F.size("front")).alias("twins"), "front")
     for k in range(ROUNDS + 1):
         own = posts.withColumn("part", F.col("doc_id")) if label is None else posts.join(label.toDF("doc_id", "c"), "doc_id", "left").withColumn("part", F.coalesce("c", "doc_id")).drop("c")
         parts = own.groupBy("token", "part").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id")).alias("pick"))
@@ -318,11 +321,15 @@ def links(sets: DataFrame, posts: DataFrame, stages: Stages, percent: int) -> Da
             break
         last = k == ROUNDS or gain < LEAST_GAIN
         if last:
-            a, b = (own.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "l", "part", "known", "behind"))) for s in "ab")
+            own = own.join(fronts, "doc_id")
+            a, b = (own.select(*(F.col(c).alias(f"{c}{s}") for c in ("token", "doc_id", "n", "l", "part", "known", "behind", "rest", "twins", "front"))) for s in "ab")
             # the l-th shared element has l - 1 before it and no more than the rest of either document from it on
             room = F.least("behinda", "behindb") + F.least("la", "lb") - 1
             near = (F.col("doc_ida") < F.col("doc_idb")) & (F.col("parta") != F.col("partb")) & ((100 + percent) * F.least("knowna", "knownb", room) >= percent * (F.col("na") + F.col("nb")))
-            pairs = a.join(b, "token").where(near).groupBy(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("la", "lb")).alias("needed")).where("shared >= needed").select("a", "b")
+            # beyond the prefix that ends first in the common order, no more than the rest of its document can agree
+            shared = F.size(F.array_intersect("fronta", "frontb"))
+            enough = (shared + F.least("twinsa", "twinsb") >= F.least("la", "lb")) & ((100 + percent) * (shared + F.greatest("resta", "restb")) >= percent * (F.col("na") + F.col("nb")))
+            pairs = a.join(b, (F.col("tokena") == F.col("tokenb")) & near & enough).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct()
             pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         else:
             pairs = own.where("part <> top_part").groupBy("doc_id", "pivot").agg(F.count("*").alias("shared")).select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"), "doc_id", "shared")
