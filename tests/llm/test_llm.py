@@ -257,6 +257,30 @@ def test_chain_dedup(docs, texts, empty, odd):
     assert chain_dedup.passages(odd).count() == 0
 
 
+def covered(found, text: str, doc: int, least: float, start: int, n: int) -> bool:
+    """Whether the passages of a document cover that share of its ``n`` words from word ``start`` on."""
+    at = [m.span() for m in re.finditer(r"\S+", text)]  # the text is ASCII here
+    hit = [any(r.start <= lo and hi <= r.end for r in found if r.doc_id == doc) for lo, hi in at[start : start + n]]
+    return sum(hit) >= least * n
+
+
+def plain(n: int, rng: random.Random) -> str:
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+
+@pytest.mark.parametrize(("n", "gap"), [(60, 100), (120, 120), (120, 200), (200, 300), (200, 60)])
+def test_two_shared_passages_around_different_text(spark, n, gap):
+    rng = random.Random(n + gap)
+    texts = {}
+    for i in range(0, 40, 2):
+        head, foot = plain(n, rng), plain(n, rng)
+        texts.update({i + j: f"{head} {plain(gap, rng)} {foot}" for j in range(2)})
+    found = chain_dedup.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for i in range(1, 40, 2):
+        assert covered(found, texts[i], i, 1, 0, n) and covered(found, texts[i], i, 1, n + gap, n)
+        assert not covered(found, texts[i], i, 0.2, n, gap)
+
+
 def test_fenwick_chain_is_the_best_one():
     rng = random.Random(6)
     for _ in range(50):
