@@ -1,10 +1,12 @@
-"""Near-duplicate vectors by sorted passes over random hashes.
+"""Near-duplicate vectors by passes over random hashes.
 
-Each pass has its own random hyperplanes; the signs of a vector's products with them, as bits of one number, are its
-key. Sorted by pass and key, near vectors tend to lie close together, so each is compared with the ``window`` next
-ones only, in double precision; the verified pairs of all passes are united. The number of passes follows from the
-number of vectors, so that a pair at the threshold is met with the probability ``recall`` at any size: two such
-vectors share the about log2(n / window) leading bits that place them in one window with a known probability.
+Each pass has its own random hyperplanes; the signs of a vector's products with them are the bits of its key. All
+vectors of one pass and key form a bucket, and every two of a bucket are compared in double precision. A key has
+log2(n / window) bits, so that evenly spread vectors give buckets of about ``window``. The number of passes is such
+that a pair at the threshold shares a bucket with the probability ``recall``, however the vectors are spread: dense
+groups only make their buckets larger. A large bucket is dealt in blocks, each two of which meet in a task of their
+own. A pair counts in the first pass only in which it shares a bucket, so that links are summed up within the tasks
+and never become rows; of each task only a spanning forest of its links goes on to the components.
 
 Equal vectors are first reduced to one with a count, so groups of copies cost nothing and lose no link. Vectors that
 are null, empty, zero or hold null or non-finite components link with nothing. Vectors of different length link with
@@ -20,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrail.llm.common import Stages
 from loomtrail.llm.components import components
 
-BITS = 62
 KEYED = "id long, digest binary, vec array<double>"
-FOUND = "boundary int, side int, pass int, a long, b long, vec array<double>"
+FOUND = "a long, linked long, root long"
+BUCKET = ["dim", "pass", "key"]
+#: Vectors of a bucket that make a block, and rows of a block that are compared at once.
+BLOCK, CHUNK = 4096, 512
 
 
 def n_passes(n: int, window: int, threshold: float, recall: float) -> int:
@@ -59,84 +62,100 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digest, pa.binary()), pa.array(vecs, pa.list_(pa.float64()))], names=["id", "digest", "vec"])
 
 
-def _planes(dim: int, a_pass: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim, a_pass]).standard_normal((dim, BITS))
+def _planes(dim: int, a_pass: int, seed: int, bits: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim, a_pass]).standard_normal((dim, bits))
 
 
-def _hashed(passes: int, seed: int):
-    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+def _hashed(passes: int, bits: int, seed: int):
+    """Adds each vector's keys of all passes."""
+    weights = 1 << np.arange(bits, dtype=np.int64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vec = b.column("a").to_numpy(), b.column("vec")
+            vec = b.column("vec")
             size = vec.value_lengths().to_numpy()
             for dim in np.unique(size):
-                at = np.flatnonzero(size == dim)
-                own = vec.take(pa.array(at))
-                x = own.flatten().to_numpy().reshape(len(at), dim)
-                for p in range(passes):
-                    key = ((x @ _planes(int(dim), p, seed)) > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(key), pa.array(ids[at]), own], names=["pass", "dim", "key", "a", "vec"])
+                at = pa.array(np.flatnonzero(size == dim))
+                x = vec.take(at).flatten().to_numpy().reshape(len(at), dim)
+                keys = np.stack([((x @ _planes(int(dim), p, seed, bits)) > 0) @ weights for p in range(passes)], axis=1).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * passes), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column("a").take(at), b.column("copies").take(at), vec.take(at), pa.array(np.full(len(at), dim, np.int32)), lists], names=["a", "copies", "vec", "dim", "keys"])
 
     return each
 
 
-def _compare(ids: np.ndarray, group: np.ndarray, x: np.ndarray, window: int, threshold: float, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows at most ``window`` apart, the later one at ``first`` or behind, of one group and with a cosine of at least ``threshold``."""
-    unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
-    left, right = [], []
-    for d in range(1, min(window, len(ids) - 1) + 1):
-        lo = max(0, first - d)
-        cos = np.einsum("ij,ij->i", unit[lo:-d], unit[lo + d :])
-        at = lo + np.flatnonzero((cos >= threshold) & (group[lo:-d] == group[lo + d :]))
-        left.append(ids[at])
-        right.append(ids[at + d])
-    return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
-
-
-def _windows(window: int, threshold: float):
-    """Compares the sorted rows of a partition; its first and last rows are also passed on, to meet those of its neighbours."""
-    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(a), pa.int32())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.list_(pa.float64()))], names=["boundary", "side", "pass", "a", "b", "vec"])
-
-    def edge(table: pa.Table, boundary: int, side: int) -> pa.RecordBatch:
-        n = table.num_rows
-        vec = table["vec"].combine_chunks()
-        return pa.RecordBatch.from_arrays([pa.array([boundary] * n, pa.int32()), pa.array([side] * n, pa.int32()), table["pass"].combine_chunks(), table["a"].combine_chunks(), pa.array(np.arange(n)), vec], names=["boundary", "side", "pass", "a", "b", "vec"])
+def _unite(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``root`` (each node's least known node, itself a root) after the links u, v."""
+    while True:
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        open_ = low != high
+        if not open_.any():
+            return root
+        u, v = u[open_], v[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while not np.array_equal(up := root[root], root):
+            root = up
+
+
+def _pairs(x: np.ndarray, keys: np.ndarray, copies: np.ndarray, block: np.ndarray, a_pass: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many copies each row newly links with, and the least row that it is joined with; of two blocks only pairs across."""
+    scale = np.abs(x).max(axis=1, keepdims=True)
+    unit = x / scale
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    n = len(x)
+    linked, root = np.zeros(n), np.arange(n)
+    split = int(np.searchsorted(block, block[-1]))  # rows are sorted by block; 0 if there is one block only
+    for lo in range(0, split or n, CHUNK):
+        hi = min(lo + CHUNK, split or n)
+        first = split or lo
+        u, v = np.nonzero(unit[lo:hi] @ unit[first:].T >= threshold)
+        u, v = u + lo, v + first
+        if not split:
+            u, v = u[u < v], v[u < v]
+        for p in range(a_pass):
+            if not len(u):
+                break
+            new = keys[u, p] != keys[v, p]
+            u, v = u[new], v[new]
+        linked += np.bincount(u, copies[v], n) + np.bincount(v, copies[u], n)
+        root = _unite(root, u, v)
+    return linked, root
+
+
+def _compared(threshold: float):
+    """Rows come sorted by bucket and pair of blocks; each such group is compared as a whole."""
+    names = [*BUCKET, "i", "j"]
+
+    def out(t: pa.Table) -> pa.RecordBatch:
+        n, vec, keys = t.num_rows, t["vec"].combine_chunks(), t["keys"].combine_chunks()
+        a, block = t["a"].to_numpy(), t["block"].to_numpy()
+        if t["i"][0] != t["j"][0] and block[0] == block[-1]:  # the other block is empty
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, names=["a", "linked", "root"])
+        linked, root = _pairs(vec.flatten().to_numpy().reshape(n, -1), keys.flatten().to_numpy().reshape(n, -1), t["copies"].to_numpy(), block, t["pass"][0].as_py(), threshold)
+        on = np.flatnonzero(linked)
+        return pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(linked[on].astype(np.int64)), pa.array(a[root[on]])], names=["a", "linked", "root"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, carry, start = TaskContext.get().partitionId(), None, True
+        held: list[pa.Table] = []
+        last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            now = pa.Table.from_batches([b])
-            if start:
-                yield edge(now.slice(0, window), part - 1, 1)
-                start = False
-            first = carry.num_rows if carry is not None else 0
-            now = now if carry is None else pa.concat_tables([carry, now])
-            yield from (found(*x) for x in _by_size(now, window, threshold, first))
-            carry = now.slice(max(0, now.num_rows - window))
-        if carry is not None:
-            yield edge(carry, part, 0)
+            marks = np.stack([b.column(c).to_numpy() for c in names])
+            cuts = [0, *(np.flatnonzero((np.diff(marks) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and last != tuple(marks[:, lo]):
+                    yield out(pa.concat_tables(held))
+                    held = []
+                held.append(pa.Table.from_batches([b.slice(lo, hi - lo)]))
+                last = tuple(marks[:, lo])
+        if held:
+            yield out(pa.concat_tables(held))
 
     return each
 
 
-def _by_size(table: pa.Table, window: int, threshold: float, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of rows of one length, compared; the rows are sorted by pass and length, so there are few."""
-    vec = table["vec"].combine_chunks()
-    size = vec.value_lengths().to_numpy()
-    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(size)]
-    ids, group = table["a"].to_numpy(), table["pass"].to_numpy()
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        if hi - lo > 1:
-            x = vec.slice(lo, hi - lo).flatten().to_numpy().reshape(hi - lo, -1)
-            yield _compare(ids[lo:hi], group[lo:hi], x, window, threshold, max(0, first - lo))
-
-
-def near_vectors(vectors: DataFrame, id_col: str, vec_col: str, threshold: float = 0.9, window: int = 128, recall: float = 0.995, seed: int = 7) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str, vec_col: str, threshold: float = 0.9, window: int = 128, recall: float = 0.995, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept."""
     stages = Stages(vectors.sparkSession, "near-vectors")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null")
@@ -145,24 +164,19 @@ def near_vectors(vectors: DataFrame, id_col: str, vec_col: str, threshold: float
     keyed = stages.write(rows.mapInArrow(_keyed, KEYED), "keyed")
     classes = stages.write(keyed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("a"), F.count("*").alias("copies"), F.any_value("vec").alias("vec")), "classes")
     n = classes.count()
-    passes = n_passes(n, window, threshold, recall)
-    spread = classes.select("a", "vec").mapInArrow(_hashed(passes, seed), "pass int, dim int, key long, a long, vec array<double>")
-    parts = 1 + n * passes // (32 * window)  # partitions longer than a window, so only neighbours share one
-    ordered = spread.repartitionByRange(parts, "pass", "dim", "key", "a").sortWithinPartitions("pass", "dim", "key", "a")
-    found = stages.write(ordered.select("pass", "a", "vec").mapInArrow(_windows(window, threshold), FOUND), "found")
-
-    def across(pdf):
-        x = pdf.sort_values(["side", "b"])
-        table = pa.table({"pass": pa.array(x["pass"].to_numpy()), "a": pa.array(x["a"].to_numpy()), "vec": pa.array(list(x["vec"]), pa.list_(pa.float64()))})
-        out = [np.stack([np.minimum(a, b), np.maximum(a, b)]) for a, b in _by_size(table, window, threshold, int((x["side"] == 0).sum()))]
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return x.iloc[:0][["a", "b"]] if not both.shape[1] else x.__class__({"a": both[0], "b": both[1]})
-
-    edges = found.where("boundary is not null").groupBy("boundary").applyInPandas(across, "a long, b long")  # at most two windows of rows a group
-    links = stages.write(found.where("boundary is null").select("a", "b").union(edges).where("a <> b").distinct(), "links")
+    bits = max(0, int(math.log2(max(n, 1) / window))) if n > window else 0
+    passes = n_passes(n, window, threshold, recall) if bits else 1
+    hashed = stages.write(classes.select("a", "copies", "vec").mapInArrow(_hashed(passes, bits, seed), "a long, copies long, vec array<double>, dim int, keys array<int>"), "hashed")
+    large = hashed.select("dim", F.posexplode("keys").alias("pass", "key")).groupBy(*BUCKET).count().where(F.col("count") > block)
+    large = stages.write(large.select(*BUCKET, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "buckets")
+    rows = hashed.select("a", "copies", "vec", "dim", "keys", F.posexplode("keys").alias("pass", "key")).join(large, BUCKET, "left")
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.select(*BUCKET, "i", "j", "block", "a", "copies", "keys", "vec").repartition(*BUCKET, "i", "j").sortWithinPartitions(*BUCKET, "i", "j", "block", "a")
+    found = stages.write(dealt.mapInArrow(_compared(threshold), FOUND), "found")
+    links = stages.write(found.where("a <> root").selectExpr("root as a", "a as b").distinct(), "links")
     label = components(links, stages)
-    both = links.union(links.select("b", "a"))
-    degree = both.join(classes.selectExpr("a as b", "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
+    degree = found.groupBy("a").agg(F.sum("linked").alias("linked"))
     of_class = classes.select("digest", "a", "copies").join(degree, "a", "left").join(label.withColumnRenamed("node", "a"), "a", "left")
     of_class = of_class.select("digest", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "a").alias("component_id"))
     out = keyed.select("id", "digest").join(of_class, "digest", "left")

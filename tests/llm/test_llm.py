@@ -243,6 +243,24 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.limit(0), "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.28, 0.5])  # cosines of about 0.93 and 0.8 within the topic
+def test_near_vectors_of_one_hot_topic(spark, spread):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 32))
+    x[:1000] = x[0] + spread * rng.standard_normal((1000, 32))
+    x[1:1000:2] = x[0:1000:2] + 0.25 * spread * np.linalg.norm(x[0]) / 32**0.5 * rng.standard_normal((500, 32))
+    x[2001::2] = x[2000::2] + 0.3 * rng.standard_normal((500, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    for more in ({}, {"block": 100}):
+        got = {r.id: r for r in near_vectors.near_vectors(df, "vec_id", "embedding", window=16, **more).collect()}
+        n = np.array([got[i].n_links for i in range(3000)])
+        assert (n <= true).all()
+        for part in (slice(0, 1000), slice(1000, 3000)):
+            assert n[part].sum() >= 0.98 * true[part].sum()
+
+
 def test_chain_dedup(docs, texts, empty, odd):
     found = chain_dedup.passages(docs).collect()
     hit = {r.doc_id for r in found}
