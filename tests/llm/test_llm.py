@@ -299,6 +299,19 @@ def test_two_shared_passages_around_different_text(spark, n, gap):
         assert not covered(found, texts[i], i, 0.2, n, gap)
 
 
+@pytest.mark.parametrize("every", [6, 8, 10])
+def test_recall_over_the_change_rate(spark, every):
+    rng = random.Random(every)
+    texts = {}
+    for case in range(60):
+        passage = plain(80, rng).split()
+        changed = [f"x{rng.randrange(5000)}" if i % every == every - 1 else w for i, w in enumerate(passage)]
+        for i, part in enumerate((passage, changed)):
+            texts[1000 * i + case] = f"{plain(40, rng)} {' '.join(part)} {plain(40, rng)}"
+    found = chain_dedup.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sum(covered(found, texts[1000 + case], 1000 + case, 0.9, 40, 80) for case in range(60)) == 60
+
+
 def test_fenwick_chain_is_the_best_one():
     rng = random.Random(6)
     for _ in range(50):
