@@ -299,6 +299,19 @@ def test_two_shared_passages_around_different_text(spark, n, gap):
         assert not covered(found, texts[i], i, 0.2, n, gap)
 
 
+@pytest.mark.parametrize(("n", "quote"), [(80, 40), (60, 30), (100, 45), (50, 35)])
+def test_whole_copy_after_quotes_of_its_parts(spark, n, quote):
+    rng = random.Random(n)
+    texts = {}
+    for case in range(30):
+        passage = plain(n, rng).split()
+        head, tail = " ".join(passage[:quote]), " ".join(passage[-quote:])
+        for i, part in enumerate([head, tail, " ".join(passage), head, tail, " ".join(passage)]):
+            texts[1000 * i + case] = f"{plain(40, rng)} {part} {plain(40, rng)}"
+    found = chain_dedup.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert all(covered(found, texts[5000 + case], 5000 + case, 1, 40, n) for case in range(30))
+
+
 @pytest.mark.parametrize("every", [6, 8, 10])
 def test_recall_over_the_change_rate(spark, every):
     rng = random.Random(every)
