@@ -44,30 +44,37 @@ def never_seen(wanted: DataFrame, sightings: DataFrame, key: list[str]) -> DataF
     return wanted.join(sightings.select(*key).distinct(), key, "left_anti")
 
 
+def _near_texts(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs (left, right, distance) of distinct texts within ``most`` edits; both tables have one column.
+
+    Two texts within d edits, cut into d + 1 pieces, share a piece at places that differ by d at most. The join is on
+    the hash of a piece and its place, over rows without texts; these come back once a pair is known to share a piece.
+    """
+    n = F.length("t")
+    a, b = (df.toDF("t").select(F.xxhash64("t").alias("h"), "t") for df in (left, right))
+    size = F.greatest(F.ceil(n / (most + 1)), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(F.substring(F.col("t"), k * size + 1, size).alias("piece"), (k * size).alias("at")))
+    own = a.select(F.col("h").alias("hl"), n.alias("nl"), F.explode(pieces).alias("p")).select("hl", "nl", F.xxhash64("p.piece").alias("k"), F.explode(F.sequence(F.col("p.at") - most, F.col("p.at") + most)).alias("at"))
+    sizes = F.array_distinct(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.greatest(F.ceil((n + d) / (most + 1)), F.lit(1)).cast("int")))
+    whole = b.select(F.col("h").alias("hr"), "t", F.explode(sizes).alias("s")).select("hr", F.length("t").alias("nr"), "t", "s", F.explode(F.sequence(F.lit(0), F.length("t"))).alias("at"))
+    other = whole.select("hr", "nr", F.xxhash64(F.substring(F.col("t"), F.col("at") + 1, F.col("s"))).alias("k"), "at").distinct()
+    pairs = own.join(other, ["k", "at"]).where(F.abs(F.col("nl") - F.col("nr")) <= most).select("hl", "hr").distinct()
+    texts = pairs.join(a.toDF("hl", "left"), "hl").join(b.toDF("hr", "right"), "hr")
+    return texts.select("left", "right", F.levenshtein("left", "right", most).alias("distance")).where("distance >= 0")
+
+
 def nearest_text(left: DataFrame, right: DataFrame, text: str, ident: str, most: int) -> DataFrame:
-    """For each left text the nearest right text within ``most`` edits.
+    """For each left text the nearest right text within ``most`` edits, and how many there are; a row is not its own neighbour.
 
-    Two texts within d edits, cut into d + 1 pieces, share a piece; pieces are joined by text and by place within d,
-    so only texts that share a piece are compared, not all pairs.
+    Rows with equal texts are first reduced to their number and their two least ids, so that copies make no pairs.
     """
-    def pieces(df: DataFrame, name: str) -> DataFrame:
-        n = F.length(text)
-        size = F.ceil(n / (most + 1)).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(F.substring(F.col(text), k * size + 1, size).alias("piece"), (k * size).alias("at")))
-        return df.select(F.col(ident).alias(f"{name}_id"), F.col(text).alias(name), F.explode(cut).alias("_p")).select(f"{name}_id", name, "_p.piece", "_p.at")
-
-    def places(df: DataFrame, name: str) -> DataFrame:
-        """All substrings that could be a piece of a text of nearly the same length."""
-        n = F.length(text)
-        sizes = F.array_distinct(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.ceil(F.greatest(n + d, F.lit(1)) / (most + 1)).cast("int")))
-        df = df.select(F.col(ident).alias(f"{name}_id"), F.col(text).alias(name), F.explode(sizes).alias("_s"))
-        n = F.length(name)
-        return df.select(f"{name}_id", name, "_s", F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("at")).select(f"{name}_id", name, "at", F.substring(F.col(name), F.col("at") + 1, F.col("_s")).alias("piece"))
-
-    a, b = pieces(left, "left"), places(right, "right").withColumnRenamed("at", "at_b")
-    near = a.join(b, "piece").where((F.abs(F.col("at") - F.col("at_b")) <= most) & (F.abs(F.length("left") - F.length("right")) <= most) & (F.col("left_id") != F.col("right_id")))
-    pairs = near.select("left_id", "left", "right_id", "right").distinct().withColumn("distance", F.levenshtein("left", "right", most)).where("distance >= 0")
-    best = pairs.groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("b"), F.count("*").alias("n_near"))
+    r = right.select(F.col(text).alias("right"), F.col(ident).alias("i")).where("right is not null")
+    some = r.groupBy("right").agg(F.min("i").alias("i1"), F.count("*").alias("n"))
+    second = r.join(some, "right").where("i <> i1").groupBy("right").agg(F.min("i").alias("i2"))
+    near = _near_texts(left.select(text).where(F.col(text).isNotNull()).distinct(), some.select("right"), most).join(some.join(second, "right", "left"), "right")
+    rows = left.select(F.col(ident).alias("left_id"), F.col(text).alias("left")).join(r.select(F.col("i").alias("left_id"), F.col("right").alias("own")), "left_id", "left")
+    both = rows.join(near, "left").withColumn("right_id", F.when(F.col("i1") == F.col("left_id"), F.col("i2")).otherwise(F.col("i1"))).where("right_id is not null")
+    best = both.groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("b"), F.sum(F.col("n") - F.col("right").eqNullSafe(F.col("own")).cast("int")).cast("long").alias("n_near"))
     return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.distance").cast("long").alias("distance"), "n_near")
 
 
@@ -86,15 +93,28 @@ def used_later(rows: DataFrame, by: str, at: str, value: str, text: str) -> Data
 
 
 def first_template(rows: DataFrame, templates: DataFrame, table: str, row_id: str, template_id: str, cell: str, value: str) -> DataFrame:
-    """The first template of a row's table whose shared cells all agree; rows and templates are long (one cell per row)."""
-    t = templates.select(table, template_id, cell, F.col(value).alias("_want"))
-    same = rows.join(t, [table, cell]).groupBy(row_id, template_id).agg(F.bool_and(F.col(value).eqNullSafe(F.col("_want"))).alias("same"))
-    return same.where("same").groupBy(row_id).agg(F.min(template_id).alias(template_id))
+    """The first template of a row's table whose shared cells all agree; rows and templates are long (one cell per row).
+
+    Rows with the same cells, and templates with the same cells, are held against each other once.
+    """
+    def kinds(df: DataFrame, ident: str, name: str) -> DataFrame:
+        return df.groupBy(table, F.col(ident).alias("_id")).agg(F.sort_array(F.collect_list(F.struct(F.col(cell).alias("c"), F.col(value).alias("v")))).alias(name))
+
+    def long(df: DataFrame, name: str, v: str) -> DataFrame:
+        return df.select(table, name, F.explode(name).alias("e")).select(table, name, F.col("e.c").alias("c"), F.col("e.v").alias(v))
+
+    row = kinds(rows, row_id, "_row")
+    first = kinds(templates, template_id, "_template").groupBy(table, "_template").agg(F.min("_id").alias(template_id))
+    a, b = long(row.select(table, "_row").distinct(), "_row", "v"), long(first, "_template", "w")
+    same = a.join(b, [table, "c"]).groupBy(table, "_row", "_template").agg(F.every(F.col("v").eqNullSafe(F.col("w"))).alias("same")).where("same")
+    best = same.join(first, [table, "_template"]).groupBy(table, "_row").agg(F.min(template_id).alias(template_id))
+    return row.join(best, [table, "_row"]).select(F.col("_id").alias(row_id), template_id)
 
 
 def normal_text(c: Column) -> Column:
     """Trimmed, white space collapsed; an ISO time as date, T and seconds, without fraction and zone."""
     plain = F.trim(F.regexp_replace(c, r"\s+", " "))
+    # fixed value: what counts as an ISO time
     iso = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"
     seconds = F.regexp_extract(plain, iso, 3)
     return F.when(plain.rlike(iso), F.concat(F.regexp_extract(plain, iso, 1), F.lit("T"), F.regexp_extract(plain, iso, 2), F.when(seconds == "", ":00").otherwise(seconds))).otherwise(plain)

@@ -16,11 +16,27 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
 
 
+#: N-grams of hidden texts that are broadcast at most, at about 30 bytes each; beyond that the join shuffles.
+BROADCAST_GRAMS = 500_000
+
+
+def _gram_hashes(words: Column, n: int) -> Column:
+    last = F.size(words) - n + 1
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(*(F.element_at(words, i + k) for k in range(n))))
+    return F.when(last >= 1, F.array_distinct(hashes)).otherwise(F.array().cast("array<long>"))
+
+
 def ngram_leaks(texts: DataFrame, ident: str, text: str, hidden: DataFrame, hidden_id: str, hidden_text: str, n: int = 5) -> DataFrame:
-    """Pairs of a text and a hidden one that share n-grams, with their number: an equi-join on the n-gram."""
-    a = texts.select(ident, tokens(F.col(text)).alias("_w")).select(ident, F.explode(ngrams(F.col("_w"), n)).alias("_g"))
-    b = hidden.select(hidden_id, tokens(F.col(hidden_text)).alias("_w")).select(hidden_id, F.explode(ngrams(F.col("_w"), n)).alias("_g"))
-    return a.join(b, "_g").groupBy(ident, hidden_id).agg(F.count("*").alias("n_shared"))
+    """Pairs of a text and a hidden one that share n-grams, with their number: an equi-join on the n-gram's 64-bit hash.
+
+    Texts are cut where they are read. If the hidden n-grams are few they are broadcast, so that no others are shuffled.
+    """
+    def grams(df: DataFrame, i: str, t: str) -> DataFrame:
+        return df.select(i, tokens(F.col(t)).alias("_w")).select(i, F.explode(_gram_hashes(F.col("_w"), n)).alias("_g"))
+
+    a, b = grams(texts, ident, text), grams(hidden, hidden_id, hidden_text)
+    few = b.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return a.join(F.broadcast(b) if few else b, "_g").groupBy(ident, hidden_id).agg(F.count("*").alias("n_shared"))
 
 
 def _labelled(kind: str):

@@ -91,13 +91,37 @@ EXPRESSIONS = {
 }
 
 
+#: Text, list, mapping and number cases of the language; ``xs`` is a list of numbers, ``ws`` of words, ``m`` a mapping, ``rows`` a list of records.
+TYPED = {
+    "e1_join": "status + '-' + 'x' * 2", "e1_lists": "len(xs + [1])", "e1_floor": "(key - 70) // 4", "e1_mod": "(key - 70) % -4", "e1_power": "k3 ** 2", "e3_list": "k3 in xs", "e3_map": "status in m", "e3_text": "'U' not in priority",
+    "e5_text": "1 if empty else 0", "e5_list": "1 if xs[4:] else 0", "e5_null": "1 if nothing else 0", "e6_tail": "xs[-2:]", "e6_inner": "xs[1:-1]", "e6_text": "priority[2:-1]", "e6_last": "xs[-1]", "e6_key": "m['F']", "e8_len": "len(xs) * 100 + len(priority)", "e8_sum": "sum(xs)",
+    "e8_extremes": "max(xs) - min(xs)", "e8_all": "all(x > 0 for x in xs)", "e8_any": "any([x > 3 for x in xs])", "e8_sorted": "sorted(xs)[0]", "e9_casts": "int(str(key)) + 1", "e9_set": "len(set(ws))", "e9_dict": "dict(a=key)['a']", "e9_bool": "bool(empty) or bool(xs)", "e12_date": "date_of(day)", "e14_at": "at_time(day, '9:5')",
+    "e15_fmt": "fmt('{0}/{1}/{0} {z}', key, status, z=k3)", "e17_pluck": "pluck(rows, 'n')", "e18_counts": "count_by(rows, 'k')['a']", "e18_argmax": "argmax(count_by(rows, 'k'))", "e18_argmin": "argmin(count_by(rows, 'k'))", "e18_unique": "unique(ws)", "e19_first": "first(xs[5:], 'none')", "e20_contains": "contains(ws, status)",
+    "e4_is": "nothing is null and key is not null", "a11_words": "[w + '!' for w in ws if w != 'b']",
+}
+
+
+def expr_typed(spark, d):
+    k3 = (F.col("o_orderkey") % 3).cast("int")
+    words = F.array(F.lit("a"), F.col("o_orderstatus"), F.lit("b"), F.lit("a"))
+    record = F.transform(words, lambda w: F.struct(w.alias("k"), F.length(w).alias("n")))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("key"), k3.alias("k3"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.when(k3 == 0, "").otherwise("t").alias("empty"), F.lit(None).cast("string").alias("nothing"),
+        F.array(k3 + 1, F.lit(2), k3, F.lit(1)).alias("xs"), words.alias("ws"), F.create_map(F.lit("F"), k3, F.lit("O"), F.lit(7)).alias("m"), record.alias("rows"))
+    names = {c: F.col(c) for c in o.columns}
+
+    def shown(name: str, c):
+        return (F.array_join(c, ",") if dict(o.select(c.alias(name)).dtypes)[name].startswith("array") else c.cast("string")).alias(name)
+
+    return o.select("o_orderkey", *(shown(k, compile_expression(e.replace("'none'", "-1"), names, frame=o)) for k, e in TYPED.items()))
+
+
 def expr_eval(spark, d):
     o = table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
     names = {c: F.col(c) for c in o.columns}
-    return o.select("o_orderkey", *(compile_expression(e, names, {"len": F.size} if k == "small" else None).alias(k) for k, e in EXPRESSIONS.items()))
+    return o.select("o_orderkey", *(compile_expression(e, names, frame=o).alias(k) for k, e in EXPRESSIONS.items()))
 
 
-QUERIES = {f.__name__: f for f in (ngram_leak, extract_expectations, keyword_coverage, tag_strip, slug_and_snake, token_estimate, style_statistics, graph_closure, closure_depths, graph_sinks, graph_degrees, key_inference, key_paths, expr_eval)}
+QUERIES = {f.__name__: f for f in (ngram_leak, extract_expectations, keyword_coverage, tag_strip, slug_and_snake, token_estimate, style_statistics, graph_closure, closure_depths, graph_sinks, graph_degrees, key_inference, key_paths, expr_eval, expr_typed)}
 
 _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _EDGES = """t AS (SELECT max(s_suppkey) AS top FROM supplier), e AS (SELECT DISTINCT a, b FROM (SELECT s_suppkey AS a, unnest([s_suppkey * 2, s_suppkey * 2 + 1, s_suppkey * 3 + 2]) AS b FROM supplier), t WHERE b <= top AND a > 0)"""
@@ -123,6 +147,11 @@ ORACLE = {
       SELECT node, max(depth) AS longest, min(depth) AS shortest FROM r GROUP BY 1""",
     "graph_sinks": f"WITH {_EDGES} SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT a FROM e)",
     "graph_degrees": f"WITH {_EDGES} SELECT node, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM (SELECT b AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT a, 0, 1 FROM e) GROUP BY 1",
+    "expr_typed": """WITH o AS (SELECT *, (o_orderkey % 3)::INT AS k, o_orderkey - 70 AS j FROM orders), x AS (SELECT *, [k + 1, 2, k, 1] AS xs, ['a', o_orderstatus, 'b', 'a'] AS ws FROM o)
+      SELECT o_orderkey, o_orderstatus || '-xx' AS e1_join, '5' AS e1_lists, floor(j::DOUBLE / 4)::BIGINT::VARCHAR AS e1_floor, (j - (-4) * floor(j::DOUBLE / -4)::BIGINT)::VARCHAR AS e1_mod, (k * k)::VARCHAR AS e1_power, list_contains(xs, k)::VARCHAR AS e3_list, (o_orderstatus IN ('F', 'O'))::VARCHAR AS e3_map, (NOT contains(o_orderpriority, 'U'))::VARCHAR AS e3_text,
+      CASE WHEN k = 0 THEN '0' ELSE '1' END AS e5_text, '0' AS e5_list, '0' AS e5_null, k || ',1' AS e6_tail, '2,' || k AS e6_inner, o_orderpriority[3:-2] AS e6_text, '1' AS e6_last, k::VARCHAR AS e6_key, (400 + length(o_orderpriority))::VARCHAR AS e8_len, (2 * k + 4)::VARCHAR AS e8_sum, (greatest(2, k + 1) - least(k, 1))::VARCHAR AS e8_extremes,
+      (k > 0)::VARCHAR AS e8_all, 'false' AS e8_any, least(k, 1)::VARCHAR AS e8_sorted, (o_orderkey + 1)::VARCHAR AS e9_casts, len(list_distinct(ws))::VARCHAR AS e9_set, o_orderkey::VARCHAR AS e9_dict, 'true' AS e9_bool, strftime(o_orderdate, '%Y-%m-%d') AS e12_date, strftime(o_orderdate, '%Y-%m-%d') || 'T09:05:00' AS e14_at,
+      o_orderkey || '/' || o_orderstatus || '/' || o_orderkey || ' ' || k AS e15_fmt, '1,' || length(o_orderstatus) || ',1,1' AS e17_pluck, '2' AS e18_counts, 'a' AS e18_argmax, CASE WHEN o_orderstatus < 'b' THEN o_orderstatus ELSE 'b' END AS e18_argmin, 'a,' || o_orderstatus || ',b' AS e18_unique, '-1' AS e19_first, 'true' AS e20_contains, 'true' AS e4_is, 'a!,' || o_orderstatus || '!,a!' AS a11_words FROM x""",
     "expr_eval": """SELECT o_orderkey, CASE WHEN o_totalprice > 150000 AND o_orderstatus IN ('F', 'O') THEN 'high' ELSE 'low' END AS band,
       (((o_orderkey - 50) % 7 + 7) % 7 + o_custkey // 10 * 2)::BIGINT AS digit, (o_custkey >= 1000 AND o_custkey < 1200) OR o_orderstatus <> 'F' AS chained, lower(o_orderstatus) || '-' || o_orderkey AS label,
       strftime(o_orderdate::DATE + INTERVAL 30 DAY, '%Y-%m-%d') AS later, dayname(o_orderdate) AS weekday, ((o_orderkey % 3 > 1)::INT + (o_orderkey % 5 > 1)::INT + (o_orderkey % 7 > 1)::INT) AS small FROM orders""",

@@ -12,7 +12,7 @@ from loomtrail.plans.tables import EV, indexed_events, table
 def replay_until(spark, d):
     e = table(spark, d, "events").withColumn("op", F.when(F.col("event_type") == "error", "DELETE").when(F.col("event_type") == "signup", "INSERT").otherwise("UPDATE"))
     base = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit("none").alias("event_type"), F.col("c_acctbal").alias("value"))
-    return changes.replay(base, e, "user_id", "event_id", "op", ["event_type", "value"], until=6000)
+    return changes.replay(base, e, "user_id", "event_id", "op", ["event_type", "value"], until=e.agg(F.expr("max(event_id) * 3 div 5")).first()[0])
 
 
 def net_change(spark, d):
@@ -63,7 +63,7 @@ def event_gaps(spark, d):
 QUERIES = {f.__name__: f for f in (replay_until, net_change, snapshot_diff, state_changed_flag, duplicate_write, late_rows, row_digest, table_digest, component_diff, event_gaps)}
 
 ORACLE = {
-    "replay_until": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id <= 6000)
+    "replay_until": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id <= (SELECT max(event_id) * 3 // 5 FROM events))
       SELECT c_custkey AS user_id, 'none' AS event_type, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM l)
       UNION ALL SELECT user_id, event_type, value FROM l WHERE k = 1 AND event_type <> 'error'""",
     "net_change": "SELECT * FROM (SELECT user_id, arg_min(event_type, event_id) AS first, arg_max(event_type, event_id) AS last FROM events GROUP BY 1) WHERE first IS DISTINCT FROM last",

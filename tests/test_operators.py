@@ -74,11 +74,18 @@ def test_neutral_segment_returns_to_its_state(spark):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("-7 % 2", 1), ("-7 // 2", -4), ("7 % -2", -1), ("1 < a <= 5 and not b", True), ("b or a == 5", True), ("'x' if b else 'y'", "y"), ("xs[-1]", 3), ("xs[0:2]", [1, 2]),
-    ("[x * 2 for x in xs if x > 1]", [4, 6]), ("round(2.5)", 2), ("sum(xs)", 6.0), ("argmax(count_by(ws))", "v"), ("date_add('2024-02-28', days=2)", "2024-03-01"), ("date_add('2024-02-28T10:00:00', hours=15)", "2024-02-29T01:00:00"),
+    ("[x * 2 for x in xs if x > 1]", [4, 6]), ("round(2.5)", 2), ("sum(xs)", 6), ("argmax(count_by(ws))", "v"), ("date_add('2024-02-28', days=2)", "2024-03-01"), ("date_add('2024-02-28T10:00:00', hours=15)", "2024-02-29T01:00:00"),
     ("weekday_of('2024-02-29')", "Thursday"), ("at_time('2024-02-29', '9:05')", "2024-02-29T09:05:00"), ("'b' in word", True), ("a in [1, 5]", True), ("nothing is null", True), ("pick(m, 'z', 'd')", "d"), ("fmt('{}/{}', a, word)", "5/abc"),
+    ("xs[-2:]", [2, 3]), ("xs[1:-1]", [2]), ("xs[:-1]", [1, 2]), ("xs[5:]", []), ("word[1:]", "bc"), ("word[-2:]", "bc"), ("word[0]", "a"), ("len(xs)", 3), ("len(word)", 3), ("len(m)", 1), ("word + 'd'", "abcd"), ("xs + [4]", [1, 2, 3, 4]),
+    ("word * 2", "abcabc"), ("2 in xs", True), ("7 not in xs", True), ("'k' in m", True), ("'z' in m", False), ("1 if word else 0", 1), ("1 if '' else 0", 0), ("1 if xs else 0", 1), ("1 if xs[3:] else 0", 0), ("1 if nothing else 0", 0),
+    ("9007199254740993 // 1", 9007199254740993), ("-9007199254740993 // 2", -4503599627370497), ("-7 // -2", 3), ("7.5 // 2", 3.0), ("2 ** 10", 1024), ("sum([1, 2])", 3), ("sum([1.5, 2])", 3.5), ("fmt('{0}-{1}-{0}', word, a)", "abc-5-abc"),
+    ("fmt('{x}{{}}', x=a)", "5{}"), ("str(b)", "False"), ("lower(nothing)", "none"), ("any([x > 2 for x in xs])", True), ("all(x > 2 for x in xs)", False), ("[w if w == 'v' else 'n' for w in ws]", ["v", "n", "v", "n"]), ("[w + word for w in ws][0]", "vabc"),
+    ("[len(w) for w in ws if w in word]", []), ("count_by(rows, 'k')", {"p": 2, "q": 1}), ("argmin(count_by(rows, 'k'))", "q"), ("pluck(rows, 'n')", [1, 2, 3]), ("pick(rows[0], 'k')", "p"), ("pick(rows[0], 'no', 7)", 7), ("first(xs, 0)", 1), ("first(xs[3:], 9)", 9),
+    ("contains(xs, 2)", True), ("contains(word, 'z')", False), ("contains(nothing, 1)", False), ("set(ws)", ["v", "w"]), ("dict(a=1)", {"a": 1}), ("list(m)", ["k"]), ("tuple('ab')", ["a", "b"]), ("unique(ws)", ["v", "w"]), ("nothing == null", True), ("max(xs) - min(2, 3)", 1),
+    ("sorted(xs)[-1]", 3), ("round(2.345, 2)", 2.35), ("abs(-3)", 3), ("date_of('2024-02-29T10:11:12Z')", "2024-02-29"), ("time_of('2024-02-29T10:11:12')", "10:11"), ("date_add('2024-02-28T23:00:00Z', hours=2)", "2024-02-29T01:00:00+00:00"), ("strip('  x ')", "x"), ("int('7') + 1", 8), ("float('1.5')", 1.5), ("bool(xs)", True),
 ])
 def test_expressions(spark, text, want):
-    names = {"a": F.lit(5), "b": F.lit(False), "xs": F.array(F.lit(1), F.lit(2), F.lit(3)), "ws": F.array(F.lit("v"), F.lit("w"), F.lit("v"), F.lit("w")), "word": F.lit("abc"), "nothing": F.lit(None), "m": F.create_map(F.lit("k"), F.lit("v"))}
+    names = {"a": F.lit(5), "b": F.lit(False), "xs": F.array(F.lit(1), F.lit(2), F.lit(3)), "ws": F.array(F.lit("v"), F.lit("w"), F.lit("v"), F.lit("w")), "word": F.lit("abc"), "nothing": F.lit(None), "m": F.create_map(F.lit("k"), F.lit("v")), "rows": F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in (("p", 1), ("p", 2), ("q", 3))))}
     assert spark.range(1).select(compile_expression(text, names)).first()[0] == want
 
 
