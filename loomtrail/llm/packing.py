@@ -3,11 +3,12 @@
 Documents are encoded once to a table of ids. Each task reads a run of it and cuts it into shards of at most
 ``SHARD_TOKENS`` ids or ``SHARD_DOCS`` documents (a longer document is a shard of its own); a shard holds a BM25
 inverted index over token ids, with document frequencies and mean length of all documents. From a seed document the
-index returns the unused neighbours of the shard, best first, which fill the window greedily; the document that no
+index scores all unused documents of the shard by all the seed's terms and returns the best, which fill the window greedily; the document that no
 longer fits is cut, and what is left of it is the next seed. What a shard leaves over is cut into windows whose
 lengths are powers of two, so no window needs padding.
 
-Null and empty texts hold only the end id. Every row is packed, also rows without an id or with a repeated one. Other
+Texts are encoded whole, as the tokenizers library does: the contents of its special tokens become those tokens. Null and
+empty texts hold only the end id. Every row is packed, also rows without an id or with a repeated one. Other
 columns are ignored; an empty table gives no pieces.
 """
 
@@ -22,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrail.llm.common import Stages
+from loomtrail.llm.common import Stages, ragged
 from loomtrail.llm.pretokens import Ids, chunks, joined, word_pieces
 from loomtrail.llm.token_files import END_ID, list_crc32, with_end
 
 WINDOW = 4096
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
-#: Terms of a seed that are looked up, BM25's constants, and neighbours asked for at once.
-TERMS, K1, B, NEIGHBOURS = 24, 1.2, 0.75, 16
+#: BM25's constants, and neighbours asked for at once.
+K1, B, NEIGHBOURS = 1.2, 0.75, 16
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 _WORKER: dict[str, Ids] = {}
@@ -41,13 +42,10 @@ def _word_bpe(path: str) -> Ids:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        mark, mark_id = max((t.content, i) for i, t in tokenizer.get_added_tokens_decoder().items())
-
-        def library(texts: list[str]) -> list[list[int]]:
-            tokenizer.encode_special_tokens = not texts[0].endswith(mark)  # only the marks that stand between pieces are special
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        _WORKER[path] = Ids(joined(library, mark, mark_id, lambda x: "<|" in x or "|>" in x), word_pieces)
+        marks = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        mark = max(marks)
+        library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        _WORKER[path] = Ids(joined(library, mark, marks[mark], lambda x: "<|" in x or "|>" in x), word_pieces, list(marks), library)
     return _WORKER[path]
 
 
@@ -106,7 +104,7 @@ class Index:
         doc, term = key // v, key % v
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
         self.first = np.searchsorted(doc, np.arange(n + 1))
-        self.term, self.own = term, weight
+        self.term = term.astype(np.int32)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(v + 1))
@@ -114,12 +112,9 @@ class Index:
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """Unused documents by falling score, then by place; none without a shared term."""
-        lo, hi = self.first[seed], self.first[seed + 1]
-        best = lo + np.argsort(-self.own[lo:hi], kind="stable")[:TERMS]
-        score = np.zeros(self.n)
-        for t in self.term[best]:
-            a, b = self.at[t], self.at[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
+        terms = self.term[self.first[seed] : self.first[seed + 1]]
+        post = ragged(self.at[terms], self.at[terms + 1] - self.at[terms])
+        score = np.bincount(self.doc[post], self.weight[post], self.n)
         score[~unused] = 0
         found = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
         found = found[score[found] > 0]

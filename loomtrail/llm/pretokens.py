@@ -105,12 +105,15 @@ def word_pieces(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Ids:
-    """Ids by pre-token; all are forgotten once there are more than ``most``."""
+    """Ids by pre-token; all are forgotten once there are more than ``most``.
+
+    Texts that hold one of ``marks``, the contents of special tokens, go to ``whole`` as they are.
+    """
 
     SLOTS = 22
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000) -> None:
-        self.encode, self.cut, self.most = encode, cut, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], marks: list[str], whole: Callable[[list[str]], list[list[int]]], most: int = 1_500_000) -> None:
+        self.encode, self.cut, self.marks, self.whole, self.most = encode, cut, marks, whole, most
         self.clear()
 
     def clear(self) -> None:
@@ -140,6 +143,16 @@ class Ids:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each text."""
+        marked = [i for i, t in enumerate(texts) if any(m in t for m in self.marks)]
+        if not marked:
+            return self.plain(texts)
+        ids, size = self.plain(["" if i in set(marked) else t for i, t in enumerate(texts)])
+        parts = np.split(ids, np.cumsum(size)[:-1])
+        for i, own in zip(marked, self.whole([texts[i] for i in marked]), strict=True):
+            parts[i] = np.array(own, np.int32)
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.n > self.most:
             self.clear()
         chunk = Chunk(texts)

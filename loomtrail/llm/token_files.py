@@ -5,7 +5,8 @@ of the earlier rows of the same file. A manifest holds one row per file with the
 start of a document in the whole corpus takes no second pass over the ids. Row-group and page statistics of doc_id
 let readers fetch some documents only, and metadata columns are read without the ids.
 
-Null and empty texts hold only the end id. Rows without a doc_id come first; rows that share a doc_id are ordered by
+Texts are encoded whole, as the tokenizers library does: the contents of its special tokens become those tokens. Null and
+empty texts hold only the end id. Rows without a doc_id come first; rows that share a doc_id are ordered by
 a hash of their texts, and equal rows are all kept. Columns other than doc_id and text are ignored. An empty table
 gives files without rows.
 """
@@ -39,10 +40,10 @@ def byte_bpe(path: str) -> Ids:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        marks = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         (mark,) = library(["\n"])[0]
-        _WORKER[path] = Ids(joined(library, "\n", mark, lambda x: x[-1].isspace()), gpt_pieces)
+        _WORKER[path] = Ids(joined(library, "\n", mark, lambda x: x[-1].isspace()), gpt_pieces, marks, library)
     return _WORKER[path]
 
 
