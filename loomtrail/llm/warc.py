@@ -1,9 +1,11 @@
 """WARC records of pages, and a fixity audit of two replicas by Merkle trees.
 
-A record's place is its page_id: files hold ``PER_FILE`` places each, in order, and a record's offset is the length of
-the records before it in its file. Leaves are the sha256 of a record's bytes; a node is the sha256 of the digests of
-its up to ``FAN`` children with their places, over the ordered offset range that they cover, up to one root. An audit
-compares the roots and then only the children of nodes that differ, level by level, down to the records.
+A record's place is its page_id: files hold ``PER_FILE`` places each, in order. Leaves are read back from the files that
+were written: file, offset and length of each record, and the sha256 of its bytes. A node stands for an ordered range of
+offsets: its digest is the sha256 of its up to ``FAN`` children, each with its number, the file and offset where it
+begins, the file and offset where it ends, and its digest, up to one root. So a record that moved is found as well as
+one that changed. An audit compares the roots and then only the children of nodes that differ, level by level, down to
+the records.
 
 Null urls and bodies are empty. Rows without a page_id are left out; of rows that share one the greatest (url, html)
 is used. Other columns are ignored. An empty replica has no nodes, so every record of the other one is reported.
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from loomtrail.llm.common import Stages
 
-PER_FILE = 1024
+FILE_SHIFT = 10
+PER_FILE = 1 << FILE_SHIFT
 SHIFT = 4
 FAN = 1 << SHIFT
 ENDING = "\r\n\r\n"
@@ -36,7 +39,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.col("place").cast("string"), F.lit(">\r\nWARC-Target-URI: "), "u",
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length("b").cast("string"), F.lit(ENDING),
     )
-    return rows.select("place", F.floor(F.col("place") / PER_FILE).cast("long").alias("file"), F.concat(head, "b").alias("record"))
+    return rows.select("place", F.shiftright("place", FILE_SHIFT).alias("file"), F.concat(head, "b").alias("record"))
 
 
 def leaves(recs: DataFrame) -> DataFrame:
@@ -46,9 +49,10 @@ def leaves(recs: DataFrame) -> DataFrame:
     return own.select("place", "file", before.alias("offset"), "length", "digest")
 
 
-def write_warc(recs: DataFrame, path: str) -> None:
+def write_warc(recs: DataFrame, path: str, compression: str = "none") -> None:
     """Real WARC files, one folder per file number, through Spark's text writer."""
-    recs.repartition("file").sortWithinPartitions("file", "place").select("file", F.col("record").alias("value")).write.option("lineSep", ENDING).partitionBy("file").text(path)
+    rows = recs.repartition("file").sortWithinPartitions("file", "place").select("file", F.col("record").alias("value"))
+    rows.write.option("lineSep", ENDING).option("compression", compression).partitionBy("file").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -75,14 +79,28 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(each, "uri string, place long, file string, offset long, length long, digest string")
 
 
+def written_leaves(recs: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """Writes a replica and reads its leaves back: place, file, offset, length and digest."""
+    path = f"{stages.root}/{name}"
+    write_warc(recs, path, "gzip")
+    schema = "place long, file long, offset long, length long, digest string"
+    read = recs.sparkSession.createDataFrame([], schema) if recs.isEmpty() else read_warc(recs.sparkSession, path).withColumn("file", F.regexp_extract("file", "/file=(-?[0-9]+)/", 1).cast("long")).select("place", "file", "offset", "length", "digest")
+    out = stages.write(read, f"{name}-leaves")
+    stages.drop(name)
+    return out
+
+
+RANGE = ["file", "offset", "last_file", "last_end"]
+
+
 def tree(leaf: DataFrame, stages: Stages, name: str, levels: int) -> list[DataFrame]:
-    """(node, digest) of each level above the leaves; each node gathers at most ``FAN`` children."""
-    out, below = [], leaf.select(F.col("place").alias("node"), "digest")
+    """(node, the range of offsets, digest) of each level above the leaves; each node gathers at most ``FAN`` children."""
+    out, below = [], leaf.select(F.col("place").alias("node"), "file", "offset", F.col("file").alias("last_file"), (F.col("offset") + F.col("length")).alias("last_end"), "digest")
     for k in range(1, levels + 1):
-        kids = F.sort_array(F.collect_list(F.struct("node", "digest")))
-        text = F.array_join(F.transform(kids, lambda c: F.concat(c["node"].cast("string"), F.lit(":"), c["digest"])), "\n")
-        level = below.groupBy(F.shiftright("node", SHIFT).alias("up")).agg(F.sha2(text, 256).alias("digest")).withColumnRenamed("up", "node")
-        below = stages.write(level, f"{name}-{k}")
+        kids = F.sort_array(F.collect_list(F.struct("node", *RANGE, "digest")))
+        text = F.array_join(F.transform(kids, lambda c: F.concat_ws(":", *(c[x].cast("string") for x in ("node", *RANGE, "digest")))), "\n")
+        level = below.groupBy(F.shiftright("node", SHIFT).alias("up")).agg(F.sha2(text, 256).alias("digest"), F.min_by(F.struct("file", "offset"), "node").alias("b"), F.max_by(F.struct("last_file", "last_end"), "node").alias("e"))
+        below = stages.write(level.select(F.col("up").alias("node"), "b.file", "b.offset", "e.last_file", "e.last_end", "digest"), f"{name}-{k}")
         out.append(below)
     return out
 
@@ -97,12 +115,13 @@ def audit(expected: DataFrame, actual: DataFrame, stages: Stages) -> DataFrame:
     suspect = None
     for k in range(levels, 0, -1):
         a, b = (t[k - 1] if suspect is None else t[k - 1].withColumn("up", F.shiftright("node", SHIFT)).join(suspect, "up", "left_semi") for t in trees)
-        differ = a.selectExpr("node", "digest as x").join(b.selectExpr("node", "digest as y"), "node", "full").where("not (x <=> y)")
+        differ = a.selectExpr("node", "digest as x", "(file, offset, last_file, last_end) as r").join(b.selectExpr("node", "digest as y", "(file, offset, last_file, last_end) as s"), "node", "full").where("not (x <=> y and r <=> s)")
         suspect = stages.write(differ.select(F.col("node").alias("up")), f"differ-{k}")
     a, b = (side.withColumn("up", F.shiftright("place", SHIFT)).join(suspect, "up", "left_semi").drop("up") for side in (expected, actual))
-    both = a.alias("a").join(b.selectExpr("place", "file as f", "offset as o", "length as n", "digest as actual_sha256"), "place", "full").where("not (digest <=> actual_sha256)")
-    fault = F.when(F.col("actual_sha256").isNull(), "missing").when(F.col("digest").isNull(), "unexpected").when(F.col("length") != F.col("n"), "length").otherwise("bytes")
-    return both.select("place", F.coalesce("file", "f").alias("file"), F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "n").alias("length"), fault.alias("fault"), F.col("digest").alias("expected_sha256"), "actual_sha256")
+    both = a.alias("a").join(b.selectExpr("place", "file as f", "offset as o", "length as n", "digest as actual_sha256"), "place", "full")
+    both = both.where("not (digest <=> actual_sha256 and file <=> f and offset <=> o and length <=> n)")
+    fault = F.when(F.col("actual_sha256").isNull(), "missing").when(F.col("digest").isNull(), "unexpected").when(F.col("length") != F.col("n"), "length").when(F.col("digest") != F.col("actual_sha256"), "bytes").otherwise("moved")
+    return both.select("place", F.coalesce("file", "f").alias("file"), F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "n").alias("length"), F.col("o").alias("actual_offset"), fault.alias("fault"), F.col("digest").alias("expected_sha256"), "actual_sha256")
 
 
 def spoiled(pages: DataFrame) -> DataFrame:
@@ -114,7 +133,7 @@ def spoiled(pages: DataFrame) -> DataFrame:
 def op7_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     stages = Stages(spark, "op7")
-    good, bad = (stages.write(leaves(records(p)), name) for p, name in ((pages, "leaves-expected"), (spoiled(pages), "leaves-actual")))
+    good, bad = (written_leaves(records(p), stages, name) for p, name in ((pages, "replica-expected"), (spoiled(pages), "replica-actual")))
     return audit(good, bad, stages).withColumnRenamed("place", "page_id")
 
 
@@ -128,8 +147,9 @@ def oracle() -> str:
     return rf"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
 r AS (SELECT page_id, page_id // {PER_FILE} AS file, {record('h')} AS good, CASE WHEN page_id % 103 <> 9 THEN {record('(' + changed + ')')} END AS bad FROM p),
-s AS (SELECT *, strlen(good) AS length, sum(strlen(good)) OVER (PARTITION BY file ORDER BY page_id) - strlen(good) AS "offset" FROM r)
-SELECT page_id, file::BIGINT AS file, "offset"::BIGINT AS "offset", length::BIGINT AS length,
-  CASE WHEN bad IS NULL THEN 'missing' WHEN strlen(bad) <> length THEN 'length' ELSE 'bytes' END AS fault,
+s AS (SELECT *, strlen(good) AS length, sum(strlen(good)) OVER w - strlen(good) AS "offset", sum(strlen(bad)) OVER w - strlen(bad) AS bad_offset FROM r WINDOW w AS (PARTITION BY file ORDER BY page_id))
+SELECT page_id, file::BIGINT AS file, "offset"::BIGINT AS "offset", length::BIGINT AS length, bad_offset::BIGINT AS actual_offset,
+  CASE WHEN bad IS NULL THEN 'missing' WHEN strlen(bad) <> length THEN 'length' WHEN bad <> good THEN 'bytes' ELSE 'moved' END AS fault,
   sha256(good) AS expected_sha256, sha256(bad) AS actual_sha256
-FROM s WHERE bad IS NULL OR bad <> good"""
+FROM s WHERE bad IS NULL OR bad <> good OR bad_offset <> s."offset"
+"""
