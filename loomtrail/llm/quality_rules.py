@@ -40,71 +40,81 @@ def settled(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def repeat_words(df: DataFrame, words: str = "words") -> DataFrame:
-    """Adds n_repeat_words: the words that lie in a 3-word window found twice or more in the same text.
+def repeat_words(words: str) -> dict[str, Column]:
+    """Steps that lead to ``__q_n_repeat_words``: the words that lie in a 3-word window found twice or more in the same text.
 
     Windows are hashed to 64 bits and sorted with their places, so equal ones become neighbours; the places of equal
     neighbours, in order, then say how many words they cover.
     """
     w, n = F.col(words), F.size(words)
-    df = df.withColumn("_windows", F.when(n >= 3, F.sort_array(F.transform(
+    windows = F.when(n >= 3, F.sort_array(F.transform(
         F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
         lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i")),
-    ))))
-    s, m = F.col("_windows"), F.greatest(F.size("_windows") - 1, F.lit(0))
+    )))
+    s, m = F.col("__q_windows"), F.greatest(F.size("__q_windows") - 1, F.lit(0))
     same = F.filter(
         F.zip_with(F.slice(s, F.lit(1), m), F.slice(s, F.lit(2), m), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))),
         lambda x: x.isNotNull(),
     )
-    df = df.withColumn("_places", F.sort_array(F.array_distinct(F.flatten(same))))
-    p, k = F.col("_places"), F.greatest(F.size("_places") - 1, F.lit(0))
+    p, k = F.col("__q_places"), F.greatest(F.size("__q_places") - 1, F.lit(0))
     gaps = F.zip_with(F.slice(p, F.lit(1), k), F.slice(p, F.lit(2), k), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.aggregate(gaps, F.lit(3), lambda acc, x: acc + x)
-    return df.withColumn("n_repeat_words", settled(F.when(F.size("_places") > 0, covered).otherwise(0).cast("long"))).drop("_windows", "_places")
+    return {"__q_windows": windows, "__q_places": F.sort_array(F.array_distinct(F.flatten(same))), "__q_n_repeat_words": settled(F.when(F.size("__q_places") > 0, covered).otherwise(0).cast("long"))}
 
 
-def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the counts that the thresholds refer to."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+#: Columns that ``measure`` adds, behind ``PREFIX``.
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_stop_words", "n_stop_kinds", "n_lines", "n_dup_lines", "n_repeat_words"]
+PREFIX = "__q_"
+
+
+def measure(df: DataFrame, text: Column) -> DataFrame:
+    """Adds the counts that the thresholds refer to, under names that no column of ``df`` should have."""
+    names = df.columns
+    stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
+    df = df.withColumn("__q_text", F.coalesce(text.cast("string"), F.lit("")))
     df = df.withColumns({
-        "words": F.filter(F.split(text, SPACE), lambda w: w != ""),
-        "lines": F.filter(F.split(text, "\n"), lambda line: line.rlike(SOLID)),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
+        "__q_words": F.filter(F.split("__q_text", SPACE), lambda w: w != ""),
+        "__q_lines": F.filter(F.split("__q_text", "\n"), lambda line: line.rlike(SOLID)),
+        "__q_n_symbols": F.regexp_count("__q_text", F.lit(SYMBOL)).cast("long"),
     })
-    stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
-    df = repeat_words(df)
-    df = df.withColumn("stop", F.filter("words", lambda w: w.isin(stop)))
-    return df.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "word_chars": F.length(F.array_join("words", "")).cast("long"),
-        "n_stop_words": F.size("stop").cast("long"),
-        "n_stop_kinds": F.size(F.array_distinct("stop")).cast("long"),
-        "n_lines": F.size("lines").cast("long"),
-        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-    }).drop("words", "lines", "stop")
+    for name, value in repeat_words("__q_words").items():
+        df = df.withColumn(name, value)
+    df = df.withColumn("__q_stop", F.filter("__q_words", lambda w: w.isin(stop)))
+    df = df.withColumns({
+        "__q_n_words": F.size("__q_words").cast("long"),
+        "__q_word_chars": F.length(F.array_join("__q_words", "")).cast("long"),
+        "__q_n_stop_words": F.size("__q_stop").cast("long"),
+        "__q_n_stop_kinds": F.size(F.array_distinct("__q_stop")).cast("long"),
+        "__q_n_lines": F.size("__q_lines").cast("long"),
+        "__q_n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
+    })
+    return df.select(*names, *(PREFIX + c for c in COUNTS))
+
+
+def base_failed() -> Column:
+    n = F.col("__q_n_words")
+    return (n < 50) | (100 * F.col("__q_n_repeat_words") > 50 * n)
 
 
 def verdict(thresholds: list[tuple] = THRESHOLDS) -> Column:
     """The table as one boolean expression; a ratio without a value (no words) fails."""
     def value(ratio: str) -> Column:
         count, _, of = ratio.partition(" / ")
-        return F.try_divide(F.col(count), F.col(of)) if of else F.col(count)
+        return F.try_divide(F.col(PREFIX + count), F.col(PREFIX + of)) if of else F.col(PREFIX + count)
 
     return reduce(lambda a, b: a & b, (F.coalesce(value(ratio).between(least, most), F.lit(False)) for _, ratio, least, most in thresholds))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
-    """All columns of ``docs`` are dropped but doc_id; adds the counts, base_failed and kept."""
-    out = measure(docs.select("doc_id", F.col(text_col).alias("text"))).drop("text")
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumns({"base_failed": settled(base), "kept": settled(~base & verdict(thresholds))})
+    """doc_id, the counts, base_failed and kept; other columns of ``docs`` are left out."""
+    out = measure(docs.select("doc_id", F.col(text_col).alias("__q_text")), F.col("__q_text"))
+    return out.select("doc_id", *(F.col(PREFIX + c).alias(c) for c in COUNTS), settled(base_failed()).alias("base_failed"), settled(~base_failed() & verdict(thresholds)).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", thresholds: list[tuple] = THRESHOLDS) -> DataFrame:
-    """The rows of ``docs`` that the base rule and the table keep, with their columns."""
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = measure(docs.withColumn("_text", F.col(text_col)), "_text").withColumn("_kept", settled(~base & verdict(thresholds)))
-    return kept.where("_kept").select(*docs.columns)
+    """The rows of ``docs`` that the base rule and the table keep, with their columns, whatever their names but ``__q_...``."""
+    kept = measure(docs, docs[text_col]).withColumn("__q_kept", settled(~base_failed() & verdict(thresholds)))
+    return kept.where("__q_kept").select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
