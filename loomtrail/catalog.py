@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrail.plans import choices, documents, failures, joins, logs, ruled, runs, scores
+from loomtrail.plans import choices, documents, failures, joins, logs, prefix, rubric, ruled, runs, scores
 
-_FAMILIES = (scores, logs, joins, runs, failures, choices, documents, ruled)
+_FAMILIES = (scores, logs, joins, runs, failures, choices, documents, ruled, rubric, prefix)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in _FAMILIES for k, v in m.ORACLE.items()}
 FLAGSHIP = "pass_at_k"

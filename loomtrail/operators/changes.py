@@ -72,3 +72,8 @@ def compare_components(expected: DataFrame, observed: DataFrame, key: str, value
     """Components of two fingerprints that differ or are on one side only."""
     both = expected.select(key, F.col(value).alias("expected")).join(observed.select(key, F.col(value).alias("observed")), key, "full")
     return both.where(~F.col("expected").eqNullSafe(F.col("observed")) & ~F.col(key).isin(ignored))
+
+
+def upsert(target: DataFrame, rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """``target`` with each row of ``rows``, one per key, in the place of the one with its key, or added."""
+    return target.join(rows.select(*key), key, "left_anti").select(*key, *columns).unionByName(rows.select(*key, *columns))

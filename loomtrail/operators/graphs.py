@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder from the session; a temporary one only in local mode, as in tests."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="loomtrail-"))
+
+
 def _rounds(first: DataFrame, edges: DataFrame, step, most: int) -> DataFrame:
     """All rows reached from ``first``, round by round, until none is new; lineage is cut by checkpoints."""
-    spark = first.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomtrail-"))
+    _checkpoints(first.sparkSession)
     known = new = first.distinct().checkpoint()
     for _ in range(most):
         new = step(new, edges).distinct().join(known, known.columns, "left_anti").checkpoint()
@@ -67,3 +75,57 @@ def key_paths(relations: DataFrame, most: int) -> DataFrame:
         hop = hop.select("a", F.col("b").alias("m")).distinct().join(e.toDF("m", "b"), "m").where("a <> b").select("a", "b").distinct().withColumn("hops", F.lit(k))
         reach = reach.union(hop)
     return reach.groupBy("a", "b").agg(F.min("hops").alias("hops"))
+
+
+def _walks(edges: DataFrame, source: str, target: str, most: int) -> DataFrame:
+    """(source, target, length) of every walk in a graph without cycles, each length of a pair once."""
+    e = edges.select(F.col(source).alias("source"), F.col(target).alias("target"))
+    step = lambda new, e: new.join(e.toDF("target", "_t"), "target").select("source", F.col("_t").alias("target"), (F.col("length") + 1).alias("length"))
+    return _rounds(e.withColumn("length", F.lit(1).cast("long")), e, step, most)
+
+
+def path_lengths(edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
+    """The fewest edges from each node to each one that it reaches."""
+    return _walks(edges, source, target, most).groupBy("source", "target").agg(F.min("length").alias("length"))
+
+
+def carry_distances(edges: DataFrame, source: str, target: str, threshold: int, most: int = 64) -> DataFrame:
+    """For each edge how long the longest way between its ends is, and whether a value is carried that far."""
+    longest = _walks(edges, source, target, most).groupBy("source", "target").agg(F.max("length").alias("distance"))
+    e = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct()
+    return e.join(longest, ["source", "target"]).withColumn("far", F.col("distance") >= threshold)
+
+
+def component_ratio(nodes: DataFrame, node: str, edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
+    """Nodes, components, the largest one and the share of nodes outside it, by rounds of least labels over edges in both directions."""
+    spark = nodes.sparkSession
+    _checkpoints(spark)
+    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
+    both = e.union(e.select("b", "a")).distinct().toDF("node", "other").checkpoint()
+    label = nodes.select(F.col(node).alias("node")).distinct().withColumn("label", F.col("node"))
+    for _ in range(most):
+        low = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("low"))
+        new = label.join(low, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")).checkpoint()
+        label = new.select("node", "label")
+        if new.where("moved").isEmpty():
+            n = label.groupBy("label").agg(F.count("*").alias("n"))
+            return n.agg(F.sum("n").cast("long").alias("n_nodes"), F.count("*").alias("n_components"), F.max("n").alias("largest")).withColumn("ratio", F.bround(1 - F.col("largest") / F.col("n_nodes"), 4))
+    raise ValueError(f"a component is wider than {most}")
+
+
+def complexity(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Measures of one graph of nodes (node, app, irreversible): depth, edges between applications, fan-in, branches, and where the first irreversible node is."""
+    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
+    d = depths(nodes, "node", edges, source, target).join(nodes, "node")
+    deep = d.agg((F.max("longest") + 1).cast("long").alias("dependency_depth"), F.min(F.when(F.col("irreversible"), F.col("shortest") + 1)).cast("long").alias("irreversible_depth"))
+    app = nodes.select("node", "app")
+    cross = e.join(app.toDF("a", "x"), "a").join(app.toDF("b", "y"), "b").agg(F.count_if(F.col("x") != F.col("y")).alias("cross_app_edges"))
+    fan = degrees(edges, source, target).agg(F.max("fan_in").alias("largest_fan_in"), F.count_if(F.col("fan_out") >= 2).alias("branches"))
+    return deep.crossJoin(cross).crossJoin(fan)  # one row each
+
+
+def semantic_horizon(pairs: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """For pairs (root, shown) the fewest edges between them, in whichever direction is shorter; 0 for the same node, null without a way."""
+    p = path_lengths(edges, source, target)
+    out = pairs.join(p.toDF("root", "shown", "_f"), ["root", "shown"], "left").join(p.toDF("shown", "root", "_b"), ["root", "shown"], "left")
+    return out.select("root", "shown", F.when(F.col("root") == F.col("shown"), F.lit(0).cast("long")).otherwise(F.least("_f", "_b")).alias("horizon"))
