@@ -64,17 +64,23 @@ def distribution(rows: DataFrame, key: str, taxonomy: DataFrame) -> DataFrame:
 
 
 def rank_pivot(criteria: DataFrame, run: str, order: list[str], weight: str, success: Column, most: int) -> DataFrame:
-    """One row per run with the flags R1, R2, ... of its first criteria and its score in percent."""
+    """One row per run with the flags R1, R2, ... of its first criteria, what it gained, and that in percent with two places."""
     ranked = criteria.withColumn("_r", F.row_number().over(Window.partitionBy(run).orderBy(*order))).withColumn("_s", success)
     flags = [F.max(F.when(F.col("_r") == i, F.col("_s").cast("int"))).alias(f"R{i}") for i in range(1, most + 1)]
-    return ranked.groupBy(run).agg(*flags, F.sum(F.when(F.col("_s"), F.col(weight)).otherwise(0)).alias("gained"), F.sum(weight).alias("total"))
+    out = ranked.groupBy(run).agg(*flags, F.sum(F.when(F.col("_s"), F.col(weight)).otherwise(0)).alias("gained"), F.sum(weight).alias("total"))
+    return out.withColumn("percent", F.round(100 * F.col("gained") / F.col("total"), 2))
+
+
+def mean_and_perfect(rows: DataFrame, percent: str) -> DataFrame:
+    """Mean percent over all runs, and the share of runs with 100."""
+    return rows.agg(F.count("*").alias("n_runs"), F.round(F.avg(percent), 6).alias("mean"), (F.count_if(F.col(percent) == 100) / F.count("*")).alias("perfect_share"))
 
 
 def balance_weights(rows: DataFrame, label: str, least: float) -> DataFrame:
-    """Weight of each class: rows / (classes * its rows), at least ``least``."""
+    """Weight of each class: rows / (classes * its rows) with four places, at least ``least``."""
     n = rows.groupBy(label).agg(F.count("*").alias("n"))
     all_ = n.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    return n.crossJoin(all_).select(label, "n", F.greatest(F.lit(least), F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
+    return n.crossJoin(all_).select(label, "n", F.greatest(F.lit(least), F.round(F.col("total") / (F.col("classes") * F.col("n")), 4)).alias("weight"))
 
 
 def disagreement(reviews: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -99,7 +105,24 @@ def primary_mode(rows: DataFrame, by: str, kind: Column, share: float) -> DataFr
 
 
 def quartiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Median with interpolation, and quartiles by index into the sorted values."""
-    ranked = rows.withColumns({"_r": F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1, "_n": F.count("*").over(Window.partitionBy(by))})
-    at = lambda i: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * i / 4), F.col(value)))
-    return ranked.groupBy(by).agg(F.median(value).alias("median"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    """Median (the mean of the middle two), and quartiles by index into the sorted values.
+
+    Values are counted first, and the counts are summed up in the order of the values, so that a group's window holds
+    its different values only.
+    """
+    n = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    upto = n.withColumn("_upto", F.sum("_n").over(Window.partitionBy(by).orderBy(value)))
+    of = upto.join(n.groupBy(by).agg(F.sum("_n").alias("_all")), by)
+
+    def at(index: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > index, F.col(value)))
+
+    out = of.groupBy(by).agg(at(F.floor((F.col("_all") - 1) / 2)).alias("_a"), *(at(F.floor(F.col("_all") * i / 4)).alias(f"q{i}") for i in (1, 2, 3)))
+    return out.select(by, ((F.col("_a") + F.col("q2")) / 2).alias("median"), "q1", "q2", "q3")
+
+
+def style(texts: DataFrame, by: str, text: str, names: str) -> DataFrame:
+    """Words of texts at a quarter, half and three quarters of their order, the share written in the first person, and names (a pattern) per text."""
+    rows = texts.select(by, F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).alias("_w"), text)
+    share = rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.count_if(F.col(text).rlike(r"\b(I|my|me)\b")) / F.count("*"), 2).alias("first_person"), F.round(F.sum(F.regexp_count(text, F.lit(names))) / F.count("*"), 2).alias("mentions"))
+    return share.join(quartiles(rows, by, "_w").select(by, F.col("q1").alias("p25"), F.col("q2").alias("median"), F.col("q3").alias("p75")), by)

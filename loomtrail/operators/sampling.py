@@ -12,7 +12,8 @@ def rank_hash(seed: int, key: str) -> Column:
 
 def stratified_top(rows: DataFrame, bucket: str, order: list[Column], quotas: DataFrame, gate: Column) -> DataFrame:
     """Rows that pass the gate, best first, up to the quota of their bucket; ``quotas`` has bucket and quota."""
-    ranked = rows.where(gate).withColumn("place", F.row_number().over(Window.partitionBy(bucket).orderBy(*order)))
+    most = quotas.agg(F.max("quota")).first()[0] or 0  # each task keeps as many of a bucket before the shuffle
+    ranked = rows.where(gate).withColumn("place", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).where(F.col("place") <= most)
     return ranked.join(quotas, bucket).where("place <= quota")
 
 

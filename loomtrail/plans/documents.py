@@ -37,11 +37,6 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", texts.token_estimate(F.col("n_chars"), F.col("doc_id") % 30, 1000, 20).alias("tokens"))
 
 
-def style_statistics(spark, d):
-    n = F.size(texts.tokens(F.col("text")))
-    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.sum(n).alias("words"), F.count_if(F.col("text").contains("?")).alias("questions"), F.max(n).cast("long").alias("longest"))
-
-
 def _edges(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("a"))
     top = s.agg(F.max("a").alias("top"))
@@ -121,7 +116,7 @@ def expr_eval(spark, d):
     return o.select("o_orderkey", *(compile_expression(e, names, frame=o).alias(k) for k, e in EXPRESSIONS.items()))
 
 
-QUERIES = {f.__name__: f for f in (ngram_leak, extract_expectations, keyword_coverage, tag_strip, slug_and_snake, token_estimate, style_statistics, graph_closure, closure_depths, graph_sinks, graph_degrees, key_inference, key_paths, expr_eval, expr_typed)}
+QUERIES = {f.__name__: f for f in (ngram_leak, extract_expectations, keyword_coverage, tag_strip, slug_and_snake, token_estimate, graph_closure, closure_depths, graph_sinks, graph_degrees, key_inference, key_paths, expr_eval, expr_typed)}
 
 _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 _EDGES = """t AS (SELECT max(s_suppkey) AS top FROM supplier), e AS (SELECT DISTINCT a, b FROM (SELECT s_suppkey AS a, unnest([s_suppkey * 2, s_suppkey * 2 + 1, s_suppkey * 3 + 2]) AS b FROM supplier), t WHERE b <= top AND a > 0)"""
@@ -141,7 +136,6 @@ ORACLE = {
     "tag_strip": rf"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace({_MARKUP}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""",
     "slug_and_snake": r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, lower(regexp_replace(regexp_replace(p_type, '[\s-]+', '_', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake FROM part",
     "token_estimate": "SELECT doc_id, (n_chars + 3) // 4 + least(doc_id % 30, 20) * 1000 AS tokens FROM documents",
-    "style_statistics": f"SELECT role, count(*) AS n, sum(len({_TOKENS.format('text')}))::BIGINT AS words, count(*) FILTER (contains(text, '?')) AS questions, max(len({_TOKENS.format('text')}))::BIGINT AS longest FROM conversations GROUP BY 1",
     "graph_closure": f"WITH RECURSIVE {_EDGES}, r(x, y) AS (SELECT a, b FROM e UNION SELECT x, b FROM r JOIN e ON y = a) SELECT x AS ancestor, y AS node FROM r",
     "closure_depths": f"""WITH RECURSIVE {_EDGES}, r(node, depth) AS (SELECT s_suppkey, 0::BIGINT FROM supplier WHERE s_suppkey NOT IN (SELECT b FROM e) UNION SELECT b, depth + 1 FROM r JOIN e ON node = a)
       SELECT node, max(depth) AS longest, min(depth) AS shortest FROM r GROUP BY 1""",

@@ -54,10 +54,16 @@ def component_diff(spark, d):
 
 
 def event_gaps(spark, d):
-    """Offsets per log: first and last sequence number and rows, and the largest gap between neighbours."""
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    e = table(spark, d, "events").withColumn("gap", F.col("event_id") - F.lag("event_id").over(w))
-    return e.groupBy("event_type").agg(F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"), F.count("*").alias("n"), F.max("gap").alias("largest_gap"))
+    """Offsets per log: first and last sequence number and rows, and the largest gap between neighbours.
+
+    Neighbours are found within stretches of the sequence, and then between the ends of these.
+    """
+    key = ["event_type", "stretch"]
+    e = table(spark, d, "events").withColumn("stretch", F.floor(F.col("event_id") / 10_000))
+    inner = e.withColumn("gap", F.col("event_id") - F.lag("event_id").over(Window.partitionBy(*key).orderBy("event_id")))
+    part = inner.groupBy(*key).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"), F.count("*").alias("n"), F.max("gap").alias("gap"))
+    part = part.withColumn("before", F.col("lo") - F.lag("hi").over(Window.partitionBy("event_type").orderBy("stretch")))
+    return part.groupBy("event_type").agg(F.min("lo").alias("first_seq"), F.max("hi").alias("last_seq"), F.sum("n").alias("n"), F.max(F.greatest("gap", "before")).alias("largest_gap"))
 
 
 QUERIES = {f.__name__: f for f in (replay_until, net_change, snapshot_diff, state_changed_flag, duplicate_write, late_rows, row_digest, table_digest, component_diff, event_gaps)}

@@ -58,6 +58,14 @@ def rubric_pivot(spark, d):
     return metrics.rank_pivot(table(spark, d, "lineitem"), "l_orderkey", order, "l_quantity", F.col("l_returnflag") != "R", 4)
 
 
+def rubric_means(spark, d):
+    return metrics.mean_and_perfect(rubric_pivot(spark, d), "percent")
+
+
+def style_statistics(spark, d):
+    return metrics.style(table(spark, d, "conversations"), "role", "text", r"\b(The|Tion)[a-z]*\b")
+
+
 def balance_weights(spark, d):
     return metrics.balance_weights(table(spark, d, "documents"), "lang", 0.5)
 
@@ -82,7 +90,7 @@ def length_quartiles(spark, d):
     return metrics.quartiles(table(spark, d, "documents"), "lang", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (rubric_verdict, pass_at_k, pass_at_k_summary, awareness, any_of_repeats, episode_metrics, type_distribution, rubric_pivot, balance_weights, dataset_manifest, reviewer_disagreement, rejection_rate, primary_mode, length_quartiles)}
+QUERIES = {f.__name__: f for f in (rubric_verdict, pass_at_k, pass_at_k_summary, awareness, any_of_repeats, episode_metrics, type_distribution, rubric_pivot, rubric_means, style_statistics, balance_weights, dataset_manifest, reviewer_disagreement, rejection_rate, primary_mode, length_quartiles)}
 
 _RUNS = """r AS (SELECT o_custkey AS c_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run, o_orderstatus = 'F' AS passed,
   CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE (o_orderkey % 10) / 10.0::DOUBLE END AS score FROM orders),
@@ -106,8 +114,12 @@ ORACLE = {
       FROM (SELECT unnest({TYPES!r}) AS event_type) t LEFT JOIN events e USING (event_type) GROUP BY 1""",
     "rubric_pivot": """WITH r AS (SELECT *, l_returnflag <> 'R' AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_returnflag) AS k FROM lineitem)
       SELECT l_orderkey, max(CASE WHEN k = 1 THEN s::INT END) AS R1, max(CASE WHEN k = 2 THEN s::INT END) AS R2, max(CASE WHEN k = 3 THEN s::INT END) AS R3, max(CASE WHEN k = 4 THEN s::INT END) AS R4,
-      sum(CASE WHEN s THEN l_quantity ELSE 0 END) AS gained, sum(l_quantity) AS total FROM r GROUP BY 1""",
-    "balance_weights": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n, greatest(0.5::DOUBLE, (SELECT sum(n)::BIGINT FROM n) / ((SELECT count(*) FROM n) * n)) AS weight FROM n",
+      sum(CASE WHEN s THEN l_quantity ELSE 0 END) AS gained, sum(l_quantity) AS total, round(100 * sum(CASE WHEN s THEN l_quantity ELSE 0 END) / sum(l_quantity), 2) AS percent FROM r GROUP BY 1""",
+    "rubric_means": """SELECT count(*) AS n_runs, round(avg(p), 6) AS mean, count(*) FILTER (p = 100) / count(*) AS perfect_share FROM (SELECT round(100 * sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 2) AS p FROM lineitem GROUP BY l_orderkey)""",
+    "style_statistics": r"""WITH x AS (SELECT role, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w, regexp_matches(text, '\b(I|my|me)\b') AS me, len(regexp_extract_all(text, '\b(The|Tion)[a-z]*\b')) AS k FROM conversations),
+      r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY w) - 1 AS i, count(*) OVER (PARTITION BY role) AS n FROM x)
+      SELECT role, count(*) AS n, round(count(*) FILTER (me) / count(*), 2) AS first_person, round(sum(k) / count(*), 2) AS mentions, max(w) FILTER (i = n // 4)::INT AS p25, max(w) FILTER (i = n * 2 // 4)::INT AS median, max(w) FILTER (i = n * 3 // 4)::INT AS p75 FROM r GROUP BY 1""",
+    "balance_weights": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, n, greatest(0.5::DOUBLE, round((SELECT sum(n)::BIGINT FROM n) / ((SELECT count(*) FROM n) * n), 4)) AS weight FROM n",
     "dataset_manifest": "SELECT lang, source, count(*) AS n, count(DISTINCT text) AS n_texts, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2",
     "reviewer_disagreement": """SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_l_returnflag, count(DISTINCT l_linestatus) AS n_l_linestatus,
       concat_ws(',', CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'l_returnflag' END, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'l_linestatus' END) AS differs FROM lineitem GROUP BY 1""",
