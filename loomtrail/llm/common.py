@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ SPAN = 512 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that the driver and all executors share; a temporary one only in local mode where none is set, as in tests."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="loomtrail-")
         spark.sparkContext.setCheckpointDir(found)
     return str(found).rstrip("/")
@@ -159,3 +162,57 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... for size[0] values, then the same for each further range."""
     before = np.cumsum(size) - size
     return np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - before, size)
+
+
+def as_bytes(x: np.ndarray, width: int) -> np.ndarray:
+    """The low bytes of each number, a row each."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width])
+
+
+def from_bytes(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view(np.uint64).reshape(-1)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Byte by byte place, so that the equal high bytes of small numbers compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+
+
+def _numbers(raw: pa.Buffer, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def packed(part: np.ndarray, cols: list[np.ndarray], raws: list[np.ndarray]) -> pa.RecordBatch:
+    """A row per part: its entries' numbers, as differences from one entry to the next (c0, ...), and their bytes (r0, ...)."""
+    part = part.astype(np.uint16 if not len(part) or part.max() < 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    cuts = list(zip(head.tolist(), [*head[1:].tolist(), len(part)], strict=False))
+    out = [[_planes(np.diff(c[i:j], prepend=c.dtype.type(0))) for i, j in cuts] for c in (c[order] for c in cols)]
+    out += [[r[i:j].tobytes() for i, j in cuts] for r in (r[order] for r in raws)]
+    names = ["part", *(f"c{k}" for k in range(len(cols))), *(f"r{k}" for k in range(len(raws)))]
+    return pa.RecordBatch.from_arrays([pa.array(part[head].astype(np.int32)), *(pa.array(c, pa.binary()) for c in out)], names=names)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type], widths: list[int]) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+    """Each part with its entries; rows come sorted by part."""
+    held: list[list[np.ndarray]] = []
+    last = None
+
+    def out() -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return last, whole[: len(kinds)], whole[len(kinds) :]
+
+    for b in batches:
+        for i, part in enumerate(b.column("part").to_pylist()):
+            if held and part != last:
+                yield out()
+                held = []
+            cols = [np.cumsum(_numbers(b.column(f"c{k}")[i].as_buffer(), kind), dtype=kind) for k, kind in enumerate(kinds)]
+            held.append(cols + [np.frombuffer(b.column(f"r{k}")[i].as_buffer(), np.uint8).reshape(-1, width) for k, width in enumerate(widths)])
+            last = part
+    if held:
+        yield out()
