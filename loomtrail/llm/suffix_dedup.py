@@ -2,9 +2,12 @@
 
 Of the hashes of all ``K``-byte strings in a 100-byte string the least one is its anchor, so equal strings have equal
 anchors at equal places. Each text is cut into stretches, one per anchor: the strings that share it, with all their
-bytes. Only stretches whose anchor occurs again, in them or elsewhere, can hold repeats. Copies of a stretch are removed whole but for the
-first; the different stretches of an anchor form a text of some hundred bytes, whose suffix array brings equal strings
-together, and all but the first of these are removed too.
+bytes. Only stretches whose anchor occurs again, in them or elsewhere, can hold repeats. Equal stretches are first
+reduced to the earliest one, so that a group of copies costs a few bytes each; the others of them are removed whole. The
+different stretches of an anchor form a text, whose suffix array brings equal strings together: where neighbours have
+100 bytes in common, all but the first are removed too. Before that, stretches are narrowed to the parts whose bytes
+beside the anchor occur again, so an anchor that a third of all documents hold is split by what stands around it. Anchors travel packed by hash, and bytes only of stretches that
+differ from others of their anchor. Texts are read in pieces, so very long ones take no more memory than short ones.
 
 The suffix array is built by grouping: suffixes are grouped by first byte, and groups are taken in descending order;
 each member points to the nearest earlier suffix of a lower group, which is thereby known to continue with the group's
@@ -18,7 +21,6 @@ share an id the greatest text is used. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrail.llm.common import Prefix, Stages, buffers, one_row_per_id, ragged, spans
+from loomtrail.llm.common import SPAN, Prefix, Stages, as_bytes, buffers, from_bytes, mix, one_row_per_id, packed, ragged, spans, unpacked
 
 LENGTH, K = 100, 24
 WINDOW = LENGTH - K + 1
 #: Bytes of texts whose suffix arrays are built at once.
-BATCH = 1 << 20
+BATCH = 2 << 20
+#: Bytes of which batches of one size are chosen, and bytes beside an anchor that tell its strings apart.
+POOL, SIDE = 24 << 20, 38
+#: Anchors that are sent at once, and bytes of text whose anchors make a part.
+SENT, PART = 200_000, 8 << 20
 
 
 def suffix_arrays(s: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -174,37 +180,145 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return value, row, first, last, twice
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, offsets = buffers(b.column("text"))
-        ids = b.column("doc_id").to_numpy()
-        for lo, hi in spans(offsets):
-            h, row, first, _, twice = anchors(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            begin = offsets[lo:hi] - offsets[lo]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][row]), pa.array((first - begin[row]).astype(np.int32)), pa.array(twice)], names=["h", "doc_id", "at", "twice"])
-
-
-STRETCH = "h long, seg binary, doc_id long, at int, last int, twice boolean, bytes binary"
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Row ranges with their bytes and offsets, and where the bytes begin in the row; long rows come in pieces that share ``LENGTH`` - 1 bytes."""
+    for lo, hi in spans(offsets):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        if end - begin <= 2 * SPAN:
+            yield lo, hi, 0, data[begin:end], offsets[lo : hi + 1] - begin
+            continue
+        for at in range(0, end - begin, SPAN):
+            own = data[begin + at : min(begin + at + SPAN + LENGTH - 1, end)]
+            yield lo, hi, at, own, np.array([0, len(own)])
+
+
+def _found(parts: int):
+    """Anchors, dealt by hash, with a hash of the stretch and its size; the size's high bit marks an anchor that it holds twice."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = buffers(b.column("text"))
+            ids = b.column("doc_id").to_numpy()
+            held, size = [], 0
+            for lo, hi, at, own, cuts in _pieces(data, offsets):
+                h, row, first, last, twice = anchors(own, cuts)
+                seg = Prefix(own).of(first, last + LENGTH) if len(h) else h
+                held.append((h, seg, ids[lo:hi][row], (first - cuts[row] + at).astype(np.int32), ((last - first) | (twice << 7)).astype(np.uint8)))
+                size += len(h)
+                if size > SENT:
+                    yield _sent(held, parts)
+                    held, size = [], 0
+            if held:
+                yield _sent(held, parts)
+
+    return each
+
+
+def _sent(held: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+    h, seg, doc, at, size = (np.concatenate(c) for c in zip(*held, strict=True))
+    part = (h >> np.uint64(40)) % np.uint64(parts)
+    return packed(part, [doc, at], [as_bytes(h, 5), as_bytes(seg, 8), as_bytes(size, 1)])
+
+
+def _again(parts: int):
+    """Stretches that are copies of an earlier one, and those whose bytes are wanted: the first of each kind where an anchor has several."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (doc, at), (h, seg, size) in unpacked(batches, [np.int64, np.int32], [5, 8, 1]):
+            h, seg, size = from_bytes(h), from_bytes(seg), size.reshape(-1)
+            twice, size = size >= 128, (size & 127).astype(np.int32)
+            order = np.argsort(h)
+            same = h[order][1:] == h[order][:-1]
+            often = np.zeros(len(h), bool)
+            often[1:] = same
+            often[:-1] |= same
+            order = order[often | twice[order]]
+            order = order[np.lexsort((at[order], doc[order], seg[order], h[order]))]
+            h, seg, doc, at, size, twice = (c[order] for c in (h, seg, doc, at, size, twice))
+            group = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+            kind = group | np.concatenate([[True], (seg[1:] != seg[:-1]) | (size[1:] != size[:-1])]) if len(h) else group
+            number = np.cumsum(group) - 1
+            several = (np.bincount(number, kind) > 1) | (np.bincount(number, twice) > 0) if len(h) else group
+            wanted = kind & several[number]
+            number = np.where(wanted, h | np.uint64(part + 1 << 40), np.uint64(0)).view(np.int64)  # a copy has no anchor here
+            keep = ~kind | wanted
+            doc, at, size, number = doc[keep], at[keep], size[keep], number[keep]
+            yield packed(mix(doc.view(np.uint64)) % np.uint64(parts), [doc, at, at + size + np.int32(LENGTH), number], [])
+
+    return each
+
+
+MARKS = "doc_id long, starts array<int>, stops array<int>, at array<int>, until array<int>, anchor array<long>"
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document: byte ranges that are copies, and stretches whose bytes are wanted with their anchors."""
+    for _, (doc, start, stop, anchor), _ in unpacked(batches, [np.int64, np.int32, np.int32, np.int64], []):
+        order = np.lexsort((start, doc))
+        doc, start, stop, anchor = (c[order] for c in (doc, start, stop, anchor))
+        ids, first = np.unique(doc, return_index=True)
+        lists = []
+        for keep in (anchor == 0, anchor != 0):
+            ends = pa.array(np.concatenate([[0], np.cumsum(keep)])[np.append(first, len(doc))].astype(np.int32))
+            lists.append([pa.ListArray.from_arrays(ends, pa.array(c[keep])) for c in (start, stop, anchor)])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), *lists[0][:2], *lists[1]], names=[c.split()[0] for c in MARKS.split(", ")])
+
+
+STRETCH = "h long, doc_id long, at int, bytes binary"
+
+
+def _narrowed(flat: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of stretches whose strings have more in common than the anchor: key, number of the stretch, and bytes from and to.
+
+    A string belongs to the first occurrence of its anchor. If it starts ``SIDE`` bytes before that or less it holds as
+    many bytes behind it, else it holds more than as many before it. So the strings of an occurrence fall into two
+    parts, each known by the anchor and those bytes too, and two strings of one part are never equal.
+    """
+    n = size - K + 1
+    at = ragged(start, n)
+    sums = Prefix(flat)
+    grams = sums.of(at, at + K)
+    head = np.cumsum(n) - n
+    place = np.flatnonzero(np.repeat(np.minimum.reduceat(grams, head), n) == grams) if len(n) else head
+    stretch, anchor = np.searchsorted(head, place, "right") - 1, at[place]
+    lo, hi = start[stretch], np.minimum((start + size - LENGTH)[stretch], anchor)
+    more = np.flatnonzero(stretch[1:] == stretch[:-1]) + 1  # behind the occurrence before
+    lo[more] = np.maximum(lo[more], anchor[more - 1] + 1)
+    out = []
+    for side, first, last, near, far in ((1, np.maximum(lo, anchor - SIDE), hi, anchor + K, anchor + K + SIDE), (2, lo, np.minimum(hi, anchor - SIDE - 1), anchor - SIDE - 1, anchor)):
+        some = np.flatnonzero(first <= last)
+        key = mix((h[stretch[some]] * np.uint64(3) + np.uint64(side)) ^ sums.of(near[some], far[some]))
+        out.append((key, stretch[some], first[some], last[some] + LENGTH))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of a document that begin at the places given, with their bytes."""
+    """The bytes that are wanted of a document."""
     for b in batches:
         data, offsets = buffers(b.column("text"))
-        ids = b.column("doc_id").to_numpy()
-        wanted = b.column("places")
+        lists, untils, names = b.column("at"), b.column("until"), b.column("anchor")
         for lo, hi in spans(offsets):
-            own = data[offsets[lo] : offsets[hi]]
-            h, row, first, last, twice = anchors(own, offsets[lo : hi + 1] - offsets[lo])
-            begin = offsets[lo:hi] - offsets[lo]
-            places = wanted[lo:hi]
-            want = np.repeat(begin, places.value_lengths().to_numpy()) + places.flatten().to_numpy()
-            keep = np.isin(first, want)
-            h, row, first, last, twice = h[keep], row[keep], first[keep], last[keep], twice[keep]
-            raw = own.tobytes()
-            text = [raw[x : y + LENGTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
-            seg = [hashlib.blake2b(t, digest_size=16).digest() for t in text]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg, pa.binary()), pa.array(ids[lo:hi][row]), pa.array((first - begin[row]).astype(np.int32)), pa.array((last - begin[row]).astype(np.int32)), pa.array(twice), pa.array(text, pa.binary())], names=["h", "seg", "doc_id", "at", "last", "twice", "bytes"])
+            wanted = lists[lo:hi]
+            n = wanted.value_lengths().to_numpy()
+            row = np.repeat(np.arange(lo, hi), n)
+            at, until = wanted.flatten().to_numpy().astype(np.int64), untils[lo:hi].flatten().to_numpy()
+            size = until - at
+            flat = data[ragged(offsets[row] + at, size)]
+            start = np.cumsum(size) - size
+            key, stretch, begin, end = _narrowed(flat, start, size, names[lo:hi].flatten().to_numpy().view(np.uint64))
+            raw = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)), pa.py_buffer(flat[ragged(begin, end - begin)])])
+            place = (at[stretch] + begin - start[stretch]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(b.column("doc_id").to_numpy()[row[stretch]]), pa.array(place), raw], names=["h", "doc_id", "at", "bytes"])
+
+
+def equal_neighbours(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Whether neighbours of a suffix array have a common prefix of ``LENGTH`` or more."""
+    out = np.zeros(max(len(sa) - 1, 0), bool)
+    if len(s) >= LENGTH:
+        strings = np.lib.stride_tricks.sliding_window_view(s, LENGTH)
+        for lo in range(0, len(out), 4096):
+            hi = min(lo + 4096, len(out))
+            own = strings[sa[lo : hi + 1]]
+            out[lo:hi] = (own[1:] == own[:-1]).all(axis=1)
+    return out
 
 
 def repeats(groups: list[list[tuple[int, int, bytes]]]) -> list[tuple[int, int, int]]:
@@ -226,15 +340,14 @@ def repeats(groups: list[list[tuple[int, int, bytes]]]) -> list[tuple[int, int,
     sa = suffix_arrays(s, first)
     ends = np.array(ends)
     stretch = np.minimum(np.searchsorted(ends, sa, "right"), len(ends) - 1)
-    whole = sa + LENGTH <= ends[stretch]
+    whole = (sa + LENGTH <= ends[stretch]) & (s[sa] > 1)  # no mark between texts
     sa, stretch = sa[whole], stretch[whole]
     text = np.searchsorted(first, sa, "right")
-    h = Prefix(s.astype(np.uint8)).of(sa, sa + LENGTH)
     begin = np.concatenate([[0], ends[:-1] + 1])
     begin[np.isin(begin, first[1:] - 1)] += 1  # behind the end of the text before
     doc, place = np.array(docs)[stretch], np.array(places)[stretch] + sa - begin[stretch]
     new = np.ones(len(sa), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    new[1:] = ~equal_neighbours((s & 0xFF).astype(np.uint8), sa) | (text[1:] != text[:-1])
     run = np.cumsum(new) - 1  # equal strings are neighbours in the array
     order = np.lexsort((place, doc, run))
     again = ~np.concatenate([[True], run[order][1:] != run[order][:-1]])
@@ -247,52 +360,82 @@ def repeats(groups: list[list[tuple[int, int, bytes]]]) -> list[tuple[int, int,
 
 
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats of the anchors of a partition; rows come sorted by anchor."""
-    def out(groups: list) -> pa.RecordBatch:
-        found = list(zip(*repeats(groups), strict=True)) or [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["doc_id", "start", "stop"])
+    """Repeats of the anchors of a partition; rows come sorted by anchor, document and place.
+
+    Equal parts are reduced to the first one. Anchors are taken by size, as texts of one size are sorted side by side.
+    """
+    def batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        cols = list(zip(*found, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "stop"])
+
+    def sorted_out(groups: list[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
+        some, held = [], 0
+        for size, group in sorted(groups, key=lambda g: -g[0]):
+            if some and held + size > BATCH:
+                yield batch(repeats(some))
+                some, held = [], 0
+            some.append(group)
+            held += size
+        if some:
+            yield batch(repeats(some))
+
+    groups, copies, held, now, own = [], [], 0, None, {}
+
+    def close() -> int:
+        """Keeps what has several parts, and tells their bytes."""
+        if len(own) < 2:
+            return 0
+        size = sum(map(len, own)) + len(own)
+        groups.append((size, [(doc, at, raw) for raw, (doc, at) in own.items()]))
+        return size
 
-    groups, held, now = [], 0, None
     for b in batches:
         for h, doc, at, raw in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "at", "bytes")), strict=True):
             if h != now:
-                if held > BATCH:
-                    yield out(groups)
+                held += close()
+                now, own = h, {}
+                if held > POOL:
+                    yield from sorted_out(groups)
                     groups, held = [], 0
-                groups.append([])
-                now = h
-            groups[-1].append((doc, at, raw))
-            held += len(raw)
-    if groups:
-        yield out(groups)
+            if raw in own:
+                copies.append((doc, at, at + len(raw)))
+                if len(copies) > 100_000:
+                    yield batch(copies)
+                    copies = []
+            else:
+                own[raw] = (doc, at)
+    close()
+    if copies:
+        yield batch(copies)
+    yield from sorted_out(groups)
 
 
 def repeated_ranges(docs: DataFrame, stages: Stages) -> DataFrame:
-    """(doc_id, start, stop) of bytes to remove; ranges of a document may overlap."""
-    found = stages.write(docs.mapInArrow(_found, "h long, doc_id long, at int, twice boolean"), "anchors", compression="zstd")
-    again = found.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("any")).where("n > 1 or any").select("h")
-    places = found.join(again, "h").groupBy("doc_id").agg(F.collect_list("at").alias("places"))
-    part = stages.write(docs.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_stretches, STRETCH), "stretches", compression="zstd")
-    stages.drop("anchors")
-    first = part.groupBy("h", "seg").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("twice").alias("twice")).select("h", "seg", "f.doc_id", "f.at", "twice")
-    first = stages.write(first, "first")
-    copies = part.join(first.select("doc_id", "at", "h"), ["doc_id", "at", "h"], "left_anti").selectExpr("doc_id", "cast(at as long) as start", f"cast(last + {LENGTH} as long) as stop")
-    several = first.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("any")).where("n > 1 or any").select("h")
-    chosen = first.join(several, "h", "left_semi").select("doc_id", "at", "h")
-    rows = part.join(chosen, ["doc_id", "at", "h"], "left_semi").select("h", "doc_id", "at", "bytes")
-    near = rows.repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_sorted_groups, "doc_id long, start long, stop long")
-    return copies.unionByName(near)
+    """(doc_id, starts, stops, more_starts, more_stops) of bytes to remove; ranges of a document may overlap."""
+    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART
+
+    def gathered(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "part").sortWithinPartitions("part")
+
+    found = gathered(docs.mapInArrow(_found(parts), "part int, c0 binary, c1 binary, r0 binary, r1 binary, r2 binary"))
+    again = gathered(found.mapInArrow(_again(parts), "part int, c0 binary, c1 binary, c2 binary, c3 binary"))
+    marks = stages.write(again.mapInArrow(_marks, MARKS), "marks")
+    wanted = marks.where(F.size("at") > 0).select("doc_id", "at", "until", "anchor")
+    rows = docs.join(wanted, "doc_id").select("doc_id", "text", "at", "until", "anchor").mapInArrow(_stretches, STRETCH)
+    near = rows.repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_sorted_groups, "doc_id long, start int, stop int")
+    near = stages.write(near.groupBy("doc_id").agg(F.collect_list("start").alias("more_starts"), F.collect_list("stop").alias("more_stops")), "near")
+    return marks.select("doc_id", "starts", "stops").join(near, "doc_id", "full")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n, gone, runs, kept = [], [], [], []
-        for text, starts, stops in zip(*(b.column(c) for c in ("text", "starts", "stops")), strict=True):
+        for text, *ranges in zip(*(b.column(c) for c in ("text", "starts", "more_starts", "stops", "more_stops")), strict=True):
             raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid and len(text.as_buffer()) else np.zeros(0, np.uint8)
-            edge = np.zeros(len(raw) + 1, np.int64)
-            if starts.is_valid:
-                np.add.at(edge, starts.values.to_numpy(), 1)
-                np.add.at(edge, stops.values.to_numpy(), -1)
+            starts, stops = (np.concatenate([x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in pair]) for pair in (ranges[:2], ranges[2:]))
+            edge = np.zeros(len(raw) + 1, np.int32)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, stops, -1)
             out = np.cumsum(edge)[:-1] > 0
             n.append(len(raw))
             gone.append(int(out.sum()))
@@ -305,8 +448,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_bytes, n_removed, n_spans and ``kept``, the bytes that stay; a cut may fall inside a character."""
     stages = Stages(docs.sparkSession, "suffix-dedup")
     docs = one_row_per_id(docs, id_col, text_col)
-    ranges = repeated_ranges(docs, stages).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "starts", "stops").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = docs.join(repeated_ranges(docs, stages), "doc_id", "left").select("doc_id", "text", "starts", "stops", "more_starts", "more_stops")
+    return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
