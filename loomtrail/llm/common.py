@@ -50,7 +50,6 @@ class Stages:
         """Deletes a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.spark._jvm.System.gc()  # lets Spark delete the shuffle files of jobs that are over
 
 
 def one_row_per_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
