@@ -42,6 +42,8 @@ MOST_MATCHES, CHECK_COST = 8, 8
 BLOCK, ROUNDS = 400_000, 10
 #: Pivot rounds go on while this share of the pairs checked gives links.
 LEAST_GAIN = 0.2
+#: Entries of a prefix that travel with each of them to the last join; pairs with a longer one are all checked, so rows stay bounded.
+FRONT = 256
 
 
 def least(n: np.ndarray, percent: int) -> np.ndarray:
@@ -310,7 +312,7 @@ def links(sets: DataFrame, posts: DataFrame, stages: Stages, percent: int) -> Da
     found, tested, label, gain = None, None, None, 1.0
     # a document's whole prefix, as the lower halves of its hashes; ``twins`` are those lost as their halves are equal
     fronts = posts.groupBy("doc_id").agg(F.max("known").alias("_k"), F.count("*").alias("_n"), F.collect_set(F.col("token").bitwiseAND(0x7FFFFFFF).cast("int")).alias("front"))
-    fronts = fronts.select("doc_id", (F.col("_k") - F.size("front")).alias("rest"), (F.col("_n") - F.size("front")).alias("twins"), "front")
+    fronts = fronts.select("doc_id", (F.col("_k") - F.size("front")).alias("rest"), (F.col("_n") - F.size("front")).alias("twins"), F.when(F.size("front") <= FRONT, F.col("front")).alias("front"))
     for k in range(ROUNDS + 1):
         own = posts.withColumn("part", F.col("doc_id")) if label is None else posts.join(label.toDF("doc_id", "c"), "doc_id", "left").withColumn("part", F.coalesce("c", "doc_id")).drop("c")
         parts = own.groupBy("token", "part").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(k), "doc_id").alias("h"), "doc_id")).alias("pick"))
@@ -329,6 +331,7 @@ def links(sets: DataFrame, posts: DataFrame, stages: Stages, percent: int) -> Da
             # beyond the prefix that ends first in the common order, no more than the rest of its document can agree
             shared = F.size(F.array_intersect("fronta", "frontb"))
             enough = (shared + F.least("twinsa", "twinsb") >= F.least("la", "lb")) & ((100 + percent) * (shared + F.greatest("resta", "restb")) >= percent * (F.col("na") + F.col("nb")))
+            enough = F.when(F.col("fronta").isNull() | F.col("frontb").isNull(), F.lit(True)).otherwise(enough)
             pairs = a.join(b, (F.col("tokena") == F.col("tokenb")) & near & enough).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct()
             pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         else:
