@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomtrail.llm import chain_dedup, ngram_join, packing, pairwise_quality, quality_rules
 from loomtrail.llm.common import Stages
@@ -25,13 +26,16 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    kept = ngram_join.ngram_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The first document of each group of near copies; rows without an id belong to no group and stay.
+
+    Of rows that share an id the greatest text is compared, and all of them stay or go with it.
+    """
+    kept = ngram_join.ngram_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__q_id"))
+    return docs.join(kept, docs["doc_id"].cast("long") == F.col("__q_id"), "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document holds."""
+    """Documents without the passages that an earlier document holds, each cut from the text it was found in."""
     return chain_dedup.without(docs, chain_dedup.passages(docs))
 
 
