@@ -122,7 +122,14 @@ _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lam
 _EDGES = """t AS (SELECT max(s_suppkey) AS top FROM supplier), e AS (SELECT DISTINCT a, b FROM (SELECT s_suppkey AS a, unnest([s_suppkey * 2, s_suppkey * 2 + 1, s_suppkey * 3 + 2]) AS b FROM supplier), t WHERE b <= top AND a > 0)"""
 _MARKUP = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
 
+_KEYS = f"""c AS (SELECT table_name AS t, column_name AS c, row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS p, regexp_extract(column_name, '^[a-z]+_([a-z]+key)$', 1) AS stem FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, TABLES))})),
+  k AS (SELECT a.t AS from_table, a.c AS from_column, b.t AS to_table, b.c AS to_column FROM c a JOIN c b ON a.stem = b.stem AND a.stem <> '' AND b.p = 1 AND a.t <> b.t)"""
+
 ORACLE = {
+    "key_inference": f"WITH {_KEYS} SELECT * FROM k",
+    "key_paths": f"""WITH {_KEYS}, e AS (SELECT from_table AS a, to_table AS b FROM k UNION SELECT to_table, from_table FROM k),
+      h AS (SELECT a, b, 1 AS hops FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a WHERE x.a <> z.b AND x.a <> y.b)
+      SELECT a, b, min(hops) AS hops FROM h GROUP BY 1, 2""",
     "ngram_leak": f"""WITH a AS (SELECT doc_id, {_TOKENS.format("text")} AS w FROM documents), b AS (SELECT item_id, {_TOKENS.format("text")} AS w FROM benchmark),
       x AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM a)),
       y AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b))

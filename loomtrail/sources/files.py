@@ -68,7 +68,7 @@ def extract(name: str, data: bytes) -> str | None:
                 if suffix == "xlsx":
                     return _sheet(archive)
                 return _plain(archive.read("word/document.xml" if suffix == "docx" else "content.xml").decode(), r"</(?:w:p|text:p|text:h)>")
-        except (zipfile.BadZipFile, KeyError, ValueError):
+        except (zipfile.BadZipFile, LookupError, ValueError):
             return None if b"\0" in data else _strict(data)
     if suffix == "pdf":
         return _pdf(data)
@@ -124,3 +124,79 @@ def png_size(content: Column) -> Column:
     """Width and height from a PNG header."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def json_line(files: DataFrame, uri: str, schema: str) -> DataFrame:
+    """The record that a ``path#line=N`` names; no row if there is none."""
+    path, _, number = uri.partition("#line=")
+    return json_lines(files.where(F.col("path").endswith(path)), schema).where(F.col("number") == int(number)).select("record.*")
+
+
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per file that holds a JSON object over any number of lines; a broken file is an error."""
+    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of CSV files with a header; without a schema all columns are texts."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+
+
+def sample_rows(df: DataFrame, order: list[str], n: int, most: int = 120) -> DataFrame:
+    """The first ``n`` rows as texts, cut to ``most`` characters; bytes are shown by their number."""
+    shown = []
+    for field in df.schema:
+        c = F.col(field.name)
+        cut = F.when(F.length(c.cast("string")) > most, F.concat(F.substring(c.cast("string"), 1, most), F.lit("…"))).otherwise(c.cast("string"))
+        shown.append((F.concat(F.lit("<"), F.length(c), F.lit(" bytes>")) if field.dataType.typeName() == "binary" else cut).alias(field.name))
+    return df.orderBy(*order).limit(n).select(*shown)
+
+
+def seed_tables(seeds: DataFrame) -> DataFrame:
+    """Rows of seeds (tbl, columns array<string>, rows array<array<string>>): tbl, place and a mapping of columns to values."""
+    each = seeds.select("tbl", "columns", F.posexplode("rows").alias("place", "cells"))
+    wide = F.when(F.size("cells") != F.size("columns"), F.raise_error(F.concat(F.lit("a row of "), "tbl", F.lit(" has other cells than columns"))).cast("map<string,string>")).otherwise(F.map_from_arrays("columns", "cells"))
+    return each.select("tbl", "place", wide.alias("row"))
+
+
+def top_folders(files: DataFrame, root: str, folders: list[str]) -> DataFrame:
+    """Files below the given top folders of ``root``, with the folder."""
+    below = F.regexp_extract("path", rf"\Q{root.rstrip('/')}\E/([^/]+)/", 1)
+    return files.withColumn("folder", below).where(F.col("folder").isin(folders))
+
+
+def lookup(files: DataFrame, names: DataFrame, home: str) -> DataFrame:
+    """Files by name (name), where ``file:`` in front, and ``~`` or nothing for the home folder, are understood."""
+    plain = F.regexp_replace(F.col("name"), "^file:(//)?", "")
+    path = F.when(plain.startswith("~/"), F.concat(F.lit(home), F.substring(plain, 2, 1 << 20))).when(~plain.startswith("/"), F.concat(F.lit(f"{home}/"), plain)).otherwise(plain)
+    wanted = names.select("name", path.alias("_p"))
+    return wanted.join(files.drop("name").withColumn("_p", F.regexp_replace("path", "^file:(//)?", "")), "_p", "left").drop("_p")
+
+
+def folder_table(files: DataFrame, pattern: str, names: list[str]) -> DataFrame:
+    """Folder names as columns: the groups of ``pattern``, found in the path; other files are left out."""
+    found = [F.regexp_extract("path", pattern, i + 1).alias(n) for i, n in enumerate(names)]
+    return files.where(F.col("path").rlike(pattern)).select(*found, *files.columns)
+
+
+def nested_entities(documents: DataFrame, ident: str, json: str, paths: dict[str, str], id_field: str) -> DataFrame:
+    """Entities in JSON documents: for each kind the members of the list at its path, with an id from a field or else their place."""
+    out = []
+    for kind, path in paths.items():
+        items = F.from_json(F.get_json_object(json, path), "array<string>")
+        each = documents.select(F.col(ident), F.posexplode(items).alias("place", "item"))
+        key = F.coalesce(F.get_json_object("item", f"$.{id_field}"), F.col("place").cast("string"))
+        out.append(each.select(ident, F.lit(kind).alias("kind"), F.concat_ws(":", F.lit(kind), key).alias("entity"), "item"))
+    first, *others = out
+    for df in others:
+        first = first.unionByName(df)
+    return first
+
+
+def task_list(tasks: DataFrame, origin: str, world: str, required: list[str]) -> DataFrame:
+    """Tasks of an origin and a world; one that lacks a required field is an error."""
+    mine = tasks.where((F.col("origin") == origin) & (F.col("world") == world))
+    lacks = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in required)))
+    bad = F.when(F.size(lacks) > 0, F.raise_error(F.concat(F.lit("a task lacks "), F.array_join(lacks, ", "))).cast("string"))
+    return mine.withColumn("_bad", bad).where(F.col("_bad").isNull()).drop("_bad")
