@@ -263,7 +263,7 @@ def adaptive(df: np.ndarray, alone: int, n: int, percent: int) -> tuple[int, int
 
 def _postings(percent: int):
     """Prefix entries of a block's documents, from the counts that it was told."""
-    def each(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         told = pdf["blob"].notna()
         raw = np.frombuffer(b"".join(pdf["blob"][told]), np.uint8).reshape(-1, 10)
         h, df = unpack48(raw[:, :6]), raw[:, 6:].copy().view("<u4").ravel().astype(np.int64)

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from loomtrail.llm import bpe, chain_dedup, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, suffix_dedup, token_files, warc
 from loomtrail.llm.common import Stages
@@ -39,7 +40,7 @@ def texts() -> dict[int, str | None]:
     passage = prose(70, rng)
     for i in range(90, 100):
         out[i] = f"{prose(60, rng)} {passage} {prose(60, rng)}"
-    out.update({100: None, 101: "", 102: "  \n\t ", 103: "one two", 104: "One two", 105: out[3], 106: out[3], 107: "ab " * 100, 108: "x" * 5000, 109: prose(20_000, rng), 110: "Σas İs it's 'LL don't \r\n 日本 🙂"})
+    out.update({100: None, 101: "", 102: "  \n\t ", 103: "one two", 104: "One two", 105: out[3], 106: out[3], 107: "ab " * 100, 108: "x" * 5000, 109: prose(20_000, rng), 110: "Σas İs it's 'LL don't \r\n 日本 🙂", 111: "hello <|endoftext|> world", 112: "<|startoftext|>a<|endoftext|><|endoftext|>"})
     return out
 
 
@@ -65,7 +66,6 @@ def test_token_files(spark, docs, texts, empty, odd, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     token_files.write_token_ids(docs, str(tmp_path / "t"), path)
     got = {r.doc_id: r for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect()}
     sums = {r.doc_id: r for r in token_files.checksums(token_files.read_tokens(spark, str(tmp_path / "t"))).collect()}
@@ -81,6 +81,36 @@ def test_token_files(spark, docs, texts, empty, odd, tmp_path):
         assert token_files.read_metadata(spark, str(tmp_path / name)).count() == n
 
 
+def test_token_files_are_read_selectively(spark, tmp_path, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(13)
+    monkeypatch.setattr(token_files, "ROW_GROUP", 64 << 10)
+    path, docs = str(tmp_path / "t"), spark.createDataFrame([(i, prose(120, rng)) for i in range(3000)], "doc_id long, text string").repartition(3)
+    token_files.write_token_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    files = [pq.ParquetFile(f) for f in sorted(glob.glob(f"{path}/ids/*.parquet"))]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert len(groups) > len(files) and sum(g.num_rows for g in groups) == 3000
+    for g in groups:
+        own = {g.column(i).path_in_schema: g.column(i) for i in range(g.num_columns)}
+        ids, doc = next(c for k, c in own.items() if k.startswith("ids")), own["doc_id"]
+        assert any("DICTIONARY" in e for e in ids.encodings) and ids.has_offset_index and doc.has_column_index and doc.statistics.has_min_max
+        assert g.total_byte_size < 4 * token_files.ROW_GROUP
+    bounds = sorted((doc.statistics.min, doc.statistics.max) for g in groups for doc in [next(g.column(i) for i in range(g.num_columns) if g.column(i).path_in_schema == "doc_id")])
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))  # so a range of ids touches few groups
+
+    def scan(df) -> str:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return next(line for line in plan.split("\n") if "FileScan parquet [part" in line)
+
+    meta, some = scan(token_files.read_metadata(spark, path)), scan(token_files.read_tokens(spark, path, 10, 12))
+    assert "ids" not in meta.partition("ReadSchema")[2] and "ids:array<int>" in some
+    assert "GreaterThanOrEqual(doc_id,10)" in some and "LessThanOrEqual(doc_id,12)" in some
+    assert [r.doc_id for r in token_files.read_tokens(spark, path, 10, 12).orderBy("doc_id").collect()] == [10, 11, 12]
+
+
 def test_byte_bpe(docs, texts, empty, odd):
     import tiktoken
 
@@ -139,6 +169,37 @@ def test_suffix_dedup(docs, texts, empty, odd):
     assert suffix_dedup.suffix_dedup(odd).count() == 2
 
 
+def test_suffix_dedup_of_many_small_texts(spark):
+    """Mutated copies, periodic texts and pieces over small alphabets, each case in ids of its own and letters of its own."""
+    rng = random.Random(1)
+    rows = []
+    for case in range(24):
+        letters = [chr(0x100 + 40 * case + i) for i in range(rng.choice([2, 3, 8, 26]))]
+        base = [rng.choice(letters) for _ in range(rng.choice([80, 200, 450]))]
+        for i in range(rng.randint(2, 12)):
+            kind, t = rng.random(), list(base)
+            if kind < 0.6:
+                for _ in range(rng.randint(0, 5)):
+                    t[rng.randrange(len(t))] = rng.choice(letters)
+                at = rng.randrange(len(t))
+                t[at:at] = [rng.choice(letters) for _ in range(rng.randint(0, 9))]
+            elif kind < 0.75:
+                t = rng.choice([letters[:1], letters[:2], base[:15], base[:45]]) * rng.randint(1, 60)
+            else:
+                t = base[rng.randrange(len(base)) :] + base[: rng.randrange(len(base))]
+            rows.append((1000 * case + 3 * i, "".join(t)))
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    seen: set[bytes] = set()
+    for k, text in rows:
+        raw = text.encode()
+        out = [False] * len(raw)
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                out[i : i + 100] = [True] * 100
+            seen.add(raw[i : i + 100])
+        assert got[k] == bytes(c for c, o in zip(raw, out, strict=True) if not o), k
+
+
 def shingle_set(text: str | None) -> frozenset:
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
@@ -165,6 +226,30 @@ def test_ngram_join(docs, texts, empty, odd):
     assert {tuple(r) for r in ngram_join.ngram_join(odd).collect()} == {(1, 2, 1), (2, 2, 1)}
 
 
+@pytest.mark.parametrize("front", [4, 256])
+def test_ngram_join_across_components(spark, monkeypatch, front):
+    """Chains of near copies and long texts, with prefixes that are sent along or too long for it."""
+    monkeypatch.setattr(ngram_join, "FRONT", front)
+    rng = random.Random(12)
+    texts = {}
+    for case in range(12):
+        words = plain(300 if case else 20_000, rng).split()
+        for i in range(6):
+            texts[100 * case + i] = " ".join(words)
+            for _ in range(len(words) // 75):
+                words[rng.randrange(len(words))] = f"y{rng.randrange(9000)}"
+    sets = {k: shingle_set(v) for k, v in texts.items()}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b]) if a // 100 == b // 100 else 0
+            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == root
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)]
@@ -186,12 +271,94 @@ def test_quality_rules_match_their_sql(spark, docs, empty, odd):
     assert {r.doc_id for r in quality_rules.kept_rows(docs).collect()} == {r[0] for r in want if r[7]}
 
 
+def test_near_vectors_of_one_dense_group(spark):
+    """Every link of a group of near copies is found, however large it is."""
+    rng = np.random.default_rng(14)
+    centre = rng.standard_normal(64)
+    x = centre + 0.25 * rng.standard_normal((4000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = int(sum((unit[i : i + 500] @ unit.T >= 0.9).sum() for i in range(0, 4000, 500))) - 4000
+    got = near_vectors.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), "vec_id", "embedding").agg(F.sum("n_links"), F.countDistinct("component_id")).first()
+    assert true > 10_000_000 and 0.98 * true <= got[0] <= true and got[1] == 1
+
+
+def test_the_fit_is_the_least_loss(spark):
+    """Newton's weights against plain gradient descent on the same pairs."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((300, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.standard_normal(300) > 0).astype(float)
+    model = pairwise_quality.fit(x, y, pairs=2000)
+    spread, mean = x.std(axis=0), x.mean(axis=0)
+    z, pick = (x - mean) / spread, np.random.default_rng(5)
+    good, bad = np.flatnonzero(y > 0.5), np.flatnonzero(y < 0.5)
+    d, w = z[pick.choice(good, 2000)] - z[pick.choice(bad, 2000)], np.zeros(4)
+    for _ in range(4000):
+        w -= 0.5 * (1e-3 * w - d.T @ (1 / (1 + np.exp(d @ w))) / 2000)
+    assert np.allclose(np.array(model["w"]) * spread, w, atol=1e-3)
+    assert model["at"] == pytest.approx(np.quantile(z @ w, len(bad) / 300), abs=1e-3)
+
+
+def test_names_that_operators_use_themselves(spark, data, docs):
+    clashing = ["words", "lines", "stop", "n_words", "x", "y", "score", "_text", "_cuts", "_t", "kept", "h", "word_chars"]
+    wide = docs.select("doc_id", "text", *(F.lit(-7 - i).alias(c) for i, c in enumerate(clashing)))
+    found = chain_dedup.passages(wide)
+    model = pairwise_quality.fit(np.ones((2, 1)), np.ones(2)) | {"w": [0.0] * len(wide.limit(1).transform(pairwise_quality.features).first()["__q_x"])}
+    for out in (quality_rules.kept_rows(wide), pairwise_quality.kept_rows(wide, model), chain_dedup.without(wide, found)):
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(tuple(r)[2:] == tuple(-7 - i for i in range(len(clashing))) for r in rows)
+
+
+def test_cuts_go_to_the_rows_they_were_found_in(spark):
+    rng = random.Random(8)
+    a = plain(200, rng)
+    lesser, greater = "A" + plain(100, rng), "é" + plain(100, rng)  # of an id's texts the greatest one is searched
+    df = spark.createDataFrame([(0, a), (1, a), (1, None), (1, lesser), (2, a), (2, a), (3, a), (3, greater), (None, a)], "doc_id long, text string")
+    out = [tuple(r) for r in chain_dedup.without(df, chain_dedup.passages(df)).collect()]
+    assert sorted(out, key=str) == sorted([(0, a), (1, ""), (1, None), (1, lesser), (2, ""), (2, ""), (3, a), (3, greater), (None, a)], key=str)
+
+
+def test_four_documents_with_quotes(spark):
+    rng = random.Random(9)
+    passage = plain(80, rng).split()
+    texts = [" ".join(passage[:40]), " ".join(passage[40:]), " ".join(passage), " ".join(passage)]
+    df = spark.createDataFrame([(i, f"{plain(60, rng)} {t} {plain(60, rng)}") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [(r.doc_id, r.source_id, r.n_words) for r in chain_dedup.passages(df).collect()] == [(3, 2, 80)]
+
+
+def test_very_long_texts(spark):
+    """Texts longer than the pieces that are hashed at once, with copies across their borders."""
+    rng = random.Random(10)
+    long = plain(300_000, rng)
+    df = spark.createDataFrame([(0, long), (1, "x" + long[1_000_000:1_200_000] + "y"), (2, plain(100, rng))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert got == {0: (0, 0), 1: (200_000, 1), 2: (0, 0)}
+
+
+def test_bm25_scores(spark):
+    rng = np.random.default_rng(11)
+    size = rng.integers(1, 60, 40)
+    ids = rng.integers(0, 50, int(size.sum()))
+    rows = np.split(ids, np.cumsum(size)[:-1])
+    df = np.array([sum(t in r for r in rows) for t in range(50)])
+    idf = np.log(1 + (40 - df + 0.5) / (df + 0.5))
+    index = packing.Index(ids, size, idf, float(size.mean()))
+    unused = rng.random(40) < 0.8
+    for seed in range(40):
+        score = np.zeros(40)
+        for d, row in enumerate(rows):
+            for t in set(rows[seed]):
+                tf = int((row == t).sum())
+                score[d] += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(row) / size.mean()))
+        best = [d for d in sorted(range(40), key=lambda d: (-round(score[d], 9), d)) if unused[d] and score[d] > 0][:16]
+        assert [round(score[d], 6) for d in index.neighbours(seed, unused)] == [round(score[d], 6) for d in best]
+
+
 def test_packing(docs, texts, empty, odd):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     found, windows = defaultdict(list), defaultdict(list)
     for r in packing.packed(docs, path).collect():
         found[r.doc_id].append(r)
@@ -216,13 +383,25 @@ def test_warc_audit_and_files(spark, tmp_path):
     warc.write_warc(recs, str(tmp_path / "w"))
     read = {r.place: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     stages = Stages(spark, "test")
-    a = stages.write(warc.leaves(recs), "a")
-    assert {r.place: (r.length, r.digest) for r in a.collect()} == {k: (r.length, r.digest) for k, r in read.items()}
-    b = stages.write(warc.leaves(warc.records(warc.spoiled(pages))), "b")
-    want = {i for i in range(1100) if i % 97 == 5 or i % 101 == 7 or i % 103 == 9}
-    assert {r.place for r in warc.audit(a, b, Stages(spark, "t1")).collect()} == want
+    a = warc.written_leaves(recs, stages, "a")
+    assert {r.place: (r.offset, r.length, r.digest) for r in warc.leaves(recs).collect()} == {k: (r.offset, r.length, r.digest) for k, r in read.items()}
+    assert a.exceptAll(warc.leaves(recs).select(*a.columns)).isEmpty() and a.count() == 1100
+    b = warc.written_leaves(warc.records(warc.spoiled(pages)), stages, "b")
+    want = {i: "missing" if i % 103 == 9 else "bytes" if i % 97 == 5 else "length" for i in range(1100) if i % 97 == 5 or i % 101 == 7 or i % 103 == 9}
+    found = {r.place: r.fault for r in warc.audit(a, b, Stages(spark, "t1")).collect()}
+    assert {k: v for k, v in found.items() if v != "moved"} == want
+    shift, moved, rows = 0, set(), {r.place: r.length for r in a.collect()}
+    for i in range(1100):
+        shift = 0 if i % 1024 == 0 else shift
+        if want.get(i) is None and shift:
+            moved.add(i)
+        shift += {"missing": rows[i], "length": 1}.get(want.get(i), 0)
+    assert {k for k, v in found.items() if v == "moved"} == moved
     assert warc.audit(a, a, Stages(spark, "t2")).count() == 0
     assert warc.audit(a, a.limit(0), Stages(spark, "t3")).count() == 1100
+    assert warc.audit(warc.written_leaves(warc.records(pages.limit(0)), stages, "c"), a, Stages(spark, "t4")).count() == 1100
+    swapped = a.selectExpr("place", "file", "offset + 1 as offset", "length", "digest")  # equal records, laid out differently
+    assert {r.fault for r in warc.audit(a, swapped, Stages(spark, "t5")).collect()} == {"moved"}
 
 
 def test_near_vectors(spark):
@@ -368,3 +547,23 @@ def test_pipeline(spark, data):
     left = before.select("doc_id").distinct()
     assert docs.select("doc_id").distinct().exceptAll(left).isEmpty() and left.exceptAll(docs.select("doc_id").distinct()).isEmpty()
 
+
+
+def test_pipeline_stages_with_odd_rows(spark, docs, odd):
+    """Rows without an id or a text, repeated ids and an empty table go through every stage."""
+    import corpus_pipeline
+
+    rng, names = random.Random(16), "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = (" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(900)}", f"v{rng.randrange(900)}"]) for _ in range(400)) for _ in range(3))
+    rows = [(0, a), (1, a), (1, None), (1, b), (2, a), (2, a), (None, b), (None, None), (3, ""), (4, c)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], names)
+    near = corpus_pipeline.near_copies(spark, table, "")
+    assert near.columns == table.columns
+    greater = max(a, b)
+    gone = {2} | ({1} if greater == a else set())
+    assert sorted(map(str, near.collect())) == sorted(str(r) for r in table.collect() if r.doc_id not in gone)
+    cut = corpus_pipeline.passages(spark, table, "").collect()
+    assert {(r.doc_id, r.text) for r in cut if r.doc_id in (0, None, 3, 4)} == {(0, a), (None, b), (None, None), (3, ""), (4, c)} and all(r.n_chars == len(r.text) for r in cut if r.text)
+    for df in (table, table.limit(0)):
+        assert corpus_pipeline.rules(spark, df, "").columns == table.columns
+        assert corpus_pipeline.windows(spark, df, "").selectExpr("coalesce(sum(length), 0)").first()[0] >= df.count()
