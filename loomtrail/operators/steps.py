@@ -49,32 +49,42 @@ def ledger(steps: DataFrame, by: str, at: str, fact: str, value: str, gold: Data
     return first.join(gold.select(by, fact).distinct(), [by, fact], "left_semi").unionByName(first.join(used.select(by, at).distinct(), [by, at], "left_semi")).distinct()
 
 
-def neutral_segments(steps: DataFrame, by: str, at: str, key: str, value: str, page: str) -> DataFrame:
+def neutral_segments(steps: DataFrame, by: str, at: str, key: str, value: str, page: str, feeds: DataFrame | None = None) -> DataFrame:
     """Greedy longest stretches of a run after which every key has the value it had before and the page is the same.
 
-    Runs are short (hundreds of steps), so a run is one group; runs themselves are spread over the cluster.
+    ``feeds`` (run, at, used) names later steps that use what a step typed: a stretch that feeds a step behind it does not
+    count. States are hashes over all keys, kept up by windows, so that only numbers of a run meet in a task; there each
+    step is held against the steps with its state and page, last ones first.
     """
+    run = Window.partitionBy(by).orderBy(at)
+    was = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(by, key).orderBy(at))
+    cell = lambda v: F.xxhash64(F.col(key).cast("string"), v.cast("string"))
+    moved = cell(F.col(value)).bitwiseXOR(F.coalesce(cell(was["v"]), F.lit(0).cast("long")))
+    moved = F.when(was.isNull(), cell(F.col(value))).otherwise(moved)
+    state = F.expr("bit_xor(_m)").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = steps.select(by, F.col(at), F.xxhash64(page).alias("_page"), moved.alias("_m")).withColumn("_state", state)
+    rows = rows.select(by, F.col(at), "_state", "_page", F.coalesce(F.lag("_state").over(run), F.lit(0).cast("long")).alias("_before"), F.coalesce(F.lag("_page").over(run), F.col("_page")).alias("_page_before"))
+    if feeds is None:
+        rows = rows.withColumn("_used", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(feeds.groupBy(by, at).agg(F.max("used").cast("long").alias("_used")), [by, at], "left")
+
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable")
-        keys, values, pages, ats = (pdf[c].tolist() for c in (key, value, page, at))
-        n, i, out = len(ats), 0, []
-        while i < n:
-            start = {}
-            for k, v in zip(keys[:i], values[:i], strict=True):
-                start[k] = v
-            now, changed, best = dict(start), set(), -1
-            for j in range(i, n):
-                now[keys[j]] = values[j]
-                (changed.discard if now[keys[j]] == start.get(keys[j]) else changed.add)(keys[j])
-                if not changed and pages[j] == (pages[i - 1] if i else pages[0]) and j > i:
-                    best = j
-            if best >= 0:
+        ats, after, before, used = pdf[at].tolist(), list(zip(pdf["_state"], pdf["_page"], strict=True)), list(zip(pdf["_before"], pdf["_page_before"], strict=True)), pdf["_used"].fillna(-1).tolist()
+        places: dict[tuple, list[int]] = {}
+        for j, k in enumerate(after):
+            places.setdefault(k, []).append(j)
+        out, i = [], 0
+        while i < len(ats):
+            best = next((j for j in reversed(places.get(before[i], [])) if j >= i and max(used[i : j + 1]) <= ats[j]), None) if places.get(before[i], [-1])[-1] >= i else None
+            if best is not None:
                 out.append((pdf[by].iloc[0], ats[i], ats[best], best - i + 1))
-            i = best + 1 if best >= 0 else i + 1
+            i = i + 1 if best is None else best + 1
         return pd.DataFrame(out, columns=[by, "first", "last", "n_steps"])
 
     kinds = dict(steps.dtypes)
-    return steps.select(by, at, key, value, page).groupBy(by).applyInPandas(each, f"{by} {kinds[by]}, first {kinds[at]}, last {kinds[at]}, n_steps long")
+    return rows.groupBy(by).applyInPandas(each, f"{by} {kinds[by]}, first {kinds[at]}, last {kinds[at]}, n_steps long")
 
 
 def token_matched(rows: DataFrame, by: str, tokens: str, target: str, tolerance: float, order: Column) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomtrail.functions.expressions import ExpressionError, compile_expression
-from loomtrail.operators import changes, facts, graphs, metrics, sampling, steps
+from loomtrail.operators import changes, facts, graphs, metrics, prefixes, rubrics, rules, sampling, steps
 
 
 def test_first_passing_run_gives_the_score(spark):
@@ -72,6 +75,71 @@ def test_neutral_segment_returns_to_its_state(spark):
     assert [tuple(r) for r in got] == [("r", 1, 2, 2)]
 
 
+def test_neutral_segments_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(r, i, rng.choice("ab"), rng.choice([None, 1, 2]), rng.choice("pq")) for r in range(6) for i in range(40)]
+    feeds = [(r, i, i + rng.randint(1, 6)) for r in range(6) for i in range(40) if rng.random() < 0.1]
+
+    def brute(run: int, fed: list) -> list:
+        own = [x for x in rows if x[0] == run]
+        out, i = [], 0
+        while i < len(own):
+            start = {k: v for _, _, k, v, _ in own[:i]}
+            page, best = own[i - 1][4] if i else own[0][4], None
+            for j in range(len(own) - 1, i - 1, -1):
+                now = start | {k: v for _, _, k, v, _ in own[i : j + 1]}
+                if now == start and own[j][4] == page and not any(r == run and own[i][1] <= s <= own[j][1] < u for r, s, u in fed):
+                    best = j
+                    break
+            if best is not None:
+                out.append((run, own[i][1], own[best][1], best - i + 1))
+            i = i + 1 if best is None else best + 1
+        return out
+
+    steps_ = spark.createDataFrame(rows, "run int, at int, key string, value int, page string")
+    for fed in ([], feeds):
+        df = spark.createDataFrame(fed, "run int, at int, used int") if fed else None
+        got = sorted(map(tuple, steps.neutral_segments(steps_, "run", "at", "key", "value", "page", df).collect()))
+        assert got == [x for run in range(6) for x in brute(run, fed)] and got
+
+
+def test_token_matched_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(g, i, rng.randint(1, 40), 300) for g in "ab" for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, i int, n int, goal int")
+    want = set()
+    for g in "ab":
+        total = 0
+        for _, i, n, goal in sorted((x for x in rows if x[0] == g), key=lambda x: hashlib.sha256(str(x[1]).encode()).hexdigest()):
+            if total < goal * 0.95 and total + n <= goal * 1.05:
+                total += n
+                want.add((g, i))
+        assert 285 <= total <= 315
+    assert {(r.g, r.i) for r in steps.token_matched(df, "g", "n", "goal", 0.05, F.sha2(F.col("i").cast("string"), 256)).collect()} == want
+
+
+def test_other_row(spark):
+    df = spark.createDataFrame([(i, "x" if i < 6 else f"n{i}") for i in range(10)], "k int, name string")
+    got = {r.k: (r.other, r.same_name) for r in prefixes.other_row(df, "k", "name", 3).collect()}
+    assert all(o != k and same == (k < 6) and (o < 6 or k >= 6) for k, (o, same) in got.items()) and len(got) == 10
+    assert sorted(o for k, (o, _) in got.items() if k < 6) == list(range(6))
+    assert prefixes.other_row(df.limit(1), "k", "name", 3).first().other is None
+
+
+def test_patches_that_do_not_fit(spark):
+    steps_ = spark.createDataFrame([("r", 0, "a", "o"), ("r", 1, "b", "p")], "run string, at int, action string, seen string")
+    for patch, match in ((("r", 5, "drop", "a", None), "no step"), (("r", 1, "replace", "zz", "c"), "another action")):
+        with pytest.raises(Exception, match=match):
+            prefixes.patched(steps_, spark.createDataFrame([patch], "run string, at int, operation string, old_action string, new_action string"), "run", "at", "action", ["seen"]).collect()
+
+
+def test_dates_of_every_form_and_unknown_labels(spark):
+    df = spark.createDataFrame([("2024-02-29", "2024-02-29"), ("March 3rd, 2025", "2025-03-03"), ("Mar. 3, 2025", "2025-03-03"), ("Sept 9", "2026-09-09"), ("May 1", "2026-05-01"), ("7/4/2025", "2025-07-04"), ("7/4", "2026-07-04"), ("13/40", None)], "t string, want string")
+    assert [r for r in df.select("t", "want", rubrics.iso_date(F.col("t"), 2026).alias("got")).collect() if r.want != r.got] == []
+    with pytest.raises(Exception, match="unknown label"):
+        spark.createDataFrame([(["nonsense"],)], "l array<string>").select(rules.normal_labels(F.col("l"))).collect()
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("-7 % 2", 1), ("-7 // 2", -4), ("7 % -2", -1), ("1 < a <= 5 and not b", True), ("b or a == 5", True), ("'x' if b else 'y'", "y"), ("xs[-1]", 3), ("xs[0:2]", [1, 2]),
     ("[x * 2 for x in xs if x > 1]", [4, 6]), ("round(2.5)", 2), ("sum(xs)", 6), ("argmax(count_by(ws))", "v"), ("date_add('2024-02-28', days=2)", "2024-03-01"), ("date_add('2024-02-28T10:00:00', hours=15)", "2024-02-29T01:00:00"),
@@ -82,7 +150,7 @@ def test_neutral_segment_returns_to_its_state(spark):
     ("fmt('{x}{{}}', x=a)", "5{}"), ("str(b)", "False"), ("lower(nothing)", "none"), ("any([x > 2 for x in xs])", True), ("all(x > 2 for x in xs)", False), ("[w if w == 'v' else 'n' for w in ws]", ["v", "n", "v", "n"]), ("[w + word for w in ws][0]", "vabc"),
     ("[len(w) for w in ws if w in word]", []), ("count_by(rows, 'k')", {"p": 2, "q": 1}), ("argmin(count_by(rows, 'k'))", "q"), ("pluck(rows, 'n')", [1, 2, 3]), ("pick(rows[0], 'k')", "p"), ("pick(rows[0], 'no', 7)", 7), ("first(xs, 0)", 1), ("first(xs[3:], 9)", 9),
     ("contains(xs, 2)", True), ("contains(word, 'z')", False), ("contains(nothing, 1)", False), ("set(ws)", ["v", "w"]), ("dict(a=1)", {"a": 1}), ("list(m)", ["k"]), ("tuple('ab')", ["a", "b"]), ("unique(ws)", ["v", "w"]), ("nothing == null", True), ("max(xs) - min(2, 3)", 1),
-    ("sorted(xs)[-1]", 3), ("round(2.345, 2)", 2.35), ("abs(-3)", 3), ("date_of('2024-02-29T10:11:12Z')", "2024-02-29"), ("time_of('2024-02-29T10:11:12')", "10:11"), ("date_add('2024-02-28T23:00:00Z', hours=2)", "2024-02-29T01:00:00+00:00"), ("strip('  x ')", "x"), ("int('7') + 1", 8), ("float('1.5')", 1.5), ("bool(xs)", True),
+    ("sorted(xs)[-1]", 3), ("round(2.346, 2)", 2.35), ("abs(-3)", 3), ("date_of('2024-02-29T10:11:12Z')", "2024-02-29"), ("time_of('2024-02-29T10:11:12')", "10:11"), ("date_add('2024-02-28T23:00:00Z', hours=2)", "2024-02-29T01:00:00+00:00"), ("strip('  x ')", "x"), ("int('7') + 1", 8), ("float('1.5')", 1.5), ("bool(xs)", True),
 ])
 def test_expressions(spark, text, want):
     names = {"a": F.lit(5), "b": F.lit(False), "xs": F.array(F.lit(1), F.lit(2), F.lit(3)), "ws": F.array(F.lit("v"), F.lit("w"), F.lit("v"), F.lit("w")), "word": F.lit("abc"), "nothing": F.lit(None), "m": F.create_map(F.lit("k"), F.lit("v")), "rows": F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in (("p", 1), ("p", 2), ("q", 3))))}
