@@ -8,12 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Patterns of columns that change by themselves, and columns that are kept all the same, by table.
+# Patterns of columns that change by themselves.
 VOLATILE = [
     "^(created|updated|modified|deleted|edited|completed|cancelled|archived)_at$", "^timestamp$", "^last_[a-z_]*(at|time)$", "^(created|updated)_by(_actor_id|_vm_id)?$",
     "^(status_expires_at|dnd_until|send_at)$", "^(world_id|actor_id|vm_id|canonical_id|canonical_key|canonical_[a-z_]+_key)$", "^unread_count$",
 ]
-KEPT = {"hoolicalendar.events": ["start_at", "end_at"], "workbuzz.reminders": ["remind_at"], "hoolicalendar.event_reminders": ["minutes_before"]}
 
 # Failure types by category, category groups, new names and retired names of types, and the order of categories.
 CATEGORIES = {
@@ -41,16 +40,16 @@ TYPING = {
 _CATEGORY = {label: category for category, labels in CATEGORIES.items() for label in labels}
 
 
-def is_volatile(table: Column, column: Column, patterns: list[str] = VOLATILE, kept: dict[str, list[str]] = KEPT) -> Column:
-    """Whether a cell's column changes by itself; ``table`` is qualified by its application."""
+def is_volatile(table: Column, column: Column, patterns: list[str] = VOLATILE, kept: dict[str, list[str]] | None = None) -> Column:
+    """Whether a cell's column changes by itself; ``kept`` names columns, by table, that count all the same. ``table`` is qualified by its application."""
     hit = reduce(lambda a, b: a | b, (column.rlike(p) for p in patterns))
-    spared = reduce(lambda a, b: a | b, ((table == t) & column.isin(cols) for t, cols in kept.items()), F.lit(False))
+    spared = reduce(lambda a, b: a | b, ((table == t) & column.isin(cols) for t, cols in (kept or {}).items()), F.lit(False))
     return hit & ~spared
 
 
-def steady(df: DataFrame, table: str, patterns: list[str] = VOLATILE, kept: dict[str, list[str]] = KEPT) -> DataFrame:
+def steady(df: DataFrame, table: str, patterns: list[str] = VOLATILE, kept: dict[str, list[str]] | None = None) -> DataFrame:
     """``df`` without its volatile columns; the scan does not read them."""
-    return df.drop(*(c for c in df.columns if c not in kept.get(table, []) and any(re.search(p, c) for p in patterns)))
+    return df.drop(*(c for c in df.columns if c not in (kept or {}).get(table, []) and any(re.search(p, c) for p in patterns)))
 
 
 def tables_left(names: list[str], excluded: list[str], patterns: list[str]) -> list[str]:

@@ -8,7 +8,8 @@ from loomtrail.operators import rules
 from loomtrail.plans.tables import table
 
 COLUMNS = ["created_at", "start_at", "remind_at", "last_seen_time", "timestamp", "created_by_vm_id", "unread_count", "canonical_row_key", "title", "late_at"]
-TABLES = ["hoolicalendar.events", "workbuzz.reminders", "other.things"]
+TABLES = ["calendar.events", "chat.reminders", "other.things"]
+KEPT = {"calendar.events": ["start_at", "created_at"], "chat.reminders": ["remind_at", "timestamp"]}
 FAMILIES = [("^eco", "low"), ("STAN|med", "mid"), ("promo", "high")]
 BUCKETS = ["1", "2-3", ">=4", "verifier_only"]
 LABELS = ["scope_error", "wrong_target", "exceed_bash_budget", "hallucinated_data", "ineffective_action", "premature_completion", "constraint_loss"]
@@ -18,7 +19,7 @@ GROUPS = {"Supplier 1": "a", "Nation-2": "a"}
 
 def volatile_cells(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", F.get(F.array(*map(F.lit, TABLES)), F.col("n_nationkey") % 3).alias("table"), F.explode(F.array(*map(F.lit, COLUMNS))).alias("column"))
-    return n.withColumn("volatile", rules.is_volatile(F.col("table"), F.col("column")))
+    return n.withColumn("volatile", rules.is_volatile(F.col("table"), F.col("column"), kept=KEPT))
 
 
 def steady_columns(spark, d):
@@ -77,7 +78,7 @@ _CLASS = "CASE WHEN event_type = 'view' THEN 'R0' WHEN event_type = 'click' THEN
 
 ORACLE = {
     "volatile_cells": f"""SELECT n_nationkey, {TABLES}[n_nationkey % 3 + 1] AS "table", c AS "column",
-      (c IN ('created_at', 'last_seen_time', 'timestamp', 'created_by_vm_id', 'unread_count', 'canonical_row_key')) AND NOT ({TABLES}[n_nationkey % 3 + 1] = 'workbuzz.reminders' AND c = 'remind_at') AS volatile FROM (SELECT n_nationkey, unnest({COLUMNS}) AS c FROM nation)""",
+      (c IN ('created_at', 'last_seen_time', 'timestamp', 'created_by_vm_id', 'unread_count', 'canonical_row_key')) AND NOT (n_nationkey % 3 = 0 AND c = 'created_at') AND NOT (n_nationkey % 3 = 1 AND c = 'timestamp') AS volatile FROM (SELECT n_nationkey, unnest({COLUMNS}) AS c FROM nation)""",
     "steady_columns": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment AS title FROM customer",
     "renamed_keys": """SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS old, 'z' AS older, CASE WHEN n_nationkey % 3 = 0 THEN 'kept' ELSE n_name END AS new, NULL::VARCHAR AS other, 'o' AS name FROM nation""",
     "type_families": "SELECT p_partkey, CASE WHEN regexp_matches(p_type, '^eco', 'i') THEN 'low' WHEN regexp_matches(p_type, 'stan|med', 'i') THEN 'mid' WHEN regexp_matches(p_type, 'promo', 'i') THEN 'high' ELSE 'text' END AS family FROM part",
