@@ -107,13 +107,13 @@ def word_pieces(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 class Ids:
     """Ids by pre-token; all are forgotten once there are more than ``most``.
 
-    Texts that hold one of ``marks``, the contents of special tokens, go to ``whole`` as they are.
+    Texts that hold one of ``marks``, the contents of special tokens, go to ``whole`` as they are; without marks none do.
     """
 
     SLOTS = 22
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], marks: list[str], whole: Callable[[list[str]], list[list[int]]], most: int = 1_500_000) -> None:
-        self.encode, self.cut, self.marks, self.whole, self.most = encode, cut, marks, whole, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], marks: list[str] | None = None, whole: Callable[[list[str]], list[list[int]]] | None = None, most: int = 1_500_000) -> None:
+        self.encode, self.cut, self.marks, self.whole, self.most = encode, cut, marks or [], whole, most
         self.clear()
 
     def clear(self) -> None:
