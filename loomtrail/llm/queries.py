@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrail.llm import bpe, chain_dedup, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, suffix_dedup, token_files, warc
+from loomtrail.llm import bpe, chain_dedup, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, suffix_dedup, token_files, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_chain_dedup": chain_dedup.op9_chain_dedup,
     "op10_pairwise_quality": pairwise_quality.op10_pairwise_quality,
+    "op11_url_rules": url_rules.op11_url_rules,
 }
 
-ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules.oracle(), "op7_warc_audit": warc.oracle()}
+ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules.oracle(), "op7_warc_audit": warc.oracle(), "op11_url_rules": url_rules.oracle()}
