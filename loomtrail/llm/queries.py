@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrail.llm import bpe, chain_dedup, divergence, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, suffix_dedup, token_files, url_rules, warc
+from loomtrail.llm import bpe, chain_dedup, divergence, near_vectors, ngram_join, packing, pairwise_quality, quality_rules, suffix_dedup, token_files, url_rules, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pairwise_quality": pairwise_quality.op10_pairwise_quality,
     "op11_url_rules": url_rules.op11_url_rules,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE: dict[str, str] = {"op5_quality_rules": quality_rules.oracle(), "op7_warc_audit": warc.oracle(), "op11_url_rules": url_rules.oracle(), "op12_source_divergence": divergence.oracle()}
