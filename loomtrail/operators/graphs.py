@@ -1,14 +1,19 @@
-"""Graphs of work steps: closure, depths, components, sinks, and keys between tables."""
+"""Graphs of work steps: closure, depths, components, cycles, sinks, and keys between tables.
+
+Rounds end when nothing is new, however deep or wide the graph; where a cycle has no result, more rounds than the graph
+has nodes raise. Each round's rows are written once, to the checkpoint folder.
+"""
 
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoints(spark: SparkSession) -> None:
+def prepare_checkpoints(spark: SparkSession) -> None:
     """Sets the checkpoint folder from the session; a temporary one only in local mode, as in tests."""
     if spark.sparkContext.getCheckpointDir():
         return
@@ -18,29 +23,37 @@ def _checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="loomtrail-"))
 
 
-def _rounds(first: DataFrame, edges: DataFrame, step, most: int) -> DataFrame:
-    """All rows reached from ``first``, round by round, until none is new; lineage is cut by checkpoints."""
-    _checkpoints(first.sparkSession)
-    known = new = first.distinct().checkpoint()
-    for _ in range(most):
-        new = step(new, edges).distinct().join(known, known.columns, "left_anti").checkpoint()
+def _rounds(first: DataFrame, edges: DataFrame, step, by: list[str] | None = None, acyclic: bool = False, most: int | None = None) -> DataFrame:
+    """All rows reached from ``first``, round by round, until none is new in the columns ``by`` (all columns if not given).
+
+    Where a cycle would go on for ever, more than ``most`` rounds raise: if not given, the number of nodes with an edge out.
+    """
+    prepare_checkpoints(first.sparkSession)
+    by = by or first.columns
+    pieces = [first.dropDuplicates(by).checkpoint()]
+    if acyclic and most is None:
+        most = edges.select(edges.columns[0]).distinct().count()
+    while True:
+        known = reduce(DataFrame.union, pieces)
+        new = step(pieces[-1], edges).dropDuplicates(by).join(known.select(*by), by, "left_anti").checkpoint()
         if new.isEmpty():
             return known
-        known = known.union(new).checkpoint()
-    raise ValueError(f"the graph is deeper than {most} or has a cycle")
+        pieces.append(new)
+        if most is not None and len(pieces) > most + 1:
+            raise ValueError(f"the graph is deeper than {most} or has a cycle")
 
 
-def closure(edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
-    """(ancestor, node) for every pair of nodes that a path joins; works in any graph without cycles of up to ``most`` levels."""
+def closure(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(ancestor, node) for every pair of nodes that a path joins, in any graph."""
     e = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
-    return _rounds(e, e, lambda new, e: new.join(e.toDF("b", "c"), "b").select("a", F.col("c").alias("b")), most).toDF("ancestor", "node")
+    return _rounds(e, e, lambda new, e: new.join(e.toDF("b", "c"), "b").select("a", F.col("c").alias("b"))).toDF("ancestor", "node")
 
 
-def depths(nodes: DataFrame, node: str, edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
+def depths(nodes: DataFrame, node: str, edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
     """Longest and shortest distance of each node from the nodes without predecessors."""
     e = edges.select(F.col(source).alias("s"), F.col(target).alias("t"))
     roots = nodes.select(F.col(node).alias("node")).join(e.select(F.col("t").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0))
-    walked = _rounds(roots, e, lambda new, e: new.join(e, F.col("node") == F.col("s")).select(F.col("t").alias("node"), (F.col("depth") + 1).alias("depth")), most)
+    walked = _rounds(roots, e, lambda new, e: new.join(e, F.col("node") == F.col("s")).select(F.col("t").alias("node"), (F.col("depth") + 1).alias("depth")), acyclic=True, most=most)
     return walked.groupBy("node").agg(F.max("depth").alias("longest"), F.min("depth").alias("shortest"))
 
 
@@ -77,40 +90,82 @@ def key_paths(relations: DataFrame, most: int) -> DataFrame:
     return reach.groupBy("a", "b").agg(F.min("hops").alias("hops"))
 
 
-def _walks(edges: DataFrame, source: str, target: str, most: int) -> DataFrame:
-    """(source, target, length) of every walk in a graph without cycles, each length of a pair once."""
-    e = edges.select(F.col(source).alias("source"), F.col(target).alias("target"))
-    step = lambda new, e: new.join(e.toDF("target", "_t"), "target").select("source", F.col("_t").alias("target"), (F.col("length") + 1).alias("length"))
-    return _rounds(e.withColumn("length", F.lit(1).cast("long")), e, step, most)
+def _longer(new: DataFrame, e: DataFrame) -> DataFrame:
+    return new.join(e.toDF("target", "_t"), "target").select("source", F.col("_t").alias("target"), (F.col("length") + 1).alias("length"))
 
 
-def path_lengths(edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
-    """The fewest edges from each node to each one that it reaches."""
-    return _walks(edges, source, target, most).groupBy("source", "target").agg(F.min("length").alias("length"))
+def path_lengths(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """The fewest edges from each node to each one that it reaches; a pair is extended in the round only that finds it."""
+    e = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct()
+    return _rounds(e.withColumn("length", F.lit(1).cast("long")), e, _longer, ["source", "target"])
 
 
-def carry_distances(edges: DataFrame, source: str, target: str, threshold: int, most: int = 64) -> DataFrame:
-    """For each edge how long the longest way between its ends is, and whether a value is carried that far."""
-    longest = _walks(edges, source, target, most).groupBy("source", "target").agg(F.max("length").alias("distance"))
+def carry_distances(edges: DataFrame, source: str, target: str, threshold: int) -> DataFrame:
+    """For each edge how long the longest way between its ends is, and whether a value is carried that far; a cycle raises."""
     e = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).distinct()
+    walks = _rounds(e.withColumn("length", F.lit(1).cast("long")), e, _longer, acyclic=True)
+    longest = walks.groupBy("source", "target").agg(F.max("length").alias("distance"))
     return e.join(longest, ["source", "target"]).withColumn("far", F.col("distance") >= threshold)
 
 
-def component_ratio(nodes: DataFrame, node: str, edges: DataFrame, source: str, target: str, most: int = 64) -> DataFrame:
-    """Nodes, components, the largest one and the share of nodes outside it, by rounds of least labels over edges in both directions."""
-    spark = nodes.sparkSession
-    _checkpoints(spark)
-    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
-    both = e.union(e.select("b", "a")).distinct().toDF("node", "other").checkpoint()
-    label = nodes.select(F.col(node).alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(most):
-        low = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("low"))
-        new = label.join(low, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), (F.col("low") < F.col("label")).alias("moved")).checkpoint()
+def least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that reaches each node (itself included) over edges (a, b).
+
+    A label's own label reaches the node too, so labels also jump, which shortens long paths.
+    """
+    prepare_checkpoints(nodes.sparkSession)
+    label = nodes.select("node", F.col("node").alias("label")).checkpoint()
+    while True:
+        over = edges.join(label.toDF("a", "label"), "a").select(F.col("b").alias("node"), "label")
+        jump = label.where("label < node").join(label.toDF("label", "_l"), "label").where("_l < label").select("node", F.col("_l").alias("label"))
+        found = over.union(jump).groupBy("node").agg(F.min("label").alias("low"))
+        new = label.join(found, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), F.coalesce(F.col("low") < F.col("label"), F.lit(False)).alias("moved")).checkpoint()
         label = new.select("node", "label")
         if new.where("moved").isEmpty():
-            n = label.groupBy("label").agg(F.count("*").alias("n"))
-            return n.agg(F.sum("n").cast("long").alias("n_nodes"), F.count("*").alias("n_components"), F.max("n").alias("largest")).withColumn("ratio", F.bround(1 - F.col("largest") / F.col("n_nodes"), 4))
-    raise ValueError(f"a component is wider than {most}")
+            return label
+
+
+def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(node, component, members) of every node on a cycle: components in which every node reaches every other.
+
+    Nodes without an edge in or without one out are trimmed first. Then the least node that reaches each node and the
+    least one that it reaches are found: where both are the same, they name the node's component. Edges between nodes
+    that differ in either lie in no component and go, as do the components found; each round settles one at least in
+    every connected part of what is left. A node that has only an edge to itself is a component of its own; edges with
+    a null end are left out.
+    """
+    prepare_checkpoints(edges.sparkSession)
+    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct().checkpoint()
+    loops = e.where("a = b").select(F.col("a").alias("node"))
+    found = e.where("false").selectExpr("a as node", "a as component")
+    e = e.where("a <> b")
+    while True:
+        was = None
+        while (n := e.count()) and n != was:
+            was = n
+            e = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
+        if not n:
+            break
+        nodes = e.selectExpr("a as node").union(e.selectExpr("b")).distinct()
+        label = least_reaching(nodes, e).join(least_reaching(nodes, e.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("label", "back"), "node").checkpoint()
+        found = found.union(label.where("label = back").select("node", "label"))
+        left = label.where("label <> back")
+        ends = left.toDF("a", "la", "ba"), left.toDF("b", "lb", "bb")
+        e = e.join(ends[0], "a").join(ends[1], "b").where("la = lb and ba = bb").select("a", "b").checkpoint()
+    size = found.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")  # a pivot may turn out to be alone
+    on = found.join(size, "component").select("node", "component", "members")
+    alone = loops.join(on, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"))
+    return on.union(alone)
+
+
+def component_ratio(nodes: DataFrame, node: str, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """Nodes, components, the largest one and the share of nodes outside it, by least labels over edges in both directions."""
+    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
+    prepare_checkpoints(nodes.sparkSession)
+    both = e.union(e.select("b", "a")).distinct().checkpoint()
+    label = least_reaching(nodes.select(F.col(node).alias("node")).distinct(), both)
+    n = label.groupBy("label").agg(F.count("*").alias("n"))
+    return n.agg(F.sum("n").cast("long").alias("n_nodes"), F.count("*").alias("n_components"), F.max("n").alias("largest")).withColumn("ratio", F.bround(1 - F.col("largest") / F.col("n_nodes"), 4))
 
 
 def complexity(nodes: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
