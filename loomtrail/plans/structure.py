@@ -1,11 +1,11 @@
-"""Queries over the structure of tasks: repaired edges and cycles."""
+"""Queries over structure: repaired edges, cycles, compositions of modules and relations between tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtrail.operators import graphs, repairs
+from loomtrail.operators import compositions, graphs, relations, repairs
 from loomtrail.plans.tables import table
 
 
@@ -50,7 +50,51 @@ def cycle_members(spark, d):
     return graphs.cycle_members(ahead.union(o.select("o_orderkey", "back")), "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (edge_repair, edge_repair_step, repaired_inputs, cycle_members)}
+def _fits(spark, d):
+    """Suppliers as modules: one fits behind another where an order names them on lines next to each other, best by the quantity of the first."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_quantity")
+    after = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_returnflag").alias("out"), F.lead("l_suppkey").over(w).alias("b"), F.lead("l_linestatus").over(w).alias("into"), F.col("l_quantity").cast("long").alias("q"))
+    return compositions.best_fits(after.where("b is not null").groupBy("a", "out", "b", "into").agg(F.sum("q").alias("score")), 3)
+
+
+def fitting_modules(spark, d):
+    return _fits(spark, d)
+
+
+def beam_rounds(spark, d):
+    modules = table(spark, d, "supplier").select(F.col("s_suppkey").alias("module"), (F.col("s_nationkey") % 5 + 1).cast("long").alias("n_nodes"))
+    out = compositions.beam_rounds(modules, _fits(spark, d), 3, 4, 12, F.col("score") % 7 != 0, 4, 14)
+    return out.select("seed", "round", "form", F.array_join(F.array_sort(F.transform("members", lambda m: m.cast("string"))), ",").alias("modules"), "score", "n_nodes")
+
+
+#: Columns of texts and vectors hold no references.
+_TEXTS = frozenset({"text", "html", "embedding"})
+_COLUMNS = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"], "events": ["event_id", "user_id", "event_type", "props"],
+    "documents": ["doc_id", "lang", "source", "n_chars"], "labels": ["doc_id", "quality", "toxic"], "pages": ["page_id", "url"], "benchmark": ["item_id"], "conversations": ["conv_id", "turn", "role"], "embeddings": ["vec_id", "label"],
+}
+
+
+def _values(spark, d):
+    return relations.column_values({name: table(spark, d, name) for name in _COLUMNS}, _TEXTS)
+
+
+def column_sizes(spark, d):
+    """Columns of whole numbers and texts with their distinct values, and whether they are a key."""
+    return _values(spark, d).groupBy("table", "column", "kind").agg(F.count("*").alias("n_values"), (F.max("n") == 1).alias("is_key"))
+
+
+def inclusions(spark, d):
+    return relations.inclusions(_values(spark, d), 0.8).withColumn("contained", F.round("contained", 9))
+
+
+def table_relations(spark, d):
+    return relations.relations(_values(spark, d), [("role", "conv_id"), ("event_type", "user_id")])
+
+
+QUERIES = {f.__name__: f for f in (edge_repair, edge_repair_step, repaired_inputs, cycle_members, fitting_modules, beam_rounds, column_sizes, inclusions, table_relations)}
 
 _CHAINS = """s0 AS (SELECT l_suppkey AS task, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS node, l_tax >= 0.08 AND l_discount = 0 AS own, l_linenumber = 7 AND l_quantity >= 25 AS lit, * FROM lineitem),
   s AS (SELECT task, node, own, CASE WHEN lit AND NOT own THEN 'v' || l_orderkey END AS literal, l_returnflag = 'R' AND l_tax >= 0.08 AND NOT own AS itself, l_linenumber = 1 AND l_tax >= 0.08 AS unknown FROM s0),
@@ -62,7 +106,26 @@ _WALK = f"""{_CHAINS},
   z AS (SELECT task, edge, arg_max(n, hops) AS n, arg_max(p, hops) AS p, max(hops) AS hops FROM w GROUP BY ALL),
   r AS (SELECT e.*, z.n, z.p, z.hops, x.literal AS value, CASE WHEN e.src = e.node THEN 'dropped_self_edge' WHEN x.literal IS NOT NULL THEN 'literal_copied' WHEN z.hops > 0 THEN 'rewired_to_producer' ELSE 'kept' END AS repair
     FROM e JOIN z USING (task, edge) LEFT JOIN s x ON x.task = e.task AND x.node = z.n AND z.p = 'in')"""
+_VALUES = "v AS (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", k AS kind, CASE WHEN k = 'text' AND length(x) > {relations.LONG} THEN md5(x) ELSE x END AS value, n
+    FROM (SELECT "{c}"::VARCHAR AS x, CASE WHEN typeof(any_value("{c}")) = 'VARCHAR' THEN 'text' ELSE 'number' END AS k, count(*) AS n FROM {t} WHERE "{c}" IS NOT NULL GROUP BY "{c}")"""
+    for t, cols in _COLUMNS.items() for c in cols) + ')'
+_INSIDE = f"""{_VALUES}, k AS (SELECT "table", "column", kind, count(*) AS size, max(n) AS most FROM v GROUP BY ALL),
+  x AS (SELECT a."table" AS from_table, a."column" AS from_column, b."table" AS to_table, b."column" AS to_column, count(*) AS met FROM v a JOIN v b ON a.kind = b.kind AND a.value = b.value AND a."table" <> b."table"
+    JOIN k ON k."table" = b."table" AND k."column" = b."column" AND k.most = 1 GROUP BY ALL),
+  y AS (SELECT x.*, f.size, f.most, t.size AS n FROM x JOIN k f ON f."table" = from_table AND f."column" = from_column JOIN k t ON t."table" = to_table AND t."column" = to_column)"""
+_STEM = "coalesce(nullif(regexp_extract({0}, '^[a-z]+_(.+)$', 1), ''), {0})"
 ORACLE = {
+    "fitting_modules": """WITH l AS (SELECT l_suppkey AS a, l_returnflag AS "out", lead(l_suppkey) OVER w AS b, lead(l_linestatus) OVER w AS "into", l_quantity::BIGINT AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity)),
+      f AS (SELECT a, "out", b, "into", sum(q)::BIGINT AS score FROM l WHERE b IS NOT NULL GROUP BY ALL)
+      SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY a, "out" ORDER BY score DESC, b, "into") <= 3 OR row_number() OVER (PARTITION BY b, "into" ORDER BY score DESC, a, "out") <= 3""",
+    "column_sizes": f"""WITH {_VALUES} SELECT "table", "column", kind, count(*) AS n_values, max(n) = 1 AS is_key FROM v GROUP BY ALL""",
+    "inclusions": f"""WITH {_INSIDE} SELECT from_table, from_column, to_table, to_column, round(met / size, 9) AS contained, size FROM y WHERE met >= 0.8 * size - 1e-9""",
+    "table_relations": f"""WITH {_INSIDE}, z AS (SELECT *, {_STEM.format('from_column')} = {_STEM.format('to_column')} AS same FROM y WHERE met = size),
+      b AS (SELECT * FROM z WHERE same OR most > 1 QUALIFY row_number() OVER (PARTITION BY from_table, from_column ORDER BY same DESC, n, to_table, to_column) = 1),
+      p AS (SELECT * FROM (VALUES ('conversations', 'conv_id', 'role'), ('events', 'user_id', 'event_type')) p(from_table, from_column, type_column))
+      SELECT from_table, from_column, to_table, to_column, CASE WHEN same THEN 'name' ELSE 'values' END AS rule, round(met / size, 9) AS confidence, NULL::VARCHAR AS type_column FROM b ANTI JOIN p USING (from_table, from_column)
+      UNION ALL SELECT from_table, from_column, NULL, NULL, 'polymorphic', 0.5, type_column FROM p""",
     "edge_repair": f"""WITH RECURSIVE {_WALK}
       SELECT task, edge, repair, CASE WHEN repair = 'rewired_to_producer' THEN n ELSE src END AS from_node, CASE WHEN repair = 'rewired_to_producer' THEN p ELSE port END AS from_port, node AS to_node, 'in' AS to_port,
         CASE WHEN repair = 'literal_copied' THEN value END AS literal, CASE WHEN repair IN ('literal_copied', 'rewired_to_producer') THEN hops ELSE 0 END AS hops FROM r""",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrail.operators import graphs, repairs
+from loomtrail.operators import compositions, graphs, relations, repairs
 
 
 def test_long_chains_take_few_joins(spark, monkeypatch):
@@ -100,3 +102,72 @@ def test_graphs_wider_and_deeper_than_before(spark):
     assert {(r.source, r.target, r.length) for r in graphs.path_lengths(circle, "a", "b").collect()} == {(a, b, (b - a) % 3 or 3) for a in range(3) for b in range(3)}
     with pytest.raises(ValueError):
         graphs.carry_distances(circle, "a", "b", 3)
+
+
+def form(members, edges):
+    h = [hashlib.md5(str(m).encode()).hexdigest() for m in members]
+    for _ in range(len(members) - 1):
+        h = [
+            hashlib.md5("|".join([str(m), ",".join(sorted(f"+{o}>{i}:{h[t]}" for s, o, t, i in edges if s == p)), ",".join(sorted(f"-{o}>{i}:{h[s]}" for s, o, t, i in edges if t == p))]).encode()).hexdigest()
+            for p, m in enumerate(members)
+        ]
+    return hashlib.md5(",".join(sorted(h)).encode()).hexdigest()
+
+
+def canonical(members, edges):
+    """The least way to write a composition, over all orders of its members."""
+    n = range(len(members))
+    return min((tuple(members[p[k]] for k in n), tuple(sorted((p.index(s), o, p.index(t), i) for s, o, t, i in edges))) for p in itertools.permutations(n))
+
+
+def beams(sizes, fits, rounds, width, budget, low, high):
+    out = {}
+    for seed in sizes:
+        beam = [((seed,), (), 0)]
+        for k in range(1, rounds + 1):
+            found = {}
+            for members, edges, score in beam:
+                for p, m in enumerate(members):
+                    for a, o, b, i, fit in fits:
+                        if a == m and not (len(members) == 1 and b == m):
+                            g = (*members, b), (*edges, (p, o, len(members), i))
+                            found[canonical(*g)] = (*g, score + fit)
+                        if b == m and not (len(members) == 1 and a == m) and not any(t == p and i == x for _, _, t, x in edges):
+                            g = (*members, a), (*edges, (len(members), o, p, i))
+                            found[canonical(*g)] = (*g, score + fit)
+            assert len({form(*x[:2]) for x in found.values()}) == len(found)
+            good = sorted((g for g in found.values() if low <= sum(sizes[m] for m in g[0]) <= high), key=lambda g: (-g[2], form(*g[:2])))
+            beam = [g for g in good[:budget] if g[2] % 5][:width]
+            out.update({(seed, k, form(*g[:2])): (canonical(*g[:2]), g[2], sum(sizes[m] for m in g[0])) for g in beam})
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_beam_rounds(spark, seed):
+    rng = random.Random(seed)
+    sizes = {m: rng.randint(1, 4) for m in range(6)}
+    fits = list({(a, rng.choice("xy"), b, rng.choice("uv")): rng.randint(1, 12) for a, b in itertools.product(sizes, sizes) if rng.random() < 0.4}.items())
+    fits = [(*k, v) for k, v in fits]
+    modules = spark.createDataFrame(list(sizes.items()), "module long, n_nodes long")
+    df = spark.createDataFrame(fits, "a long, out string, b long, into string, score long")
+    for width, budget in ((3, 9), (2, 3)):
+        got = compositions.beam_rounds(modules, df, 3, width, budget, F.col("score") % 5 != 0, 3, 11).collect()
+        assert {(r.seed, r.round, r.form): (canonical(r.members, [tuple(e) for e in r.edges]), r.score, r.n_nodes) for r in got} == beams(sizes, fits, 3, width, budget, 3, 11)
+    cut = {tuple(r) for r in compositions.best_fits(df, 1).collect()}
+    want = {min((f for f in fits if f[:2] == key), key=lambda f: (-f[4], f[2], f[3])) for key in {f[:2] for f in fits}} | {min((f for f in fits if f[2:4] == key), key=lambda f: (-f[4], f[0], f[1])) for key in {f[2:4] for f in fits}}
+    assert cut == want
+    assert compositions.beam_rounds(modules, df.limit(0), 3, 2, 2, F.lit(True), 1, 99).count() == 0
+
+
+def test_relations(spark):
+    rng = random.Random(4)
+    a = spark.createDataFrame([(i, f"n{i}") for i in range(300)], "a_id long, a_name string")
+    b = spark.createDataFrame([(i, rng.randrange(300), f"n{rng.randrange(300)}" if i else None, rng.randrange(310), "t" * 40) for i in range(900)], "b_no long, b_id long, b_label string, b_most long, b_kind string")
+    v = relations.column_values({"a": a, "b": b})
+    got = {(r.from_column, r.to_column): r.contained for r in relations.inclusions(v).collect()}
+    assert got == {("b_id", "a_id"): 1.0, ("a_id", "b_no"): 1.0, ("b_label", "a_name"): 1.0}
+    some = {(r.from_column, r.to_column): r.contained for r in relations.inclusions(v, 0.9).collect()}
+    most = {r.b_most for r in b.collect()}
+    assert abs(some["b_most", "a_id"] - sum(x < 300 for x in most) / len(most)) < 1e-9
+    found = {r.from_column: (r.to_column, r.rule, r.type_column) for r in relations.relations(v, [("b_kind", "b_most")]).collect()}
+    assert found == {"b_id": ("a_id", "name", None), "b_label": ("a_name", "values", None), "b_most": (None, "polymorphic", "b_kind")}
