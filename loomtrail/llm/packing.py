@@ -116,9 +116,9 @@ class Index:
         post = ragged(self.at[terms], self.at[terms + 1] - self.at[terms])
         score = np.bincount(self.doc[post], self.weight[post], self.n)
         score[~unused] = 0
-        found = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS] if self.n > NEIGHBOURS else np.arange(self.n)
-        found = found[score[found] > 0]
-        return found[np.lexsort((found, -score[found]))].tolist()
+        least = np.partition(score, self.n - NEIGHBOURS)[self.n - NEIGHBOURS] if self.n > NEIGHBOURS else 0
+        found = np.flatnonzero((score >= least) & (score > 0))  # all that tie at the last place
+        return found[np.lexsort((found, -score[found]))][:NEIGHBOURS].tolist()
 
 
 def order(size: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
