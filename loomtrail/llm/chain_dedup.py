@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrail.llm.common import Prefix, Stages, as_bytes, buffers, from_bytes, lower, mix, one_row_per_id, packed, powers, shingles, spans, unpacked, words
+from loomtrail.llm.common import Prefix, Stages, as_bytes, buffers, from_bytes, id_filter, lower, mix, one_row_per_id, packed, powers, shingles, spans, unpacked, with_marks, words
 
 K = 5
 LEAST, PERCENT = 50, 75
@@ -35,10 +35,8 @@ GAIN, GAP, DROP = 5.0, 0.1, 8
 SLACK, STEP, PART = 43, 7, 4 << 20
 #: Shingles that are sent at once.
 SENT = 600_000
-#: Documents that are held against one source in one task, and ids that are broadcast at most, at 8 bytes each.
-SHARE, BROADCAST = 500, 1_000_000
-#: Passages whose places are broadcast at most, at about 60 bytes each.
-CUTS = 400_000
+#: Documents that are held against one source in one task.
+SHARE = 500
 SPANS = "doc_id long, source_id long, start long, end long, source_start long, source_end long, n_words long, n_same long"
 
 
@@ -496,15 +494,14 @@ def _aligned(least: int, percent: int):
     return each
 
 
-def _held(chained: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
-    """Aligns chains; a source goes to as many tasks as its documents need, each with its text once."""
+def _held(chained: DataFrame, docs: DataFrame, least: int, percent: int, stages: Stages, name: str) -> DataFrame:
+    """Aligns chains; a source goes to as many tasks as its documents need, each with its text once. Only texts that take part are shuffled."""
     best = F.sort_array(F.collect_list(F.struct("rank", "x", "y")))
     pair = chained.groupBy("doc_id", "source_id").agg(best.alias("c")).select("doc_id", "source_id", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
     shares = chained.groupBy("source_id").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("n"))
     none, text = F.lit(None), docs.select("doc_id", "text")
-    ids = chained.select("doc_id").union(chained.select("source_id")).distinct()
-    if ids.limit(BROADCAST + 1).count() <= BROADCAST:  # else every text is shuffled
-        text = text.join(F.broadcast(ids), "doc_id", "left_semi")
+    ids = chained.select("doc_id").union(chained.select("source_id"))
+    text = with_marks(text, text["doc_id"], id_filter(ids, stages, f"{name}-ids")).where("__q_in").drop("__q_in")
     lists = "array<array<int>>"
     sources = shares.join(text, shares["source_id"] == text["doc_id"]).select("source_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), none.cast("long").alias("doc_id"), *(none.cast(lists).alias(c) for c in "xy"), "text")
     own = pair.join(shares, "source_id").join(text, "doc_id").select("source_id", F.pmod(F.xxhash64("doc_id"), "n").cast("int").alias("share"), "doc_id", "x", "y", "text")
@@ -532,23 +529,21 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     run = gathered(both.where("part is not null").select("part", "c0", "c1", "r0"))
     more = stages.write(gathered(run.mapInArrow(_runs_matched(parts), link_kinds)).mapInArrow(_run_chains(least), CHAIN), "run-chains")
     names = [c.split()[0] for c in ALIGNED.split(", ")]
-    found = stages.write(_held(chain.where("lead"), docs, least, percent), "leads")
+    found = stages.write(_held(chain.where("lead"), docs, least, percent, stages, "leads"), "leads")
     # what lies within a passage that is found could only name a further source of it
     within = found.select(F.col("doc_id").alias("d"), F.col("first").alias("x0"), F.col("last").alias("x1"))
     rest = stages.write(chain.where("not lead").unionByName(more).join(within, (F.col("doc_id") == F.col("d")) & (F.col("x0") <= F.col("first")) & (F.col("last") <= F.col("x1")), "left_anti"), "rest")
-    return found.unionByName(stages.write(_held(rest, docs, least, percent), "others")).select(*names[:9])
+    return found.unionByName(stages.write(_held(rest, docs, least, percent, stages, "others"), "others")).select(*names[:9])
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the passages cut out of ``text``, and ``n_chars`` set anew.
 
-    Passages are cut from the rows whose id and text they were found in; other rows of the same id stay as they are, as
+    Only rows whose id may have a passage are joined with the places to cut; the others pass by. Passages are cut from the rows whose id and text they were found in; other rows of the same id stay as they are, as
     do rows without an id or a text.
     """
     names = docs.columns
     cuts = found.groupBy(F.col("doc_id").alias("__q_id"), F.col("text_hash").alias("__q_hash")).agg(F.collect_list(F.struct("start", "end")).alias("__q_cuts"))
-    if found.limit(CUTS + 1).count() <= CUTS:  # else every text is shuffled
-        cuts = F.broadcast(cuts)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -563,8 +558,11 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    same = (docs["doc_id"].cast("long") == F.col("__q_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__q_hash"))
-    out = docs.join(cuts, same, "left").select(*(docs[c] for c in names), "__q_cuts").mapInArrow(each, docs.schema)
+    marked = with_marks(docs, docs["doc_id"], id_filter(found.select("doc_id"), Stages(docs.sparkSession, "cuts"), "ids"))
+    touched = marked.where("__q_in").drop("__q_in")
+    same = (touched["doc_id"].cast("long") == F.col("__q_id")) & (F.xxhash64(F.coalesce(touched["text"].cast("string"), F.lit(""))) == F.col("__q_hash"))
+    cut = touched.join(cuts, same, "left").select(*(touched[c] for c in names), "__q_cuts").mapInArrow(each, docs.schema)
+    out = cut.union(marked.where("not __q_in").select(*names))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else out
 
 

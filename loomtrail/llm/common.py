@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial hash and of the final mixes (fixed values).
@@ -215,3 +215,41 @@ def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[type], widths: list[
             last = part
     if held:
         yield out()
+
+
+#: Bits of the filter of ids (a power of two), and of one row of its table.
+FILTER_BITS, CHUNK_BITS = 1 << 27, 1 << 15
+
+
+def _bitmap(per: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.unique(b.column("at").to_numpy())
+            chunk, word, bit = at // per, at % per >> 6, np.uint64(1) << (at & 63).astype(np.uint64)
+            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]])) if len(at) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                own = words.setdefault(int(chunk[lo]), np.zeros(per >> 6, np.uint64))
+                np.bitwise_or.at(own, word[lo:hi], bit[lo:hi])
+        for k, own in words.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], names=["__q_chunk", "__q_words"])
+
+    return each
+
+
+def id_filter(ids: DataFrame, stages: Stages, name: str, bits: int = FILTER_BITS, per: int = CHUNK_BITS) -> DataFrame:
+    """A bitmap of the hashes of a column of ids: 16 MB at any number of ids, so it may be broadcast.
+
+    Few ids leave few others through; with more than the bits can tell apart it lets all through. Joins settle what passes.
+    """
+    at = ids.select(F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits)).alias("at")).distinct()
+    chunks = at.repartition(F.floor(F.col("at") / per)).mapInArrow(_bitmap(per), "__q_chunk long, __q_words array<long>")
+    return stages.write(chunks, name)
+
+
+def with_marks(df: DataFrame, ident: Column, chunks: DataFrame, bits: int = FILTER_BITS, per: int = CHUNK_BITS) -> DataFrame:
+    """Adds ``__q_in``: false where an id is certainly not in the filter; no row is shuffled."""
+    at = F.pmod(F.xxhash64(ident.cast("long")), F.lit(bits))
+    both = df.join(F.broadcast(chunks), F.floor(at / per) == F.col("__q_chunk"), "left")
+    bit = F.getbit(F.get("__q_words", F.shiftright(F.pmod(at, F.lit(per)), 6).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+    return both.select(*(df[c] for c in df.columns), (F.coalesce(bit, F.lit(False)) & ident.isNotNull()).alias("__q_in"))
