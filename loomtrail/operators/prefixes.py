@@ -110,13 +110,15 @@ def other_row(rows: DataFrame, key: str, name: str, seed: int) -> DataFrame:
     return out.select(key, F.when(same, F.col("_next")).otherwise(fallback).alias("other"), same.alias("same_name"))
 
 
-def selection(runs: DataFrame, annotations: DataFrame, reviews: DataFrame, flags: DataFrame, agent: str, settled: DataFrame) -> DataFrame:
+def selection(runs: DataFrame, annotations: DataFrame, reviews: DataFrame, flags: DataFrame, agent: str, settled: DataFrame, repaired: DataFrame | None = None, rejected: DataFrame | None = None) -> DataFrame:
     """Failed runs whose takeover can be judged, or why not: a row per run with ``reason``, null if it is chosen.
 
     ``runs``: run, complete, provenance (whether its digests agree), agent, sha. ``annotations``: run, annotator, sha,
     label. ``reviews``: run, reviewer, sha, success. ``flags``: run, annotator, sha (a wrong rollout). ``settled``: run,
     label, where annotators were reconciled. An annotation counts if its own reviewer says that the run failed and did not
-    flag it, all of them about this very run (sha). Several are one if they agree or if they were settled.
+    flag it, all of them about this very run (sha). Several are one if they agree or if they were settled. Where repaired
+    prefixes are asked for, ``repaired`` lists the runs (run, sha) that have a verified one. ``rejected`` lists runs (run,
+    annotator) that were not taken in at all but have an annotation.
     """
     of_run = runs.select("run", "sha")
     flagged = flags.join(of_run, ["run", "sha"], "left_semi").select("run", "annotator").distinct()
@@ -126,11 +128,19 @@ def selection(runs: DataFrame, annotations: DataFrame, reviews: DataFrame, flags
     per = per.join(settled.select("run", F.col("label").alias("settled")), "run", "left")
     per = per.withColumn("label", F.when(F.col("labels") == 1, F.col("first.label")).when(F.array_contains("all", F.col("settled")), F.col("settled")))
     out = runs.join(per, "run", "left").join(flagged.groupBy("run").agg(F.count("*").alias("n_flags")), "run", "left")
+    # fixed values: the reasons
     reason = (
         F.when(~F.col("complete"), "incomplete_canonical").when(~F.col("provenance"), "provenance_mismatch").when(F.col("agent") != agent, "source_agent_mismatch")
         .when(F.col("n").isNull() & F.col("n_flags").isNotNull(), "wrong_rollout").when(F.col("n").isNull(), "no_human_failure_annotation").when(F.col("label").isNull(), "ambiguous_human_failure_annotations")
     )
-    return out.select("run", reason.alias("reason"), F.when(reason.isNull(), F.col("label")).alias("label"))
+    if repaired is not None:
+        out = out.join(repaired.select("run", "sha").distinct().withColumn("has_repair", F.lit(True)), ["run", "sha"], "left")
+        reason = F.coalesce(reason, F.when(F.col("has_repair").isNull(), "no_verified_repaired_prefix"))
+    chosen = out.select("run", reason.alias("reason"), F.when(reason.isNull(), F.col("label")).alias("label"))
+    if rejected is None:
+        return chosen
+    turned_away = rejected.select("run").distinct().join(runs.select("run"), "run", "left_anti")
+    return chosen.unionByName(turned_away.select("run", F.lit("canonicalization_rejected").alias("reason"), F.lit(None).cast("string").alias("label")))
 
 
 def judgeable(episodes: DataFrame, exclusions: DataFrame, files: DataFrame, key: list[str], required: str) -> DataFrame:

@@ -26,7 +26,7 @@ def judge_coverage(spark, d):
 
 def matched_results(spark, d):
     l = table(spark, d, "lineitem")
-    return audits.matched_results(table(spark, d, "orders").select("o_orderkey"), l.where("l_linenumber < 3").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("content")), ["o_orderkey"])
+    return audits.matched_results(table(spark, d, "orders").select("o_orderkey"), l.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("content")), ["o_orderkey"])
 
 
 def lines_in_turns(spark, d):
@@ -145,7 +145,7 @@ _H = f"""{_EDGES}, w(a, b, n) AS (SELECT a, b, 1::BIGINT FROM e UNION SELECT w.a
 ORACLE = {
     "fresh_verdicts": "SELECT conv_id || '/' || turn AS task, CASE WHEN turn % 3 <> 0 AND turn % 4 <> 1 THEN role END AS verdict FROM conversations",
     "judge_coverage": "WITH j AS (SELECT DISTINCT l_orderkey AS u, l_returnflag AS m FROM lineitem), x AS (SELECT o_orderkey % 3 * 5 AS depth, o_orderstatus AS condition, o_orderkey AS u, m FROM orders LEFT JOIN j ON u = o_orderkey) SELECT depth, condition, count(DISTINCT u) AS n, count(DISTINCT u) FILTER (m IS NOT NULL) AS n_judged, coalesce(string_agg(DISTINCT m, ',' ORDER BY m), '') AS models FROM x GROUP BY 1, 2",
-    "matched_results": "WITH r AS (SELECT l_orderkey AS k, count(DISTINCT l_returnflag) AS n, min(l_returnflag) AS c FROM lineitem WHERE l_linenumber < 3 GROUP BY 1) SELECT o_orderkey, CASE WHEN n = 1 THEN c END AS content, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' ELSE 'matched' END AS state FROM orders LEFT JOIN r ON k = o_orderkey",
+    "matched_results": "WITH r AS (SELECT l_orderkey AS k, count(DISTINCT l_returnflag) AS n, min(l_returnflag) AS c FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN n = 1 THEN c END AS content, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'conflict' ELSE 'matched' END AS state FROM orders LEFT JOIN r ON k = o_orderkey",
     "lines_in_turns": """WITH t AS (SELECT s_nationkey AS run, s_suppkey AS turn, s_suppkey % 4 AS calls, sum(s_suppkey % 4) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS stop FROM supplier), l AS (SELECT n_nationkey AS run, unnest(range(10)) AS line FROM nation)
       SELECT l.run, line, turn FROM l LEFT JOIN t ON t.run = l.run AND line >= stop - calls AND line < stop""",
     "picked_proposals": f"WITH {_M}, n AS (SELECT run, CASE WHEN count(*) = 1 THEN min(proposal) END AS one FROM m GROUP BY 1) SELECT o_orderkey AS run, 'N' AS annotator, coalesce(m.proposal, one) AS proposal FROM orders LEFT JOIN m ON m.run = o_orderkey AND reviewer = 'N' LEFT JOIN n ON n.run = o_orderkey",

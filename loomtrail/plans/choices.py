@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrail.operators import sampling
+from loomtrail.plans.runs import root_cause_pick
 from loomtrail.plans.tables import EV, indexed_events, table
 
 SEED = 20260902
@@ -36,7 +37,9 @@ def shard_assignment(spark, d):
 
 
 def negative_samples(spark, d):
-    return sampling.negatives(indexed_events(spark, d), "user_id", F.col("idx") < 20, 3, SEED, "event_id").select("user_id", "event_id")
+    """Steps before the root of their run, or of the whole run where it has none."""
+    e = indexed_events(spark, d).join(root_cause_pick(spark, d).select("user_id", F.col("idx").alias("root")), "user_id", "left")
+    return sampling.negatives(e, "user_id", F.coalesce(F.col("idx") < F.col("root"), F.lit(True)), 3, SEED, "event_id").select("user_id", "event_id")
 
 
 def multiset_recall(spark, d):
@@ -78,7 +81,7 @@ ORACLE = {
     "prefix_lookup": """WITH t AS (SELECT left(n_name, 1 + n_nationkey % 3) AS prefix, min(n_nationkey) AS value FROM nation GROUP BY 1)
       SELECT n_name, arg_max(prefix, length(prefix)) AS prefix, arg_max(value, length(prefix)) AS value FROM nation LEFT JOIN t ON starts_with(n_name, prefix) GROUP BY 1""",
     "shard_assignment": "SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) % 8 AS shard FROM orders",
-    "negative_samples": f"WITH {EV} SELECT user_id, event_id FROM ev WHERE idx < 20 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sha256('{SEED}|' || event_id), event_id) <= 3",
+    "negative_samples": f"WITH {EV}, r AS (SELECT user_id, idx AS root FROM ev WHERE value > 40 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY idx // 5, event_type <> 'error', value DESC, event_id) = 1) SELECT user_id, event_id FROM ev LEFT JOIN r USING (user_id) WHERE root IS NULL OR idx < root QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sha256('{SEED}|' || event_id), event_id) <= 3",
     "multiset_recall": """WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT a.user_id, sum(least(a.n, coalesce(b.n, 0)))::BIGINT AS shared, sum(a.n)::BIGINT AS total FROM n a LEFT JOIN n b ON b.user_id = a.user_id + 1 AND b.event_type = a.event_type GROUP BY 1""",
     "symmetric_difference": """WITH a AS (SELECT DISTINCT l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT DISTINCT l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey % 2 = 1)

@@ -21,7 +21,7 @@ def extract_expectations(spark, d):
 
 
 def keyword_coverage(spark, d):
-    words = table(spark, d, "documents").where("lang = 'en'").select(F.explode(texts.tokens(F.col("text"))).alias("word")).distinct()
+    words = table(spark, d, "documents").select(F.explode(texts.tokens(F.col("text"))).alias("word")).distinct()
     return texts.keyword_coverage(table(spark, d, "benchmark"), "item_id", "text", 4, STOP, words, "word")
 
 
@@ -137,7 +137,7 @@ ORACLE = {
     "extract_expectations": r"""SELECT DISTINCT doc_id, kind, value FROM (
       SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS value FROM documents
       UNION ALL SELECT doc_id, 'date', unnest(regexp_extract_all(text, '\b\d{4}-\d{2}-\d{2}\b')) FROM documents UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '\+\d[\d -]{7,}\d')) FROM documents)""",
-    "keyword_coverage": f"""WITH v AS (SELECT DISTINCT unnest({_TOKENS.format("text")}) AS w FROM documents WHERE lang = 'en'),
+    "keyword_coverage": f"""WITH v AS (SELECT DISTINCT unnest({_TOKENS.format("text")}) AS w FROM documents),
       k AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest({_TOKENS.format("text")}) AS w FROM benchmark) WHERE length(w) >= 4 AND w NOT IN ('the', 'and', 'with', 'that', 'this', 'from'))
       SELECT item_id, count(*) AS n_keywords, count(*) FILTER (w IN (SELECT w FROM v) OR regexp_replace(w, 's$', '') IN (SELECT w FROM v)) AS n_found FROM k GROUP BY 1""",
     "tag_strip": rf"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace({_MARKUP}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""",

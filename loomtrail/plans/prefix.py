@@ -58,8 +58,8 @@ def undeclared_writes(spark, d):
 
 
 def agreed_ranges(spark, d):
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.col("l_returnflag").alias("reviewer"), (F.col("l_linenumber") * 3).cast("long").alias("index"), (F.col("l_linenumber") * 3 + F.col("l_orderkey") % 4).cast("long").alias("until"))
-    return prefixes.agreed(l.where("index <= 6"), "case", "reviewer", "index", "until", 2)
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.col("l_returnflag").alias("reviewer"), F.when(F.col("l_linestatus") == "F", 3).otherwise(6).cast("long").alias("index"))
+    return prefixes.agreed(l.withColumn("until", F.col("index") + F.col("case") % 4), "case", "reviewer", "index", "until", 2)
 
 
 def first_equivalents(spark, d):
@@ -78,7 +78,7 @@ def other_rows(spark, d):
     return prefixes.other_row(table(spark, d, "supplier"), "s_suppkey", "s_nationkey", 5)
 
 
-def takeover_selection(spark, d):
+def _selection(spark, d, *more):
     o = table(spark, d, "orders").withColumn("run", F.col("o_orderkey"))
     runs = o.select("run", (F.col("run") % 11 != 0).alias("complete"), (F.col("run") % 13 != 0).alias("provenance"), F.when(F.col("run") % 17 == 0, "b").otherwise("a").alias("agent"), (F.col("run") * 3).alias("sha"))
     l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_returnflag").alias("annotator"), (F.col("l_orderkey") * 3 + (F.col("l_linenumber") == 2).cast("int")).alias("sha"), "l_linenumber", "l_linestatus")
@@ -86,7 +86,19 @@ def takeover_selection(spark, d):
     reviews = marks.select("run", F.col("annotator").alias("reviewer"), "sha", (F.col("k") == 3).alias("success"))
     flags = marks.where("annotator = 'N' and run % 2 = 0").select("run", "annotator", "sha")
     settled = runs.where("run % 3 = 0").select("run", F.lit("O").alias("label"))
-    return prefixes.selection(runs, marks.select("run", "annotator", "sha", "label"), reviews, flags, "a", settled)
+    return prefixes.selection(runs, marks.select("run", "annotator", "sha", "label"), reviews, flags, "a", settled, *more)
+
+
+def takeover_selection(spark, d):
+    return _selection(spark, d)
+
+
+def takeover_reasons(spark, d):
+    """With repaired prefixes asked for, and with the runs of reviews that no order stands behind."""
+    o = table(spark, d, "orders")
+    repaired = o.where("o_custkey % 7 <> 3").select(F.col("o_orderkey").alias("run"), (F.col("o_orderkey") * 3 + (F.col("o_custkey") % 9 == 1).cast("int")).alias("sha"))
+    rejected = table(spark, d, "lineitem").select((F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 7, 10_000_000_000).otherwise(0)).alias("run"), F.col("l_returnflag").alias("annotator"))
+    return _selection(spark, d, repaired, rejected)
 
 
 def exclusion_counts(spark, d):
@@ -158,7 +170,7 @@ def semantic_horizon(spark, d):
     return graphs.semantic_horizon(s, _edges(spark, d), "a", "b")
 
 
-QUERIES = {f.__name__: f for f in (patched_steps, renumbered_prefix, depth_cases, tail_differences, replay_mismatches, undeclared_writes, agreed_ranges, first_equivalents, touching_edges, other_rows, takeover_selection, exclusion_counts, judgeable_episodes,
+QUERIES = {f.__name__: f for f in (patched_steps, renumbered_prefix, depth_cases, tail_differences, replay_mismatches, undeclared_writes, agreed_ranges, first_equivalents, touching_edges, other_rows, takeover_selection, takeover_reasons, exclusion_counts, judgeable_episodes,
     capped_hazards, bucket_fill, cell_summary, workflow_manifest, duplicate_base_rate, cursor_upsert, path_lengths, carry_distances, component_ratio, graph_complexity, semantic_horizon)}
 
 _S = f"""{EV}, s AS (SELECT user_id AS run, idx AS "at", event_type AS action, event_id::VARCHAR AS before, (event_id + 1)::VARCHAR AS after FROM ev), r AS (SELECT run, max("at") // 3 AS root, max("at") * 2 // 3 AS shows FROM s GROUP BY 1)"""
@@ -181,7 +193,7 @@ ORACLE = {
       SELECT run, "at", '{{"action":"' || action || '","before":"' || before || '"}}' AS original, CASE WHEN "at" % 11 <> 6 THEN '{{"action":"' || now || '","before":"' || before || '"}}' END AS repaired FROM x WHERE now <> action OR "at" % 11 = 6""",
     "replay_mismatches": f"""WITH {_S} SELECT run, "at", CASE WHEN "at" % 5 = 2 THEN 'not replayed' WHEN "at" % 8 = 7 THEN 'not in the history' WHEN "at" % 6 = 3 THEN 'replayed otherwise' ELSE 'other history' END AS fault FROM s WHERE "at" % 5 = 2 OR "at" % 8 = 7 OR "at" % 6 = 3 OR "at" % 10 = 4""",
     "undeclared_writes": """SELECT n_name AS "table" FROM nation WHERE (n_name LIKE '%1' OR n_name = 'NATION_3') AND n_name <> 'NATION_11'""",
-    "agreed_ranges": """WITH l AS (SELECT DISTINCT l_orderkey AS c, l_returnflag AS w, (l_linenumber * 3)::BIGINT AS i, (l_linenumber * 3 + l_orderkey % 4)::BIGINT AS u FROM lineitem WHERE l_linenumber <= 2),
+    "agreed_ranges": """WITH l AS (SELECT DISTINCT l_orderkey AS c, l_returnflag AS w, CASE WHEN l_linestatus = 'F' THEN 3 ELSE 6 END AS i, (CASE WHEN l_linestatus = 'F' THEN 3 ELSE 6 END + l_orderkey % 4)::BIGINT AS u FROM lineitem),
       e AS (SELECT c, w, string_agg('{"index":' || i || ',"until":' || u || '}', ',' ORDER BY i, u) AS r, count(*) AS n, bool_and(ok) AS ok FROM (SELECT *, coalesce(u < lead(i) OVER (PARTITION BY c, w ORDER BY i, u), true) AS ok FROM l) GROUP BY 1, 2)
       SELECT c AS "case", count(*) AS reviewers, min(n)::INT AS n_ranges, '[' || min(r) || ']' AS ranges FROM e GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT r) = 1 AND bool_and(ok)""",
     "first_equivalents": """WITH k AS (SELECT p_partkey AS a, p_partkey + 7 AS b, CASE WHEN p_partkey % 2 = 0 THEN 'exact' ELSE 'contains' END AS rule FROM part WHERE p_partkey % 3 = 0), w AS (SELECT a AS fact, b AS other, rule FROM k UNION SELECT b, a, rule FROM k UNION SELECT p_partkey, p_partkey, 'exact' FROM part),
@@ -191,6 +203,9 @@ ORACLE = {
     "touching_edges": """WITH s AS (SELECT s_nationkey AS task, s_suppkey AS port, s_suppkey % 2 = 0 AS o, s_suppkey % 5 AS type, s_suppkey % 4 IN (0, 1) AS st FROM supplier)
       SELECT a.task AS source, a.port AS source_port, b.task AS target, b.port AS target_port, CASE WHEN a.st THEN 'to pool' ELSE 'from pool' END AS way FROM s a JOIN s b ON a.o AND NOT b.o AND a.type = b.type AND a.st <> b.st AND a.task <> b.task""",
     "takeover_selection": f"WITH {_SELECT} SELECT run, reason, CASE WHEN reason IS NULL THEN label END AS label FROM z",
+    "takeover_reasons": f"""WITH {_SELECT}, q AS (SELECT o_orderkey AS run, o_custkey % 7 <> 3 AND o_custkey % 9 <> 1 AS fixed FROM orders)
+      SELECT run, CASE WHEN reason IS NULL AND NOT fixed THEN 'no_verified_repaired_prefix' ELSE reason END AS reason, CASE WHEN reason IS NULL AND fixed THEN label END AS label FROM z JOIN q USING (run)
+      UNION ALL SELECT DISTINCT l_orderkey + 10000000000, 'canonicalization_rejected', NULL FROM lineitem WHERE l_partkey % 50 = 7""",
     "exclusion_counts": f"WITH {_SELECT} SELECT reason, count(*) AS n FROM z GROUP BY 1",
     "judgeable_episodes": """WITH o AS (SELECT DISTINCT o_orderkey % 3 * 5 AS depth, o_orderpriority AS condition, o_custkey AS task, o_orderstatus = 'F' AS done FROM orders) SELECT depth, condition, task FROM o WHERE done AND task % 2 = 0 AND task % 4 <> 0 AND NOT (task % 10 = 6 AND depth = 5)""",
     "capped_hazards": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'error', event_type, event_id) <= 4",
