@@ -140,3 +140,33 @@ def typed_actions(steps: DataFrame, run: str, order: str, source: str, width: in
     own = lambda c: F.when(fine, F.col(c)).alias(c)
     return a.select(F.col("run").alias(run), F.col("at").alias(order), "part", own("kind"), x.alias("x"), y.alias("y"), F.when(drag, F.col("before.px")).alias("from_x"), F.when(drag, F.col("before.py")).alias("from_y"), own("button"), own("text"), own("keys"), own("presses"), own("delta"), own("seconds"), own("status"), fault.alias("fault"))
 
+
+
+def _repr(text: Column) -> Column:
+    """A text in quotes, as Python writes it, for texts of printable characters, line ends and tabs."""
+    inner = F.replace(F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("\t"), F.lit("\\t"))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(inner, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def summary() -> Column:
+    """One sentence for a typed action (the columns of ``typed_actions``); null for a faulty one."""
+    at = lambda x, y: F.format_string("(%d, %d)", x, y)
+    here, amount = at(F.col("x"), F.col("y")), F.abs("delta").cast("string")
+    way = lambda up, down: F.when(F.col("delta") > 0, up).otherwise(down)
+    click = F.concat(F.when(F.col("kind") == "double_click", "Double-click").otherwise("Click"), F.lit(" at "), here)
+    press = F.concat(F.lit("Press hotkey "), F.array_join("keys", "+"))
+    many = F.concat(F.lit("Execute in sequence: "), F.array_join(F.flatten(F.array_repeat(F.transform("keys", lambda k: F.concat(F.lit("Press hotkey "), k)), F.coalesce("presses", F.lit(1)))), "; "))
+    several = F.col("presses").isNotNull() & (F.size("keys") * F.col("presses") > 1)
+    # fixed values: the wording
+    text = (
+        F.when(F.col("kind").isin("click", "double_click"), click).when(F.col("kind") == "triple_click", F.concat(F.lit("Execute in sequence: "), F.array_join(F.array_repeat(click, 3), "; ")))
+        .when(F.col("kind") == "type", F.concat(F.lit("Type "), _repr(F.col("text")))).when((F.col("kind") == "hotkey") & several, many).when(F.col("kind") == "hotkey", press)
+        .when(F.col("kind") == "key_down", F.concat(F.lit("Hold key "), "text")).when(F.col("kind") == "key_up", F.concat(F.lit("Release key "), "text"))
+        .when(F.col("kind") == "mouse_down", F.concat(F.lit("Hold mouse button "), "button")).when(F.col("kind") == "mouse_up", F.concat(F.lit("Release mouse button "), "button"))
+        .when(F.col("kind") == "scroll", F.concat(F.lit("Scroll "), way("up", "down"), F.lit(" by "), amount, F.lit(" units at "), here))
+        .when(F.col("kind") == "horizontal_scroll", F.concat(F.lit("Scroll horizontally "), way("right", "left"), F.lit(" by "), amount, F.lit(" units at "), here))
+        .when(F.col("kind") == "move", F.concat(F.lit("Move the pointer to "), here)).when(F.col("kind") == "drag", F.concat(F.lit("Drag from "), at(F.col("from_x"), F.col("from_y")), F.lit(" to "), here))
+        .when(F.col("kind") == "wait", F.concat(F.lit("Wait for "), F.format_string("%.2f", "seconds"), F.lit(" seconds"))).when(F.col("kind") == "terminate", F.concat(F.lit("Terminate the task with status "), "status")).when(F.col("kind") == "no_op", F.lit("No desktop action"))
+    )
+    return F.concat(text, F.lit("."))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomtrail.operators import samples
+from loomtrail.operators import hints, samples
 from loomtrail.plans.tables import EV, indexed_events, table
 
 OFFSETS, DEPTHS = [0, 3, 9], [0, 5, 10, 15, 20, 25]
@@ -78,7 +78,39 @@ def accepted_attempts(spark, d):
     return out
 
 
-QUERIES = {f.__name__: f for f in (value_ledger, detection_records, recovery_records, verification_cuts, gold_action_records, accepted_attempts)}
+def _hinted(spark, d):
+    steps, params, facts, deltas, gold, analysis = _tables(spark, d)
+    split = steps.select("run").distinct().withColumn("split", F.lit("train"))
+    out = samples.recovery_cases(steps, analysis, samples.ledger(facts, params, gold, 6), facts, params, deltas, split, [0]).where("verified")
+    return out.join(analysis.select("run", "root"), "run").select("run", "root", hints.state_hint().alias("hint"), F.col("affected.tbl").alias("tbl"), F.col("carried.value").alias("used"))
+
+
+def hint_texts(spark, d):
+    return _hinted(spark, d).select("run", "hint")
+
+
+def hint_leaks(spark, d):
+    """Thoughts that say the step, the table, or the hint's own words, against instructions that hold some of them."""
+    h = _hinted(spark, d)
+    said = F.concat(F.when(F.col("run") % 2 == 0, F.concat(F.lit("I redo step #"), "root", F.lit(". "))).otherwise("Hm. "), F.when(F.col("run") % 3 == 0, F.concat(F.lit("the "), F.coalesce("tbl", F.lit("none")), F.lit(" row. "))).otherwise(""), F.when(F.col("run") % 5 < 2, F.concat(F.lit("But You used '"), "used", F.lit("' from there, a HINT"))).otherwise("fine"))
+    context = F.when(F.col("run") % 7 == 0, F.concat(F.lit("but you used "), "used", F.lit(" from "), F.coalesce("tbl", F.lit("")))).otherwise("go")
+    found = hints.leaks(F.col("hint"), F.when(F.col("run") % 11 != 3, said), context, F.col("root"), F.col("tbl"), 5, [r"\bhint\b"])
+    return h.select("run", F.array_join(found, ";").alias("leaks"))
+
+
+def annotation_export(spark, d):
+    """Orders as runs, lines as criteria, return flags as annotators."""
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("string").alias("criterion")).agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    criteria = line.select("run", "criterion", F.when(F.col("s") % 6 == 1, -1.0).when(F.col("s") % 6 == 2, F.lit(None)).otherwise((F.col("s") % 6).cast("double")).alias("weight"))
+    scored = line.where("not (run % 9 = 4 and criterion = '1')").groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("criterion", (F.col("p") % 4 != 0).cast("int").alias("v")))).alias("scores"))
+    who = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_returnflag").alias("annotator")).distinct()
+    reviews = who.join(scored, "run").select("run", "annotator", F.when(F.col("run") % 13 != 6, F.col("scores")).alias("scores"), F.concat(F.lit("s"), "run").alias("sha"))
+    flags = who.where("annotator = 'R' and run % 4 = 1").select("run", "annotator", F.lit("needs_rerun").alias("status"), F.concat(F.lit("s"), "run").alias("sha")).union(who.where("annotator = 'N'").select("run", "annotator", F.lit("ok"), F.lit("x")))
+    out = hints.annotation_export(reviews, flags, criteria, who.where("run % 3 = 0").select("run", "annotator", F.lit("late").alias("failure")))
+    return out.withColumn("score", F.round("score", 9))
+
+
+QUERIES = {f.__name__: f for f in (hint_texts, hint_leaks, annotation_export, value_ledger, detection_records, recovery_records, verification_cuts, gold_action_records, accepted_attempts)}
 
 _BASE = f"""{EV}, e AS (SELECT *, user_id AS run, idx AS k FROM ev),
   p AS (SELECT run, k, 0 AS place, 'text' AS name, {_TEXT} AS value FROM e WHERE event_id % 3 = 0 UNION ALL SELECT run, k, 1, 'day', concat('on ', {_DAY}) FROM e WHERE event_id % 4 = 1 UNION ALL SELECT run, k, 2, 'name', {_ITEM} FROM e WHERE event_id % 8 = 3),
@@ -102,7 +134,20 @@ def _attempts_sql(policy: str, good: str, keep: str = "true") -> str:
     return f"""SELECT "case", level, teacher, attempt, n AS n_attempts, '{policy}' AS policy FROM (SELECT * FROM n WHERE {good} QUALIFY row_number() OVER (PARTITION BY "case" ORDER BY n) = 1) WHERE {keep}"""
 
 
+_HINTS = f"""{_BASE}, x AS (SELECT run, root AS cut, root AS known_to FROM z WHERE root <= last), {_EVIDENCE},
+  h AS (SELECT y.run, y.cut AS root, CASE WHEN a.k <= y.cut THEN a.tbl END AS tbl, wrong AS used, 'Step ' || y.cut || ' was wrong: the screen shows ' || shown_column || ' = ''' || shown || ''', but you used ''' || wrong || ''' (from step ' || carried_at || ').' ||
+    CASE WHEN a.k <= y.cut THEN ' Step ' || a.k || ' already changed shop.' || a.tbl || ' (row ' || a.rowid || '): compensate that first, then redo the step correctly.' ELSE ' Nothing has been written yet: redo the step correctly.' END AS hint
+    FROM y LEFT JOIN a USING (run) WHERE shown IS NOT NULL AND carried IS NOT NULL)"""
 ORACLE = {
+    "hint_texts": f"WITH {_HINTS} SELECT run, hint FROM h",
+    "hint_leaks": f"""WITH {_HINTS}, k AS (SELECT *, replace(used, '-', ' ') AS u FROM h)
+      SELECT run, CASE WHEN run % 11 = 3 THEN '' ELSE concat_ws(';', CASE WHEN run % 2 = 0 THEN 'step:' || root END, CASE WHEN run % 3 = 0 AND run % 7 <> 0 THEN 'table:' || tbl END,
+        CASE WHEN run % 5 < 2 AND run % 7 <> 0 THEN 'ngram:but you used ' || u || ';ngram:you used ' || u || ' from' END, CASE WHEN run % 5 < 2 THEN 'pattern:' || chr(92) || 'bhint' || chr(92) || 'b' END) END AS leaks FROM k""",
+    "annotation_export": """WITH l AS (SELECT l_orderkey AS run, l_linenumber::VARCHAR AS c, min(l_suppkey) % 6 AS s, (min(l_partkey) % 4 <> 0)::INT AS v FROM lineitem GROUP BY 1, 2), w AS (SELECT *, CASE WHEN s IN (0, 1, 2) THEN 1 ELSE s END AS weight FROM l),
+      g AS (SELECT run, sum(weight * v) / sum(weight) AS score, min(v) AS solved, bool_or(c = '1') AND run % 9 = 4 AS short, count(*) AS n FROM w GROUP BY run), a AS (SELECT DISTINCT l_orderkey AS run, l_returnflag AS annotator FROM lineitem),
+      r AS (SELECT annotator, g.*, annotator = 'R' AND run % 4 = 1 AS again, CASE WHEN run % 13 = 6 THEN 'no scores' WHEN short THEN 'scores of other criteria' END AS fault FROM a JOIN g USING (run))
+      SELECT run, annotator, 's' || run AS sha, CASE WHEN NOT again AND fault IS NULL THEN round(score, 9) END AS score, CASE WHEN NOT again AND fault IS NULL THEN solved END AS solved, CASE WHEN NOT again AND run % 3 = 0 THEN 'late' END AS failure,
+        CASE WHEN again THEN 'needs_rerun' ELSE 'valid' END AS status, CASE WHEN NOT again THEN fault END AS fault FROM r WHERE again OR NOT (short AND n = 1)""",
     "value_ledger": f"""WITH {_BASE} SELECT run, k AS "at", place, t || '.' || c || '@' || n AS name, value, 'obs:' || k || ':' || src AS source_ref FROM l""",
     "detection_records": f"""WITH {_BASE}, x AS (SELECT run, evidence + o AS cut, evidence + o - 1 AS known_to FROM z, (SELECT unnest({OFFSETS}) AS o) WHERE evidence + o <= last), {_EVIDENCE}
       SELECT run || '_detection_' || cut AS sample_id, 'The current observation shows ' || shown_column || ' = ''' || shown || ''', but I carried ''' || wrong || ''' (from step ' || carried_at || ')' || wrote || '.' AS thought, cut::INTEGER AS n_history,

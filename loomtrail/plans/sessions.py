@@ -27,7 +27,12 @@ def pointer_faults(spark, d):
     return out.where("fault is not null").join(e.select("user_id", "idx", "event_type"), ["user_id", "idx"]).groupBy("event_type", "fault").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (typed_actions, pointer_faults)}
+def action_summaries(spark, d):
+    e = indexed_events(spark, d).select("user_id", "idx", F.expr(CALL).alias("source"))
+    return actions.typed_actions(e, "user_id", "idx", "source", 1920, 1080, 2.0).select("user_id", "idx", "part", actions.summary().alias("summary"))
+
+
+QUERIES = {f.__name__: f for f in (typed_actions, pointer_faults, action_summaries)}
 
 _ACTIONS = f"""{EV}, a AS (
     SELECT *, event_id % 9 AS m, 0 AS part FROM ev UNION ALL SELECT *, 9 AS m, 1 AS part FROM ev WHERE event_id % 9 = 6),
@@ -38,6 +43,11 @@ _ACTIONS = f"""{EV}, a AS (
     FROM c WINDOW w AS (PARTITION BY user_id ORDER BY idx, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   f AS (SELECT *, CASE WHEN m = 5 THEN 'takes time' WHEN NOT known AND (m IN (1, 3) OR m = 2 AND event_id % 7 <> 3) THEN 'no pointer' END AS fault FROM p)"""
 ORACLE = {
+    "action_summaries": f"""WITH {_ACTIONS}, t AS (SELECT *, CASE WHEN m IN (0, 3, 9) THEN px ELSE bx END AS x, CASE WHEN m IN (0, 3, 9) THEN py ELSE y0 END AS y FROM f)
+      SELECT user_id, idx, part, CASE WHEN fault IS NULL THEN CASE m WHEN 0 THEN 'Click at (' || x || ', ' || y || ').' WHEN 1 THEN 'Click at (' || x || ', ' || y || ').'
+        WHEN 2 THEN CASE event_id % 7 WHEN 3 THEN 'No desktop action.' ELSE 'Scroll ' || CASE WHEN event_id % 7 > 3 THEN 'up' ELSE 'down' END || ' by ' || abs(event_id % 7 - 3) || ' units at (' || x || ', ' || y || ').' END
+        WHEN 3 THEN 'Drag from (' || bx || ', ' || y0 || ') to (' || x || ', ' || y || ').' WHEN 4 THEN 'Type ''' || event_type || '; ' || event_id || '''.' WHEN 6 THEN 'Press hotkey tab.' WHEN 7 THEN 'Wait for 2.00 seconds.'
+        WHEN 8 THEN 'Press hotkey ctrl+c.' ELSE 'Move the pointer to (' || x || ', ' || y || ').' END END AS summary FROM t""",
     "typed_actions": f"""WITH {_ACTIONS} SELECT user_id, idx, part,
       CASE WHEN fault IS NULL THEN CASE m WHEN 0 THEN 'click' WHEN 1 THEN 'click' WHEN 2 THEN CASE WHEN event_id % 7 = 3 THEN 'no_op' ELSE 'scroll' END WHEN 3 THEN 'drag' WHEN 4 THEN 'type' WHEN 7 THEN 'wait' WHEN 9 THEN 'move' ELSE 'hotkey' END END AS kind,
       CASE WHEN fault IS NULL THEN CASE WHEN m IN (0, 3, 9) THEN px WHEN m = 1 OR m = 2 AND event_id % 7 <> 3 THEN bx END END::INTEGER AS x, CASE WHEN fault IS NULL THEN CASE WHEN m IN (0, 3, 9) THEN py WHEN m = 1 OR m = 2 AND event_id % 7 <> 3 THEN y0 END END::INTEGER AS y,
