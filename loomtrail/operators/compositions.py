@@ -86,3 +86,68 @@ def beam_rounds(modules: DataFrame, fits: DataFrame, rounds: int, width: int, bu
         if beam.isEmpty():
             break
     return reduce(DataFrame.union, accepted).select("seed", "round", "form", "members", "edges", "score", "n_nodes")
+
+
+#: In front of the steps of the first and of the second parent, and the port of a condition (fixed values).
+FIRST, SECOND, GATE = "a_", "b_", "gate"
+
+
+def composed_id(kind: str | None, *parts: Column) -> Column:
+    """The name of a composition: gen- and ten digits of the sha256 of what it is made of."""
+    return F.concat(F.lit("gen-"), F.left(F.sha2(F.concat(*([F.lit(f"{kind}|")] if kind else []), *parts), 256), F.lit(10)))
+
+
+def _both(pairs: DataFrame, table: DataFrame, named: list[str]) -> DataFrame:
+    """The rows of both parents under the name of the composition, the columns ``named`` with the parent's prefix."""
+    out = []
+    for parent, prefix in (("a", FIRST), ("b", SECOND)):
+        own = pairs.select("task", F.col(parent).alias("_of")).join(table.withColumnRenamed("task", "_of"), "_of").drop("_of")
+        out.append(own.withColumns({c: F.concat(F.lit(prefix), F.col(c)) for c in named}))
+    return out[0].unionByName(out[1])
+
+
+def grafted(joins: DataFrame, nodes: DataFrame, ports: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Compositions of two tasks by an edge from an output of the first to an input of the second: task table, nodes, ports, edges.
+
+    ``joins``: a, b, from_node, from_port, to_node, to_port. ``nodes``: task, node and more; ``ports``: task, node, port,
+    is_output, literal, source, grounding; ``edges``: task, edge, from_node, from_port, to_node, to_port, kind. All ids are texts. The input that
+    the edge feeds loses its literal and is grounded in what feeds it. A task is not joined with itself.
+    """
+    src, dst = F.concat(F.lit(FIRST), "from_node"), F.concat(F.lit(SECOND), "to_node")
+    pairs = joins.where("a <> b").distinct().withColumns({"src": src, "dst": dst})
+    text = F.concat("a", F.lit("|"), "b", F.lit("|"), "src", F.lit("."), "from_port", F.lit("->"), "dst", F.lit("."), "to_port")
+    pairs = pairs.withColumn("task", composed_id(None, text))
+    fed = pairs.select("task", F.col("dst").alias("node"), F.col("to_port").alias("port"), F.concat(F.lit("derived:"), "src", F.lit(":"), "from_port").alias("_g"))
+    all_ports = _both(pairs, ports, ["node"]).join(fed, ["task", "node", "port"], "left")
+    hit = F.col("_g").isNotNull() & ~F.col("is_output")
+    own = all_ports.withColumns({"literal": F.when(~hit, F.col("literal")), "source": F.when(hit, "upstream").otherwise(F.col("source")), "grounding": F.when(hit, F.col("_g")).otherwise(F.col("grounding"))}).drop("_g")
+    new = pairs.select("task", F.concat_ws("_", F.lit("graft"), "src", "dst").alias("edge"), F.col("src").alias("from_node"), "from_port", F.col("dst").alias("to_node"), "to_port", F.lit("data_dependency").alias("kind"))
+    return pairs.select("task", "a", "b", F.lit("grafting").alias("operator")), _both(pairs, nodes, ["node"]), own, _both(pairs, edges, ["from_node", "to_node"]).unionByName(new)
+
+
+def conditioned(joins: DataFrame, nodes: DataFrame, ports: DataFrame, edges: DataFrame, writes: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Compositions in which a value of the first task decides whether the second one's first write happens: as ``grafted``.
+
+    ``joins``: a, b, decide (a node of a), produce (its value). ``nodes`` has place and op; a node whose op is in ``writes`` writes. Tasks
+    without one, or whose first one has a gate already, give no composition.
+    """
+    first = nodes.where(F.col("op").isin(writes)).groupBy("task").agg(F.min_by("node", F.struct("place", "node")).alias("gated"))
+    gates = ports.where(F.col("port") == GATE).where("not is_output").select("task", F.col("node").alias("gated"))
+    open_ = first.join(gates, ["task", "gated"], "left_anti").withColumnRenamed("task", "b")
+    pairs = joins.where("a <> b").distinct().join(open_, "b")
+    pairs = pairs.withColumns({"task": composed_id("cond", F.concat_ws("|", "a", "b", "decide")), "src": F.concat(F.lit(FIRST), "decide"), "dst": F.concat(F.lit(SECOND), "gated")})
+    gate = pairs.select("task", F.col("dst").alias("node"), F.lit(GATE).alias("port"), F.lit(False).alias("is_output"), F.lit(None).cast("string").alias("literal"), F.lit("upstream").alias("source"), F.concat_ws(":", F.lit("derived"), "src", "produce").alias("grounding"))
+    new = pairs.select("task", F.concat(F.lit("cond_"), "dst").alias("edge"), F.col("src").alias("from_node"), F.col("produce").alias("from_port"), F.col("dst").alias("to_node"), F.lit(GATE).alias("to_port"), F.lit("control_dependency").alias("kind"))
+    return pairs.select("task", "a", "b", F.lit("conditionalization").alias("operator")), _both(pairs, nodes, ["node"]), _both(pairs, ports, ["node"]).unionByName(gate), _both(pairs, edges, ["from_node", "to_node"]).unionByName(new)
+
+
+def composed_lineage(tasks: DataFrame, sources: DataFrame) -> DataFrame:
+    """task, sources and prefixes: the tasks that a composition is made of, those of its first parent before those of its second, and what stands in front of their steps.
+
+    ``sources``: task, place, source, prefix of tasks that are compositions themselves; any other task is its own source.
+    """
+    parents = tasks.select("task", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit(FIRST).alias("own"), F.col("a").alias("parent")), F.struct(F.lit(1).alias("side"), F.lit(SECOND).alias("own"), F.col("b").alias("parent")))).alias("p")).select("task", "p.*")
+    each = parents.join(sources.withColumnRenamed("task", "parent"), "parent", "left")
+    one = F.struct("side", F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("source", "parent").alias("source"), F.concat("own", F.coalesce("prefix", F.lit(""))).alias("prefix"))
+    got = each.groupBy("task").agg(F.sort_array(F.collect_list(one)).alias("s"))
+    return got.select("task", F.transform("s", lambda x: x["source"]).alias("sources"), F.transform("s", lambda x: x["prefix"]).alias("prefixes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrail.functions.expressions import compile_expression
-from loomtrail.operators import graphs, texts
+from loomtrail.operators import graphs, relations, texts
 from loomtrail.plans.tables import table
 
 STOP = ["the", "and", "with", "that", "this", "from"]
@@ -67,12 +67,19 @@ def _columns(spark, d):
     return spark.createDataFrame(rows, "table string, column string, position int")
 
 
+def confirmed_keys(spark, d):
+    """Relations between tables by the names of key columns, of which every value is found among those of the key."""
+    named = graphs.infer_keys(_columns(spark, d), "key")
+    keys = {t: table(spark, d, t).select(*(c for c in table(spark, d, t).columns if c.endswith("key"))) for t in TABLES}
+    return named.join(relations.inclusions(relations.column_values(keys)), named.columns, "left_semi")
+
+
 def key_inference(spark, d):
-    return graphs.infer_keys(_columns(spark, d), "key")
+    return confirmed_keys(spark, d)
 
 
 def key_paths(spark, d):
-    return graphs.key_paths(graphs.infer_keys(_columns(spark, d), "key"), 3)
+    return graphs.key_paths(confirmed_keys(spark, d), 3)
 
 
 EXPRESSIONS = {
@@ -122,8 +129,10 @@ _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lam
 _EDGES = """t AS (SELECT max(s_suppkey) AS top FROM supplier), e AS (SELECT DISTINCT a, b FROM (SELECT s_suppkey AS a, unnest([s_suppkey * 2, s_suppkey * 2 + 1, s_suppkey * 3 + 2]) AS b FROM supplier), t WHERE b <= top AND a > 0)"""
 _MARKUP = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
 
-_KEYS = f"""c AS (SELECT table_name AS t, column_name AS c, row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS p, regexp_extract(column_name, '^[a-z]+_([a-z]+key)$', 1) AS stem FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, TABLES))})),
-  k AS (SELECT a.t AS from_table, a.c AS from_column, b.t AS to_table, b.c AS to_column FROM c a JOIN c b ON a.stem = b.stem AND a.stem <> '' AND b.p = 1 AND a.t <> b.t)"""
+_KEY_COLUMNS = ["region.r_regionkey", "nation.n_nationkey", "nation.n_regionkey", "customer.c_custkey", "customer.c_nationkey", "supplier.s_suppkey", "supplier.s_nationkey", "part.p_partkey", "orders.o_orderkey", "orders.o_custkey", "lineitem.l_orderkey", "lineitem.l_partkey", "lineitem.l_suppkey"]
+_KEYS = f"""v AS ({' UNION ALL '.join(f"SELECT DISTINCT '{x.split('.')[0]}' AS t, '{x.split('.')[1]}' AS c, {x.split('.')[1]}::BIGINT AS v FROM {x.split('.')[0]}" for x in _KEY_COLUMNS)}), c AS (SELECT table_name AS t, column_name AS c, row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS p, regexp_extract(column_name, '^[a-z]+_([a-z]+key)$', 1) AS stem FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, TABLES))})),
+  k AS (SELECT a.t AS from_table, a.c AS from_column, b.t AS to_table, b.c AS to_column FROM c a JOIN c b ON a.stem = b.stem AND a.stem <> '' AND b.p = 1 AND a.t <> b.t
+    WHERE NOT EXISTS (SELECT 1 FROM v x WHERE x.t = a.t AND x.c = a.c AND NOT EXISTS (SELECT 1 FROM v y WHERE y.t = b.t AND y.c = b.c AND y.v = x.v)))"""
 
 ORACLE = {
     "key_inference": f"WITH {_KEYS} SELECT * FROM k",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrail.operators import graphs, modules
-from loomtrail.plans.documents import _EDGES, TABLES, _columns, _edges
+from loomtrail.plans.documents import _EDGES, _KEYS, TABLES, _columns, _edges, confirmed_keys
 from loomtrail.plans.tables import table
 
 OPS = ["retrieve", "aggregate", "filter", "create", "compare"]
@@ -116,10 +116,12 @@ def typed_texts(spark, d):
 
 
 def schema_prompt(spark, d):
-    columns = _columns(spark, d)
-    typed = columns.withColumn("type", F.lit("t"))
-    rows = spark.createDataFrame([(t,) for t in TABLES], "table string").withColumn("n", F.length("table"))
-    return modules.schema_lines(typed, rows, graphs.infer_keys(columns, "key"))
+    """A line per table with its number of rows, its columns and its confirmed keys."""
+    columns, rows = _columns(spark, d), None
+    for t in TABLES:
+        own = table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n")
+        rows = own if rows is None else rows.union(own)
+    return modules.schema_lines(columns.withColumn("type", F.lit("t")), rows, confirmed_keys(spark, d))
 
 
 def statement_tables(spark, d):
@@ -159,9 +161,8 @@ ORACLE = {
     "review_sheet": "SELECT o_custkey, o_orderstatus AS code, o_orderdate, o_orderkey FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) WHERE o_orderstatus IN ('O', 'P')",
     "failing_tasks": "SELECT c_custkey AS task FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)",
     "typed_texts": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'text' ELSE 'value' END AS name, left(event_type, (event_id % 6)::INT) AS value FROM events WHERE event_id % 3 < 2 AND length(left(event_type, (event_id % 6)::INT)) >= 3",
-    "schema_prompt": f"""WITH c AS (SELECT table_name AS t, column_name AS c, row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS p, regexp_extract(column_name, '^[a-z]+_([a-z]+key)$', 1) AS stem FROM information_schema.columns WHERE table_name IN ({', '.join(map(repr, TABLES))})),
-      k AS (SELECT a.t, string_agg(a.c || ' -> ' || b.t, ', ' ORDER BY a.c || ' -> ' || b.t) AS k FROM c a JOIN c b ON a.stem = b.stem AND a.stem <> '' AND b.p = 1 AND a.t <> b.t GROUP BY 1)
-      SELECT c.t AS "table", c.t || ' (' || length(c.t) || ' rows): ' || string_agg(c || ' t', ', ' ORDER BY p) || coalesce('; ' || any_value(k), '') AS line FROM c LEFT JOIN k ON k.t = c.t GROUP BY c.t""",
+    "schema_prompt": f"""WITH {_KEYS}, n AS ({' UNION ALL '.join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in TABLES)}), g AS (SELECT from_table, string_agg(from_column || ' -> ' || to_table, ', ' ORDER BY from_column || ' -> ' || to_table) AS g FROM k GROUP BY 1)
+      SELECT c.t AS "table", c.t || ' (' || any_value(n.n) || ' rows): ' || string_agg(c || ' t', ', ' ORDER BY p) || coalesce('; ' || any_value(g), '') AS line FROM c JOIN n ON n.t = c.t LEFT JOIN g ON from_table = c.t GROUP BY c.t""",
     "statement_tables": "SELECT o_orderkey, 't' || o_orderkey % 4 || ',u' || o_orderkey % 2 || CASE WHEN o_orderkey % 4 <> 1 THEN ',t1' ELSE '' END AS tables FROM orders",
     "entity_ids": "SELECT c_custkey, lower(c_mktsegment) || ':' || CASE WHEN c_custkey % 2 = 0 THEN regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g') ELSE 'no-' || c_custkey END AS entity FROM customer",
 }

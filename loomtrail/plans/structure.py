@@ -94,7 +94,49 @@ def table_relations(spark, d):
     return relations.relations(_values(spark, d), [("role", "conv_id"), ("event_type", "user_id")])
 
 
-QUERIES = {f.__name__: f for f in (edge_repair, edge_repair_step, repaired_inputs, cycle_members, fitting_modules, beam_rounds, column_sizes, inclusions, table_relations)}
+def _modules(spark, d):
+    """Each supplier of a nation as a task of three steps, its lines telling the ports; joins follow orders that name two suppliers next to each other."""
+    s = table(spark, d, "supplier").selectExpr("CAST(s_suppkey AS STRING) AS task", "s_nationkey")
+    steps = s.select("*", F.explode(F.expr("sequence(1, 3)")).alias("k"))
+    nodes = steps.selectExpr("task", "concat('n', k) AS node", "k AS place", "CASE WHEN (s_nationkey + k) % 3 = 0 THEN 'create' WHEN k = 2 THEN 'decide' ELSE 'retrieve' END AS op")
+    ports = steps.selectExpr("task", "concat('n', k) AS node", "'in' AS port", "false AS is_output", "CASE WHEN k = 1 THEN concat('v', task) END AS literal", "CASE WHEN k = 1 THEN 'literal' ELSE 'upstream' END AS source", "CASE WHEN k = 1 THEN 'literal' ELSE concat('derived:n', k - 1, ':out') END AS grounding")
+    ports = ports.union(steps.selectExpr("task", "concat('n', k)", "'out'", "true", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "'world'")).union(steps.where("k = 3 and s_nationkey % 4 = 0").selectExpr("task", "concat('n', k)", "'gate'", "false", "CAST(NULL AS STRING)", "'upstream'", "'x'"))
+    edges = steps.where("k > 1").selectExpr("task", "concat('e', k) AS edge", "concat('n', k - 1) AS from_node", "'out' AS from_port", "concat('n', k) AS to_node", "'in' AS to_port", "'value_dependency' AS kind")
+    fits = _fits(spark, d).selectExpr("CAST(a AS STRING) AS a", "CAST(b AS STRING) AS b").distinct()
+    return nodes, ports, edges, fits
+
+
+def _flat(tables):
+    """The rows of a composition's tables as lines of text."""
+    tasks, nodes, ports, edges = tables
+    parts = [tasks.selectExpr("task", "concat_ws('|', 'task', a, b, operator) AS line"), nodes.selectExpr("task", "concat_ws('|', 'node', node, op) AS line"), ports.selectExpr("task", "concat_ws('|', 'port', node, port, is_output, coalesce(literal, '-'), coalesce(source, '-'), grounding) AS line"), edges.selectExpr("task", "concat_ws('|', 'edge', edge, from_node, from_port, to_node, to_port, kind) AS line")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def grafted_tasks(spark, d):
+    nodes, ports, edges, fits = _modules(spark, d)
+    joins = fits.selectExpr("a", "b", "'n3' AS from_node", "'out' AS from_port", "'n1' AS to_node", "'in' AS to_port")
+    return _flat(compositions.grafted(joins, nodes, ports, edges))
+
+
+def conditioned_tasks(spark, d):
+    nodes, ports, edges, fits = _modules(spark, d)
+    decide = nodes.where("op = 'decide'").select(F.col("task").alias("a"), F.col("node").alias("decide"))
+    return _flat(compositions.conditioned(fits.join(decide, "a").withColumn("produce", F.lit("out")), nodes, ports, edges, ["create"]))
+
+
+def composition_sources(spark, d):
+    """Sources of compositions whose first parents are compositions of two suppliers themselves."""
+    nodes, ports, edges, fits = _modules(spark, d)
+    joins = fits.selectExpr("a", "b", "'n3' AS from_node", "'out' AS from_port", "'n1' AS to_node", "'in' AS to_port")
+    tasks = compositions.grafted(joins, nodes, ports, edges)[0]
+    inner = tasks.select("task", F.posexplode(F.array("a", "b")).alias("place", "source")).withColumn("prefix", F.when(F.col("place") == 0, compositions.FIRST).otherwise(compositions.SECOND))
+    outer = tasks.select(F.concat(F.lit("x"), "task").alias("task"), F.col("task").alias("a"), "b")
+    out = compositions.composed_lineage(outer, inner)
+    return out.select("task", F.array_join("sources", ",").alias("sources"), F.array_join("prefixes", ",").alias("prefixes"))
+
+
+QUERIES = {f.__name__: f for f in (grafted_tasks, conditioned_tasks, composition_sources, edge_repair, edge_repair_step, repaired_inputs, cycle_members, fitting_modules, beam_rounds, column_sizes, inclusions, table_relations)}
 
 _CHAINS = """s0 AS (SELECT l_suppkey AS task, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS node, l_tax >= 0.08 AND l_discount = 0 AS own, l_linenumber = 7 AND l_quantity >= 25 AS lit, * FROM lineitem),
   s AS (SELECT task, node, own, CASE WHEN lit AND NOT own THEN 'v' || l_orderkey END AS literal, l_returnflag = 'R' AND l_tax >= 0.08 AND NOT own AS itself, l_linenumber = 1 AND l_tax >= 0.08 AS unknown FROM s0),
@@ -115,7 +157,29 @@ _INSIDE = f"""{_VALUES}, k AS (SELECT "table", "column", kind, count(*) AS size,
     JOIN k ON k."table" = b."table" AND k."column" = b."column" AND k.most = 1 GROUP BY ALL),
   y AS (SELECT x.*, f.size, f.most, t.size AS n FROM x JOIN k f ON f."table" = from_table AND f."column" = from_column JOIN k t ON t."table" = to_table AND t."column" = to_column)"""
 _STEM = "coalesce(nullif(regexp_extract({0}, '^[a-z]+_(.+)$', 1), ''), {0})"
+_MODULES = """l AS (SELECT l_suppkey AS a, l_returnflag AS o, lead(l_suppkey) OVER w AS b, lead(l_linestatus) OVER w AS i, l_quantity::BIGINT AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity)),
+  g AS (SELECT a, o, b, i, sum(q) AS score FROM l WHERE b IS NOT NULL GROUP BY ALL), t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY a, o ORDER BY score DESC, b, i) <= 3 OR row_number() OVER (PARTITION BY b, i ORDER BY score DESC, a, o) <= 3),
+  j AS (SELECT DISTINCT a::VARCHAR AS a, b::VARCHAR AS b FROM t WHERE a <> b), s AS (SELECT s_suppkey::VARCHAR AS t, s_nationkey AS c, unnest([1, 2, 3]) AS k FROM supplier),
+  n AS (SELECT t, k, 'n' || k AS node, CASE WHEN (c + k) % 3 = 0 THEN 'create' WHEN k = 2 THEN 'decide' ELSE 'retrieve' END AS op FROM s),
+  p AS (SELECT t, 'n' || k AS node, 'in' AS port, 'false' AS o, CASE WHEN k = 1 THEN 'v' || t ELSE '-' END AS lit, CASE WHEN k = 1 THEN 'literal' ELSE 'upstream' END AS src, CASE WHEN k = 1 THEN 'literal' ELSE 'derived:n' || k - 1 || ':out' END AS g FROM s
+    UNION ALL SELECT t, 'n' || k, 'out', 'true', '-', '-', 'world' FROM s UNION ALL SELECT t, 'n3', 'gate', 'false', '-', 'upstream', 'x' FROM s WHERE k = 3 AND c % 4 = 0),
+  e AS (SELECT t, 'e' || k AS edge, 'n' || k - 1 AS f, 'n' || k AS h FROM s WHERE k > 1),
+  u AS (SELECT *, 'gen-' || left(sha256(a || '|' || b || '|a_n3.out->b_n1.in'), 10) AS task FROM j),
+  v AS (SELECT j.*, d.node AS decide, x.gated, 'gen-' || left(sha256('cond|' || a || '|' || b || '|' || d.node), 10) AS task FROM j JOIN n d ON d.t = a AND d.op = 'decide' JOIN (SELECT t, arg_min(node, k) AS gated FROM n WHERE op = 'create' GROUP BY t) x ON x.t = b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.t = b AND p.node = x.gated AND p.port = 'gate'))"""
+
+
+def _flat_sql(pairs: str, operator: str, more: str, port: str) -> str:
+    return f"""SELECT task, 'task|' || a || '|' || b || '|{operator}' AS line FROM {pairs}
+      UNION ALL SELECT task, 'node|a_' || node || '|' || op FROM {pairs} JOIN n ON t = a UNION ALL SELECT task, 'node|b_' || node || '|' || op FROM {pairs} JOIN n ON t = b
+      UNION ALL SELECT task, concat_ws('|', 'port', 'a_' || node, port, o, lit, src, g) FROM {pairs} JOIN p ON t = a UNION ALL SELECT task, {port} FROM {pairs} JOIN p ON t = b
+      UNION ALL SELECT task, concat_ws('|', 'edge', edge, 'a_' || f, 'out', 'a_' || h, 'in', 'value_dependency') FROM {pairs} JOIN e ON t = a UNION ALL SELECT task, concat_ws('|', 'edge', edge, 'b_' || f, 'out', 'b_' || h, 'in', 'value_dependency') FROM {pairs} JOIN e ON t = b {more}"""
+
+
+_SECOND_PORT = "concat_ws('|', 'port', 'b_' || node, port, o, lit, src, g)"
 ORACLE = {
+    "grafted_tasks": f"""WITH {_MODULES} {_flat_sql('u', 'grafting', "UNION ALL SELECT task, 'edge|graft_a_n3_b_n1|a_n3|out|b_n1|in|data_dependency' FROM u", f"CASE WHEN node = 'n1' AND port = 'in' THEN 'port|b_n1|in|false|-|upstream|derived:a_n3:out' ELSE {_SECOND_PORT} END")}""",
+    "conditioned_tasks": f"""WITH {_MODULES} {_flat_sql('v', 'conditionalization', "UNION ALL SELECT task, concat_ws('|', 'edge', 'cond_b_' || gated, 'a_' || decide, 'out', 'b_' || gated, 'gate', 'control_dependency') FROM v UNION ALL SELECT task, concat_ws('|', 'port', 'b_' || gated, 'gate', 'false', '-', 'upstream', 'derived:a_' || decide || ':out') FROM v", _SECOND_PORT)}""",
+    "composition_sources": f"""WITH {_MODULES} SELECT 'x' || task AS task, a || ',' || b || ',' || b AS sources, 'a_a_,a_b_,b_' AS prefixes FROM u""",
     "fitting_modules": """WITH l AS (SELECT l_suppkey AS a, l_returnflag AS "out", lead(l_suppkey) OVER w AS b, lead(l_linestatus) OVER w AS "into", l_quantity::BIGINT AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity)),
       f AS (SELECT a, "out", b, "into", sum(q)::BIGINT AS score FROM l WHERE b IS NOT NULL GROUP BY ALL)
       SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY a, "out" ORDER BY score DESC, b, "into") <= 3 OR row_number() OVER (PARTITION BY b, "into" ORDER BY score DESC, a, "out") <= 3""",
