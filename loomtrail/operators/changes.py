@@ -57,15 +57,25 @@ def row_digest(df: DataFrame, columns: list[str], name: str = "digest") -> DataF
     return df.withColumn(name, F.sha2(text, 256))
 
 
-def table_digest(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
+def table_digest(df: DataFrame, columns: list[str], levels: int | None = None, leaf: int = 1 << 17) -> DataFrame:
     """One digest of a table that does not depend on row order or partitions.
 
-    Rows are hashed; each of ``buckets`` groups, by the digest's first byte, hashes its sorted digests; the digest of
-    the table is that of the sorted groups. For tables whose groups outgrow a task, give more buckets.
+    Rows are hashed; a group of rows, by the bytes of their digest behind the first, hashes its sorted digests, 256 groups
+    form the next level, and so on up to one. There are as many levels as leave about ``leaf`` rows to a group, so no
+    task sorts more at any size of the table; digests are comparable at equal levels.
     """
+    if levels is None:
+        n, levels = df.count(), 1
+        while n > leaf << (8 * levels):
+            levels += 1
     rows = row_digest(df.select(*columns), columns, "_d")
-    part = rows.groupBy((F.conv(F.substring("_d", 1, 4), 16, 10).cast("int") % buckets).alias("_b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("_d")), "\n"), 256).alias("_p"))
-    return part.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_p"))), lambda x: x["_p"]), "\n"), 256).alias("digest"))
+    key = F.conv(F.substring("_d", 3, 2 * levels), 16, 10).cast("long")
+    part = rows.groupBy(key.alias("_b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("_d")), "\n"), 256).alias("_p"))
+    for _ in range(levels):
+        own = F.transform(F.sort_array(F.collect_list(F.struct("_b", "_p"))), lambda x: x["_p"])
+        part = part.groupBy(F.floor(F.col("_b") / 256).alias("_up")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(own, "\n"), 256).alias("_p")).withColumnRenamed("_up", "_b")
+    none = F.sha2(F.lit(""), 256)
+    return part.agg(F.sum("n").alias("n_rows"), F.coalesce(F.max("_p"), none).alias("digest"))
 
 
 def compare_components(expected: DataFrame, observed: DataFrame, key: str, value: str, ignored: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrail.operators.graphs import prepare_checkpoints
+
 
 def rank_hash(seed: int, key: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
@@ -44,8 +46,19 @@ def prefix_lookup(items: DataFrame, item: str, table: DataFrame, prefix: str, va
 
 
 def shards(rows: DataFrame, order: list[str], by: str, n: int) -> DataFrame:
-    """Shard of each row: its place among the rows of its group, modulo n."""
-    return rows.withColumn("shard", (F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1) % n)
+    """Shard of each row: its place among the rows of its group, modulo n.
+
+    Rows are cut into ranges of group and order, numbered within a range, and moved on by the rows of the group in the
+    ranges before; so a group of any size is spread over tasks. The ranges are written once, as they come from a sample.
+    """
+    prepare_checkpoints(rows.sparkSession)
+    cut = rows.repartitionByRange(F.col(by), *(F.col(c) for c in order)).withColumn("_range", F.spark_partition_id()).checkpoint()
+    held = cut.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    before = held.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = cut.withColumn("_place", F.row_number().over(Window.partitionBy(by, "_range").orderBy(*order)) - 1)
+    same = placed[by].eqNullSafe(before[by]) & (placed["_range"] == before["_range"])
+    out = placed.join(F.broadcast(before), same)  # a row per range, and one more per group
+    return out.select(*(placed[c] for c in rows.columns), ((F.col("_place") + F.col("_before")) % n).alias("shard"))
 
 
 def negatives(rows: DataFrame, by: str, before: Column, n: int, seed: int, key: str) -> DataFrame:

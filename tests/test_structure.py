@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrail.operators import compositions, graphs, relations, repairs
+from loomtrail.operators import changes, compositions, graphs, relations, repairs, sampling
 
 
 def test_long_chains_take_few_joins(spark, monkeypatch):
@@ -171,3 +171,17 @@ def test_relations(spark):
     assert abs(some["b_most", "a_id"] - sum(x < 300 for x in most) / len(most)) < 1e-9
     found = {r.from_column: (r.to_column, r.rule, r.type_column) for r in relations.relations(v, [("b_kind", "b_most")]).collect()}
     assert found == {"b_id": ("a_id", "name", None), "b_label": ("a_name", "values", None), "b_most": (None, "polymorphic", "b_kind")}
+
+
+def test_shards_and_digests_in_levels(spark):
+    rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 5003).alias("k"))
+    got = {r.id: r.shard for r in sampling.shards(rows.repartition(9), ["k"], "g", 7).collect()}
+    want = {}
+    for g in (None, 0, 1):
+        own = sorted((r.k, r.id) for r in rows.collect() if r.g == g)
+        want |= {i: n % 7 for n, (_, i) in enumerate(own)}
+    assert got == want
+    one = changes.table_digest(rows, ["id", "g"], leaf=4).first()
+    assert one == changes.table_digest(rows.orderBy(F.desc("k")).repartition(5), ["id", "g"], leaf=4).first() and one.n_rows == 5000
+    assert one.digest != changes.table_digest(rows.where("id <> 77"), ["id", "g"], levels=2).first().digest
+    assert changes.table_digest(rows.limit(0), ["id"]).first().digest is not None
