@@ -132,6 +132,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = b.column("posting")
         flat = lists.flatten()
         at, p, zero = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("id", "p", "zero"))
+        ids, code = np.unique(at, return_inverse=True)
         size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         left = np.repeat(np.cumsum(size), size) - np.arange(len(at)) - 1  # entries behind each one in its list
         ends = np.cumsum(left)
@@ -142,10 +143,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, c = np.repeat(np.arange(lo, hi), n), ragged(np.arange(lo, hi) + 1, n)
             pa_, pc, za, zc = p[a], p[c], zero[a], zero[c]
             add = _f(pa_, pc) - _f(pa_, zc) - _f(za, pc) + _f(za, zc)
-            pairs, back = np.unique(np.stack([at[a], at[c]]), axis=1, return_inverse=True)
-            total = np.zeros(pairs.shape[1], np.int64)
-            np.add.at(total, back.reshape(-1), add)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(total)], names=["a", "b", "add"])
+            pairs, back = np.unique(code[a] * len(ids) + code[c], return_inverse=True)
+            total = np.zeros(len(pairs), np.int64)
+            np.add.at(total, back, add)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.array(total)], names=["a", "b", "add"])
             lo = hi
 
 
