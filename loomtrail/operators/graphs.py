@@ -7,11 +7,16 @@ has nodes raise. Each round's rows are written once, to the checkpoint folder.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task takes at most.
+CHUNK = 1 << 18
+
 
 def prepare_checkpoints(spark: SparkSession) -> None:
     """Sets the checkpoint folder from the session; a temporary one only in local mode, as in tests."""
@@ -125,6 +130,61 @@ def least_reaching(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def _strong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(x, root) of the components of two nodes and more of edges (x, y): depth-first search with a stack of its own."""
+    after: dict[str, list[str]] = {}
+    for pdf in batches:
+        for x, y in zip(pdf["x"], pdf["y"], strict=True):
+            after.setdefault(x, []).append(y)
+    place: dict[str, int] = {}
+    low: dict[str, int] = {}
+    held: list[str] = []
+    at: dict[str, int] = {}  # where a held node stands in ``held``
+    out = []
+
+    def enter(node: str) -> None:
+        place[node] = low[node] = len(place)
+        at[node] = len(held)
+        held.append(node)
+
+    for start in after:
+        if start in place:
+            continue
+        enter(start)
+        todo = [(start, iter(after[start]))]
+        while todo:
+            node, rest = todo[-1]
+            for y in rest:
+                if y not in place:
+                    enter(y)
+                    todo.append((y, iter(after.get(y, ()))))
+                    break
+                if y in at:
+                    low[node] = min(low[node], place[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == place[node]:
+                    own = held[at[node] :]
+                    del held[at[node] :]
+                    for k in own:
+                        del at[k]
+                    if len(own) > 1:
+                        out += [(k, node) for k in own]
+    yield pd.DataFrame(out, columns=["x", "root"])
+
+
+def _settled(e: DataFrame) -> DataFrame:
+    """(node, component) of the components of edges that fit a task."""
+    name = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
+    keyed = e.select(name("a").alias("x"), name("b").alias("y"), "a", "b")
+    roots = keyed.select("x", "y").coalesce(1).mapInPandas(_strong, "x string, root string")
+    nodes = keyed.select("x", F.col("a").alias("node")).union(keyed.select("y", "b")).distinct()
+    both = nodes.join(roots, "x").select("node", "root")
+    return both.join(both.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
+
+
 def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, component, members) of every node on a cycle: components in which every node reaches every other.
 
@@ -132,7 +192,7 @@ def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
     least one that it reaches are found: where both are the same, they name the node's component. Edges between nodes
     that differ in either lie in no component and go, as do the components found; each round settles one at least in
     every connected part of what is left. A node that has only an edge to itself is a component of its own; edges with
-    a null end are left out.
+    a null end are left out. Once ``CHUNK`` edges are left at most, one task settles them.
     """
     prepare_checkpoints(edges.sparkSession)
     e = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct().checkpoint()
@@ -140,11 +200,13 @@ def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
     found = e.where("false").selectExpr("a as node", "a as component")
     e = e.where("a <> b")
     while True:
-        was = None
-        while (n := e.count()) and n != was:
+        was, n = None, e.count()
+        while n > CHUNK and n != was:
             was = n
             e = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
-        if not n:
+            n = e.count()
+        if n <= CHUNK:  # what is left fits a task, which settles it
+            found = found.union(_settled(e)) if n else found
             break
         nodes = e.selectExpr("a as node").union(e.selectExpr("b")).distinct()
         label = least_reaching(nodes, e).join(least_reaching(nodes, e.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("label", "back"), "node").checkpoint()
