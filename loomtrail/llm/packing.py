@@ -29,6 +29,8 @@ from loomtrail.llm.token_files import END_ID, list_crc32, with_end
 
 WINDOW = 4096
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 4096
+#: Pre-tokens whose ids a worker keeps at most, beside a shard's index.
+KEPT = 400_000
 #: BM25's constants, and neighbours asked for at once.
 K1, B, NEIGHBOURS = 1.2, 0.75, 16
 PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
@@ -45,7 +47,7 @@ def _word_bpe(path: str) -> Ids:
         marks = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         mark = max(marks)
         library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        _WORKER[path] = Ids(joined(library, mark, marks[mark], lambda x: "<|" in x or "|>" in x), word_pieces, list(marks), library)
+        _WORKER[path] = Ids(joined(library, mark, marks[mark], lambda x: "<|" in x or "|>" in x), word_pieces, list(marks), library, KEPT)
     return _WORKER[path]
 
 
