@@ -52,7 +52,7 @@ def cycle_members(spark, d):
 
 def _fits(spark, d):
     """Suppliers as modules: one fits behind another where an order names them on lines next to each other, best by the quantity of the first."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_quantity")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
     after = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_returnflag").alias("out"), F.lead("l_suppkey").over(w).alias("b"), F.lead("l_linestatus").over(w).alias("into"), F.col("l_quantity").cast("long").alias("q"))
     return compositions.best_fits(after.where("b is not null").groupBy("a", "out", "b", "into").agg(F.sum("q").alias("score")), 3)
 
@@ -157,7 +157,7 @@ _INSIDE = f"""{_VALUES}, k AS (SELECT "table", "column", kind, count(*) AS size,
     JOIN k ON k."table" = b."table" AND k."column" = b."column" AND k.most = 1 GROUP BY ALL),
   y AS (SELECT x.*, f.size, f.most, t.size AS n FROM x JOIN k f ON f."table" = from_table AND f."column" = from_column JOIN k t ON t."table" = to_table AND t."column" = to_column)"""
 _STEM = "coalesce(nullif(regexp_extract({0}, '^[a-z]+_(.+)$', 1), ''), {0})"
-_MODULES = """l AS (SELECT l_suppkey AS a, l_returnflag AS o, lead(l_suppkey) OVER w AS b, lead(l_linestatus) OVER w AS i, l_quantity::BIGINT AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity)),
+_MODULES = """l AS (SELECT l_suppkey AS a, l_returnflag AS o, lead(l_suppkey) OVER w AS b, lead(l_linestatus) OVER w AS i, l_quantity::BIGINT AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus)),
   g AS (SELECT a, o, b, i, sum(q) AS score FROM l WHERE b IS NOT NULL GROUP BY ALL), t AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY a, o ORDER BY score DESC, b, i) <= 3 OR row_number() OVER (PARTITION BY b, i ORDER BY score DESC, a, o) <= 3),
   j AS (SELECT DISTINCT a::VARCHAR AS a, b::VARCHAR AS b FROM t WHERE a <> b), s AS (SELECT s_suppkey::VARCHAR AS t, s_nationkey AS c, unnest([1, 2, 3]) AS k FROM supplier),
   n AS (SELECT t, k, 'n' || k AS node, CASE WHEN (c + k) % 3 = 0 THEN 'create' WHEN k = 2 THEN 'decide' ELSE 'retrieve' END AS op FROM s),
@@ -180,7 +180,7 @@ ORACLE = {
     "grafted_tasks": f"""WITH {_MODULES} {_flat_sql('u', 'grafting', "UNION ALL SELECT task, 'edge|graft_a_n3_b_n1|a_n3|out|b_n1|in|data_dependency' FROM u", f"CASE WHEN node = 'n1' AND port = 'in' THEN 'port|b_n1|in|false|-|upstream|derived:a_n3:out' ELSE {_SECOND_PORT} END")}""",
     "conditioned_tasks": f"""WITH {_MODULES} {_flat_sql('v', 'conditionalization', "UNION ALL SELECT task, concat_ws('|', 'edge', 'cond_b_' || gated, 'a_' || decide, 'out', 'b_' || gated, 'gate', 'control_dependency') FROM v UNION ALL SELECT task, concat_ws('|', 'port', 'b_' || gated, 'gate', 'false', '-', 'upstream', 'derived:a_' || decide || ':out') FROM v", _SECOND_PORT)}""",
     "composition_sources": f"""WITH {_MODULES} SELECT 'x' || task AS task, a || ',' || b || ',' || b AS sources, 'a_a_,a_b_,b_' AS prefixes FROM u""",
-    "fitting_modules": """WITH l AS (SELECT l_suppkey AS a, l_returnflag AS "out", lead(l_suppkey) OVER w AS b, lead(l_linestatus) OVER w AS "into", l_quantity::BIGINT AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity)),
+    "fitting_modules": """WITH l AS (SELECT l_suppkey AS a, l_returnflag AS "out", lead(l_suppkey) OVER w AS b, lead(l_linestatus) OVER w AS "into", l_quantity::BIGINT AS q FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_quantity, l_returnflag, l_linestatus)),
       f AS (SELECT a, "out", b, "into", sum(q)::BIGINT AS score FROM l WHERE b IS NOT NULL GROUP BY ALL)
       SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY a, "out" ORDER BY score DESC, b, "into") <= 3 OR row_number() OVER (PARTITION BY b, "into" ORDER BY score DESC, a, "out") <= 3""",
     "column_sizes": f"""WITH {_VALUES} SELECT "table", "column", kind, count(*) AS n_values, max(n) = 1 AS is_key FROM v GROUP BY ALL""",
