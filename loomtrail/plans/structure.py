@@ -15,7 +15,7 @@ def _chains(spark, d):
     A step makes a value of its own where a line has the highest tax and no discount, takes a literal at the 50th
     quantity of the seventh line, feeds itself on some returned lines, and names an unknown port where the line is the first of its order and taxed most.
     """
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_discount", "l_returnflag")
     own = (F.col("l_tax") >= 0.08) & (F.col("l_discount") == 0)
     literal = (F.col("l_linenumber") == 7) & (F.col("l_quantity") >= 25)
     steps = table(spark, d, "lineitem").select(
@@ -138,7 +138,7 @@ def composition_sources(spark, d):
 
 QUERIES = {f.__name__: f for f in (grafted_tasks, conditioned_tasks, composition_sources, edge_repair, edge_repair_step, repaired_inputs, cycle_members, fitting_modules, beam_rounds, column_sizes, inclusions, table_relations)}
 
-_CHAINS = """s0 AS (SELECT l_suppkey AS task, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS node, l_tax >= 0.08 AND l_discount = 0 AS own, l_linenumber = 7 AND l_quantity >= 25 AS lit, * FROM lineitem),
+_CHAINS = """s0 AS (SELECT l_suppkey AS task, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, l_discount, l_returnflag) AS node, l_tax >= 0.08 AND l_discount = 0 AS own, l_linenumber = 7 AND l_quantity >= 25 AS lit, * FROM lineitem),
   s AS (SELECT task, node, own, CASE WHEN lit AND NOT own THEN 'v' || l_orderkey END AS literal, l_returnflag = 'R' AND l_tax >= 0.08 AND NOT own AS itself, l_linenumber = 1 AND l_tax >= 0.08 AS unknown FROM s0),
   e AS (SELECT task, node, node AS edge, CASE WHEN itself THEN node ELSE node - 1 END AS src, CASE WHEN unknown THEN 'none' WHEN NOT itself AND lag(own) OVER (PARTITION BY task ORDER BY node) THEN 'out' ELSE 'in' END AS port FROM s)"""
 # each edge is walked back link by link to where its value comes from
