@@ -6,6 +6,8 @@ Quoted texts, quoted names and comments are tokens of their own, and nothing ins
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,20 @@ def _named(**fields: Column) -> Column:
     return F.named_struct(*(x for name, c in fields.items() for x in (F.lit(name), c)))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that is read more than once; the value is worked out once for the row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _kind(t: Column) -> Column:
-    first = F.left(t, F.lit(1))
-    return (
-        F.when((first == "'") & (F.length(t) > 1), "text").when(first.isin('"', "`") & (F.length(t) > 1), "name").when(F.left(t, F.lit(2)).isin("--", "/*"), "comment")
-        .when(t.rlike(r"\A[A-Za-z_]"), "word").when((first == ":") & (F.length(t) > 1), "parameter").when(t.rlike(r"\A[0-9]"), "number").when(t.rlike(r"\A\s"), "space").otherwise("sign")
-    )
+    def of(first: Column) -> Column:
+        return (
+            F.when(first.between("a", "z") | first.between("A", "Z") | (first == "_"), "word").when(first.isin(" ", "\t", "\n", "\x0b", "\f", "\r"), "space").when(first.between("0", "9"), "number")
+            .when((first == "'") & (F.length(t) > 1), "text").when(first.isin('"', "`") & (F.length(t) > 1), "name").when((first == ":") & (F.length(t) > 1), "parameter")
+            .when(F.left(t, F.lit(2)).isin("--", "/*"), "comment").otherwise("sign")
+        )
+
+    return _once(F.left(t, F.lit(1)), of)
 
 
 def tokens(sql: Column) -> Column:
@@ -55,18 +65,21 @@ def with_depth(solid: Column) -> Column:
         own = F.when(t["text"] == ")", state["depth"] - 1).otherwise(state["depth"])
         return _named(depth=F.when(t["text"] == "(", own + 1).otherwise(own), all=F.array_append(state["all"], own))
 
-    depths = F.aggregate(solid, start, step, lambda s: s["all"])
-    return F.zip_with(solid, depths, lambda t, d: _named(text=t["text"], kind=t["kind"], low=t["low"], depth=d))
+    def both(solid: Column) -> Column:
+        depths = F.aggregate(solid, start, step, lambda s: s["all"])
+        return F.zip_with(solid, depths, lambda t, d: _named(text=t["text"], kind=t["kind"], low=t["low"], depth=d))
+
+    return _once(solid, both)
 
 
 def tables(solid: Column) -> Column:
     """Names behind FROM, then those behind JOIN, each once."""
-    def behind(word: str) -> Column:
+    def behind(solid: Column, word: str) -> Column:
         at = F.transform(solid, lambda t, i: F.when((t["kind"] == "word") & (t["low"] == word), F.get(solid, i + 1)))
         named = F.filter(at, lambda t: t["kind"].isin("word", "name") & (F.lower(t["text"]) != "select"))
         return F.transform(named, lambda t: F.when(t["kind"] == "word", t["text"]).otherwise(t["low"]))
 
-    return F.array_distinct(F.concat(behind("from"), behind("join")))
+    return _once(solid, lambda s: F.array_distinct(F.concat(behind(s, "from"), behind(s, "join"))))
 
 
 def _place(deep: Column, words: list[str], after: Column) -> Column:
@@ -77,35 +90,47 @@ def _place(deep: Column, words: list[str], after: Column) -> Column:
 
 def select_items(deep: Column) -> Column:
     """The items between SELECT (DISTINCT) and FROM, cut at commas outside of brackets, as texts of their tokens joined by blanks."""
-    begin = _place(deep, ["select"], F.lit(0))
-    begin = begin + F.when(F.get(deep, begin)["low"] == "distinct", 1).otherwise(0)
-    end = _place(deep, ["from"], begin)
-    part = F.when((begin > 0) & (end > begin), F.slice(deep, begin + 1, end - begin - 1)).otherwise(F.array().cast("array<struct<text:string,kind:string,low:string,depth:int>>"))
-    marked = F.array_join(F.transform(part, lambda t: F.when((t["text"] == ",") & (t["depth"] == 0), F.lit("\x00")).otherwise(t["text"])), " ")
-    return F.filter(F.transform(F.split(marked, "\x00"), lambda x: F.trim(x)), lambda x: x != "")
+    def cut(deep: Column, begin: Column, end: Column) -> Column:
+        part = F.when((begin > 0) & (end > begin), F.slice(deep, begin + 1, end - begin - 1)).otherwise(F.array().cast("array<struct<text:string,kind:string,low:string,depth:int>>"))
+        marked = F.array_join(F.transform(part, lambda t: F.when((t["text"] == ",") & (t["depth"] == 0), F.lit("\x00")).otherwise(t["text"])), " ")
+        return F.filter(F.transform(F.split(marked, "\x00"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def from_begin(deep: Column, begin: Column) -> Column:
+        return _once(_place(deep, ["from"], begin), lambda end: cut(deep, begin, end))
+
+    def from_select(deep: Column, select: Column) -> Column:
+        return _once(select + F.when(F.get(deep, select)["low"] == "distinct", 1).otherwise(0), lambda begin: from_begin(deep, begin))
+
+    return _once(deep, lambda deep: _once(_place(deep, ["select"], F.lit(0)), lambda select: from_select(deep, select)))
 
 
 def select_column(deep: Column) -> Column:
     """The column of a statement with one item that is a bare column, qualified or renamed at most; else null."""
-    items = select_items(deep)
-    plain = F.regexp_replace(F.get(items, F.lit(0)), r"(?i) as [A-Za-z_][A-Za-z0-9_]*\z", "")
-    return F.when(F.size(items) == 1, F.nullif(F.regexp_extract(plain, r"\A(?:[A-Za-z_][A-Za-z0-9_]* \. )?([A-Za-z_][A-Za-z0-9_]*)\z", 1), F.lit("")))
+    def one(items: Column) -> Column:
+        plain = F.regexp_replace(F.get(items, F.lit(0)), r"(?i) as [A-Za-z_][A-Za-z0-9_]*\z", "")
+        name = F.regexp_extract(plain, r"\A(?:[A-Za-z_][A-Za-z0-9_]* \. )?([A-Za-z_][A-Za-z0-9_]*)\z", 1)
+        return F.when(F.size(items) == 1, F.when(name != "", name))
+
+    return _once(select_items(deep), one)
 
 
 def parameter_columns(solid: Column) -> Column:
     """(parameter, column) for each parameter that a column is held against by =, LIKE or IN, whatever wraps either side."""
-    bare = F.filter(solid, lambda t: ~t["text"].isin("(", ")", "'%'", "||", "'%%'") & ~((t["kind"] == "word") & t["low"].isin(WRAPS)))
-    at = F.transform(bare, lambda t, i: F.when(t["kind"] == "parameter", _named(parameter=F.substring(t["text"], F.lit(2), F.length(t["text"])), column=F.when(F.get(bare, i - 1)["low"].isin(COMPARES) & F.get(bare, i - 2)["kind"].isin("word", "name"), F.get(bare, i - 2)["text"]))))
-    return F.array_distinct(F.filter(at, lambda x: x["column"].isNotNull()))
+    def held(bare: Column) -> Column:
+        at = F.transform(bare, lambda t, i: F.when(t["kind"] == "parameter", _named(parameter=F.substring(t["text"], F.lit(2), F.length(t["text"])), column=F.when(F.get(bare, i - 1)["low"].isin(COMPARES) & F.get(bare, i - 2)["kind"].isin("word", "name"), F.get(bare, i - 2)["text"]))))
+        return F.array_distinct(F.filter(at, lambda x: x["column"].isNotNull()))
+
+    return _once(F.filter(solid, lambda t: ~t["text"].isin("(", ")", "'%'", "||", "'%%'") & ~((t["kind"] == "word") & t["low"].isin(WRAPS))), held)
 
 
 def where_columns(deep: Column, columns: Column) -> Column:
     """Which of the ``columns`` the condition names, in its order and each once."""
-    begin = _place(deep, ["where"], F.lit(0))
-    end = _place(deep, ENDS, begin)
-    part = F.slice(deep, begin + 1, F.when(end > begin, end - begin - 1).otherwise(F.size(deep) - begin))
-    named = F.transform(F.filter(part, lambda t: t["kind"].isin("word", "name")), lambda t: F.when(t["kind"] == "word", t["text"]).otherwise(t["low"]))
-    return F.when(begin > 0, F.array_distinct(F.filter(named, lambda x: F.array_contains(columns, x)))).otherwise(F.array().cast("array<string>"))
+    def cut(deep: Column, begin: Column, end: Column) -> Column:
+        part = F.slice(deep, begin + 1, F.when(end > begin, end - begin - 1).otherwise(F.size(deep) - begin))
+        named = F.transform(F.filter(part, lambda t: t["kind"].isin("word", "name")), lambda t: F.when(t["kind"] == "word", t["text"]).otherwise(t["low"]))
+        return F.when(begin > 0, F.array_distinct(F.filter(named, lambda x: F.array_contains(columns, x)))).otherwise(F.array().cast("array<string>"))
+
+    return _once(deep, lambda deep: _once(_place(deep, ["where"], F.lit(0)), lambda begin: _once(_place(deep, ENDS, begin), lambda end: cut(deep, begin, end))))
 
 
 def literal(value: Column, number: Column) -> Column:
@@ -168,10 +193,11 @@ def observed_facts(records: DataFrame, ident: str, app: str, sql: str, rows: str
     that the statement names; the entity is the table with the whole number of ``id``, else of ``rowid``, else with a star. Nulls,
     statements without a table or an application, and rows that are no objects give no facts.
     """
-    listed = F.coalesce(F.from_json(F.col(rows), "array<variant>"), F.from_json(F.col(rows), "struct<sample:array<variant>>")["sample"])
+    listed = F.coalesce(F.from_json(F.col("_rows"), "array<variant>"), F.from_json(F.col("_rows"), "struct<sample:array<variant>>")["sample"])
     listed = F.transform(listed, lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
-    each = records.select(F.col(ident).alias("id"), F.col(app).alias("_app"), F.get(tables(solid(tokens(F.col(sql)))), F.lit(0)).alias("_table"), F.posexplode(listed).alias("_row", "_cells"))
-    each = each.where("_app <> '' and _table is not null")
+    # the statement is read below the rows that it returned; a filter on its table would read it again
+    own = records.select(F.col(ident).alias("id"), F.col(app).alias("_app"), F.get(tables(solid(tokens(F.col(sql)))), F.lit(0)).alias("_table"), F.col(rows).alias("_rows"))
+    each = own.select("id", "_app", "_table", F.posexplode(F.when((F.col("_app") != "") & F.col("_table").isNotNull(), listed)).alias("_row", "_cells"))
     whole = lambda c: F.when(F.schema_of_variant(F.col("_cells")[c]).isin("BIGINT", "INT"), F.col("_cells")[c].cast("string"))
     number = F.when(F.map_contains_key("_cells", "id"), whole("id")).otherwise(whole("rowid"))
     cells = each.select("id", "_app", "_table", "_row", F.concat_ws(":", "_table", F.coalesce(number, F.lit("*"))).alias("entity"), F.posexplode(F.map_entries("_cells")).alias("_cell", "e"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrail.operators import statements, substitution
-from loomtrail.plans.tables import table
+from loomtrail.plans.tables import spread, table
 
 #: The statement of an order, by its key modulo 4, as Spark and DuckDB both build it; ~ stands for a quote.
 STATEMENT = """translate(CASE o_orderkey % 4
@@ -18,7 +18,7 @@ STATEMENT = """translate(CASE o_orderkey % 4
 def _statements(spark, d):
     bind = lambda p, n, v, number: F.struct(F.lit(p).alias("parameter"), F.lit(n).alias("name"), v.cast("string").alias("value"), F.lit(number).alias("number"))
     bindings = F.array(bind("prio", "o_orderpriority", F.col("o_orderpriority"), False), bind("key", "o_orderkey", F.col("o_orderkey"), True), bind("day", "day", F.concat(F.lit("1995-0"), F.col("o_orderkey") % 9 + 1, F.lit("-11T08:00")), False), bind("none", "none", F.lit(None), False))
-    return table(spark, d, "orders").select("o_orderkey", F.expr(STATEMENT).alias("sql"), bindings.alias("bindings")).withColumn("tokens", statements.tokens(F.col("sql")))
+    return spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", F.expr(STATEMENT).alias("sql"), bindings.alias("bindings")).withColumn("tokens", statements.tokens(F.col("sql")))
 
 
 def _deep():
@@ -51,7 +51,7 @@ def rebound_statements(spark, d):
 
 def _records(spark, d):
     """Each order as the result of a statement: one row, cut results as samples, some without an id or with one that is no number."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"), "o_orderkey")
     ident = F.when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit('"k'), "o_orderkey", F.lit('"'))).otherwise(F.col("o_orderkey").cast("string"))
     key = F.when(F.col("o_orderkey") % 3 == 0, "rowid").otherwise("id")
     row = F.concat(F.lit('{"'), key, F.lit('":'), ident, F.lit(',"state":"'), "o_orderstatus", F.lit('","prio":'), F.when(F.col("o_orderkey") % 7 == 2, "null").otherwise(F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))), F.lit("}"))

@@ -95,3 +95,21 @@ def test_substituted(spark):
             new = None if text is None else regex.sub(lambda m: values[m[0]], text)
             assert got[k] == (new, sum(values[m[0]] != m[0] for m in regex.finditer(text or "")))
     assert substitution.substituted(df, "text", v.limit(0), "old", "new").where("n_replaced > 0").count() == 0
+
+
+def test_statements_read_once(spark):
+    """The plan cuts each statement once, not again for a filter or for every use of its tokens, and spreads the rows before."""
+    df = spark.createDataFrame([(1, "a", "SELECT x FROM t JOIN u", '[{"id": 1}]')], "k long, app string, sql string, rows string")
+    plan = statements.observed_facts(df, "k", "app", "sql", "rows")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    deep = statements.with_depth(statements.solid(statements.tokens(F.col("sql"))))
+    parts = df.select(statements.tables(statements.solid(statements.tokens(F.col("sql")))).alias("a"), statements.where_columns(deep, F.array(F.lit("x"))).alias("b"), statements.select_column(deep).alias("c"))
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3
+
+
+def test_statements_spread(spark, tmp_path):
+    spark.range(100).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "'1-U' AS o_orderpriority").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    from loomtrail.plans import statements as plans
+
+    for query in (plans.statement_parts, plans.rebound_statements, plans.observed_facts):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
