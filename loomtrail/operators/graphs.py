@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges that one task takes at most.
@@ -175,11 +175,56 @@ def _strong(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["x", "root"])
 
 
+def _name(node: str) -> Column:
+    return F.to_json(F.struct(F.col(node).alias("v")))
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(x, root): nodes of edges (x, y) that a task meets, with one node for each connected part of ``CHUNK`` edges or a batch more."""
+    up: dict[str, str] = {}
+    n = 0
+
+    def top(x: str) -> str:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up[above]
+            x = up[x]
+        return x
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame({"x": list(up), "root": [top(x) for x in list(up)]}, dtype=str)
+
+    for pdf in batches:
+        for x, y in zip(pdf["x"], pdf["y"], strict=True):
+            a, b = top(x), top(y)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        n += len(pdf)
+        if n >= CHUNK:
+            yield out()
+            up.clear()
+            n = 0
+    yield out()
+
+
+def _connected(e: DataFrame) -> DataFrame:
+    """(x, part): the connected part of each node of edges (x, y), both texts.
+
+    Each task joins what is connected within its own rows; a node that several of them meet links their roots, and only roots take rounds.
+    """
+    stars = e.mapInPandas(_stars, "x string, root string").checkpoint()
+    met = stars.groupBy("x").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")).checkpoint()
+    links = met.where(F.size("roots") > 1).select("low", F.explode("roots").alias("root")).where("low <> root")
+    both = links.select(F.col("low").alias("a"), F.col("root").alias("b")).union(links.select("root", "low")).distinct().checkpoint()
+    if both.isEmpty():
+        return met.select("x", F.col("low").alias("part"))
+    label = least_reaching(both.select(F.col("a").alias("node")).distinct(), both).toDF("low", "part")
+    return met.join(label, "low", "left").select("x", F.coalesce("part", "low").alias("part"))
+
+
 def _settled(e: DataFrame) -> DataFrame:
-    """(node, component) of the components of edges that fit a task."""
-    name = lambda c: F.to_json(F.struct(F.col(c).alias("v")))
-    keyed = e.select(name("a").alias("x"), name("b").alias("y"), "a", "b")
-    roots = keyed.select("x", "y").coalesce(1).mapInPandas(_strong, "x string, root string")
+    """(node, component) of the components of edges (a, b, part), of which every part fits a task."""
+    keyed = e.select(_name("a").alias("x"), _name("b").alias("y"), "a", "b", "part")
+    roots = keyed.select("x", "y", "part").repartition(1 + 4 * e.count() // max(CHUNK, 1), "part").select("x", "y").mapInPandas(_strong, "x string, root string")
     nodes = keyed.select("x", F.col("a").alias("node")).union(keyed.select("y", "b")).distinct()
     both = nodes.join(roots, "x").select("node", "root")
     return both.join(both.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
@@ -191,22 +236,32 @@ def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
     Nodes without an edge in or without one out are trimmed first. Then the least node that reaches each node and the
     least one that it reaches are found: where both are the same, they name the node's component. Edges between nodes
     that differ in either lie in no component and go, as do the components found; each round settles one at least in
-    every connected part of what is left. A node that has only an edge to itself is a component of its own; edges with
+    every connected part of what is left. First, and again whenever half of the edges have gone, the connected parts of ``CHUNK`` edges at most are settled, many
+    of them in a task, so that only larger ones take rounds. A node that has only an edge to itself is a component of its own; edges with
     a null end are left out. Once ``CHUNK`` edges are left at most, one task settles them.
     """
     prepare_checkpoints(edges.sparkSession)
-    e = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").distinct().checkpoint()
+    raw = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").checkpoint()
+    e = raw.distinct().checkpoint()
     loops = e.where("a = b").select(F.col("a").alias("node"))
     found = e.where("false").selectExpr("a as node", "a as component")
     e = e.where("a <> b")
+    tried = None
     while True:
+        n = e.count()
+        if n > CHUNK and (tried is None or 2 * n <= tried):
+            tried = n
+            parts = e.withColumn("x", _name("a")).join(_connected(raw.select(_name("a").alias("x"), _name("b").alias("y"))), "x").select("a", "b", "part").checkpoint()
+            large = parts.groupBy("part").count().where(F.col("count") > CHUNK).select("part")
+            found = found.union(_settled(parts.join(large, "part", "left_anti")))
+            e = raw = parts.join(large, "part", "left_semi").select("a", "b").checkpoint()
         was, n = None, e.count()
         while n > CHUNK and n != was:
             was = n
             e = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
             n = e.count()
         if n <= CHUNK:  # what is left fits a task, which settles it
-            found = found.union(_settled(e)) if n else found
+            found = found.union(_settled(e.withColumn("part", F.lit(0)))) if n else found
             break
         nodes = e.selectExpr("a as node").union(e.selectExpr("b")).distinct()
         label = least_reaching(nodes, e).join(least_reaching(nodes, e.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("label", "back"), "node").checkpoint()
@@ -214,6 +269,7 @@ def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
         left = label.where("label <> back")
         ends = left.toDF("a", "la", "ba"), left.toDF("b", "lb", "bb")
         e = e.join(ends[0], "a").join(ends[1], "b").where("la = lb and ba = bb").select("a", "b").checkpoint()
+        raw = e
     size = found.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")  # a pivot may turn out to be alone
     on = found.join(size, "component").select("node", "component", "members")
     alone = loops.join(on, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"))

@@ -93,6 +93,18 @@ def test_cycle_members(spark, monkeypatch, chunk):
         assert {tuple(r) for r in graphs.cycle_members(df, "a", "b").collect()} == components(edges)
 
 
+def test_cycles_of_many_small_graphs(spark, monkeypatch):
+    """Small graphs are settled at once, however many there are and however deep: only their connected parts take rounds."""
+    monkeypatch.setattr(graphs, "CHUNK", 40)
+    rounds, own = [], graphs.least_reaching
+    monkeypatch.setattr(graphs, "least_reaching", lambda *a: rounds.append(1) or own(*a))
+    edges = [(10 * g + k, 10 * g + k + 1) for g in range(30) for k in range(9)] + [(10 * g + k + 1, 10 * g + k) for g in range(30) for k in (2, 3, 6)]
+    got = {tuple(r) for r in graphs.cycle_members(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {(10 * g + k, 10 * g + c, m) for g in range(30) for k, c, m in ((2, 2, 3), (3, 2, 3), (4, 2, 3), (6, 6, 2), (7, 6, 2))}
+    assert len(rounds) <= 1
+
+
+
 def test_graphs_wider_and_deeper_than_before(spark):
     chain = spark.range(70).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     nodes = spark.range(71).select(F.col("id").alias("node"))
