@@ -53,11 +53,11 @@ def _expanded(states: DataFrame, fits: DataFrame) -> DataFrame:
     each = states.select("*", F.posexplode("members").alias("_p", "_m"))
     new = F.size("members").cast("int")
     alone = F.size("members") == 1
-    ahead = each.join(fits.withColumnRenamed("a", "_m"), "_m").where(~(alone & (F.col("b") == F.col("_m")))).select("seed", "members", "edges", F.col("score") + F.col("fit"), F.col("b").alias("added"), F.struct(F.col("_p").alias("s"), F.col("out").alias("o"), new.alias("t"), F.col("into").alias("i")).alias("edge"))
+    ahead = each.join(fits.withColumnRenamed("a", "_m"), "_m").where(~(alone & (F.col("b") == F.col("_m")))).select("seed", "members", "edges", F.col("score") + F.col("fit"), F.col("n_nodes") + F.col("size_b"), F.col("b").alias("added"), F.struct(F.col("_p").alias("s"), F.col("out").alias("o"), new.alias("t"), F.col("into").alias("i")).alias("edge"))
     fed = F.exists("edges", lambda e: (e["t"] == F.col("_p")) & (e["i"] == F.col("into")))
-    back = each.join(fits.withColumnRenamed("b", "_m"), "_m").where(~fed & ~(alone & (F.col("a") == F.col("_m")))).select("seed", "members", "edges", F.col("score") + F.col("fit"), F.col("a").alias("added"), F.struct(new.alias("s"), F.col("out").alias("o"), F.col("_p").alias("t"), F.col("into").alias("i")).alias("edge"))
-    both = ahead.union(back).toDF("seed", "members", "edges", "score", "added", "edge")
-    return both.select("seed", F.concat("members", F.array("added")).alias("members"), F.concat("edges", F.array(F.col("edge").cast(EDGE))).alias("edges"), "score")
+    back = each.join(fits.withColumnRenamed("b", "_m"), "_m").where(~fed & ~(alone & (F.col("a") == F.col("_m")))).select("seed", "members", "edges", F.col("score") + F.col("fit"), F.col("n_nodes") + F.col("size_a"), F.col("a").alias("added"), F.struct(new.alias("s"), F.col("out").alias("o"), F.col("_p").alias("t"), F.col("into").alias("i")).alias("edge"))
+    both = ahead.union(back).toDF("seed", "members", "edges", "score", "n_nodes", "added", "edge")
+    return both.select("seed", F.concat("members", F.array("added")).alias("members"), F.concat("edges", F.array(F.col("edge").cast(EDGE))).alias("edges"), "score", "n_nodes")
 
 
 def beam_rounds(modules: DataFrame, fits: DataFrame, rounds: int, width: int, budget: int, gate: Column, min_nodes: int, max_nodes: int) -> DataFrame:
@@ -69,16 +69,16 @@ def beam_rounds(modules: DataFrame, fits: DataFrame, rounds: int, width: int, bu
     on form, members, edges, score and n_nodes), and the best ``width`` that pass are accepted and go on; equal scores are ordered by form.
     """
     prepare_checkpoints(modules.sparkSession)
-    fits = fits.withColumnRenamed("score", "fit")
-    sizes = modules.select(F.col("module").alias("_m"), "n_nodes")
-    beam = modules.select(F.col("module").alias("seed"), F.array("module").alias("members"), F.array().cast(f"array<{EDGE}>").alias("edges"), F.lit(0).cast("long").alias("score"))
+    sizes = modules.select("module", F.col("n_nodes").cast("long").alias("size"))
+    # both sides of every round: worked out once, with the sizes of the modules that they add; fits of unknown modules go
+    fits = fits.withColumnRenamed("score", "fit").join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").checkpoint()
+    beam = modules.select(F.col("module").alias("seed"), F.array("module").alias("members"), F.array().cast(f"array<{EDGE}>").alias("edges"), F.lit(0).cast("long").alias("score"), F.col("n_nodes").cast("long").alias("n_nodes"))
     accepted = []
     for k in range(1, rounds + 1):
-        found = with_form(_expanded(beam, fits), k + 1)
+        # nodes are counted as modules are added, so that what is rejected is never hashed
+        found = with_form(_expanded(beam, fits).where(F.col("n_nodes").between(min_nodes, max_nodes)), k + 1)
         # the same tree may come with its members in another order; its score is the same
-        found = found.groupBy("seed", "form", "score").agg(F.min(F.struct("members", "edges")).alias("g")).select("seed", "form", "score", "g.members", "g.edges")
-        nodes = found.select("seed", "form", F.explode("members").alias("_m")).join(sizes, "_m").groupBy("seed", "form").agg(F.sum("n_nodes").alias("n_nodes"))
-        found = found.join(nodes, ["seed", "form"]).where(F.col("n_nodes").between(min_nodes, max_nodes))
+        found = found.groupBy("seed", "form", "score", "n_nodes").agg(F.min(F.struct("members", "edges")).alias("g")).select("seed", "form", "score", "n_nodes", "g.members", "g.edges")
         order = Window.partitionBy("seed").orderBy(F.desc("score"), "form")
         checked = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= budget).where(gate)
         beam = checked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= width).drop("_r").withColumn("round", F.lit(k)).checkpoint()

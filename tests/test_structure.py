@@ -172,6 +172,20 @@ def test_beam_rounds(spark, seed):
     assert compositions.beam_rounds(modules, df.limit(0), 3, 2, 2, F.lit(True), 1, 99).count() == 0
 
 
+def test_beam_reads_fits_once(spark):
+    """However many rounds there are, what fits what is worked out once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    fits = spark.createDataFrame(spark.sparkContext.parallelize([(m, "x", (m + 1) % 4, "u", m + 1) for m in range(4)], 1).map(seen), "a long, out string, b long, into string, score long")
+    modules = spark.createDataFrame([(m, 1) for m in range(4)], "module long, n_nodes long")
+    assert compositions.beam_rounds(modules, fits, 3, 2, 4, F.lit(True), 1, 9).count() > 0
+    assert read.value == 4
+
+
 def test_relations(spark):
     rng = random.Random(4)
     a = spark.createDataFrame([(i, f"n{i}") for i in range(300)], "a_id long, a_name string")
