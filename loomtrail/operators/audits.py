@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrail.operators.graphs import closure, path_lengths
+from loomtrail.operators.graphs import path_lengths
 from loomtrail.operators.rules import horizon_bucket, is_volatile
 
+#: Positions of a step by which later readers are looked for.
+SPAN = 4096
+
 
 def fresh_verdicts(tasks: DataFrame, verdicts: DataFrame, model: str) -> DataFrame:
     """The stored verdict of each task (task, text) by ``model`` on this very text (task, model, digest, verdict); null if there is none."""
@@ -131,15 +134,11 @@ def latent_horizons(nodes: DataFrame, edges: DataFrame, reads: DataFrame, writes
     first later node that reads any of it sees it, over as many edges as the shortest way has, or else places between. If none
     does, it is seen by a verifier if a node of its lineage has one (``checked``: node), else not at all.
     """
-    reach = closure(edges, "source", "target").toDF("node", "other")
+    ways = path_lengths(edges, "source", "target").toDF("node", "_r", "_l")
+    reach = ways.select("node", F.col("_r").alias("other"))
     lineage = reach.unionByName(nodes.select("node", F.col("node").alias("other")))
     dirty = reads.unionByName(lineage.join(writes.withColumnRenamed("node", "other"), "other").select("node", "table", "column", "entity")).distinct()
-    seen = reads.withColumnRenamed("node", "reader")
-    pair = _meetings(dirty, seen)
-    place = nodes.select("node", "position", "app")
-    later = pair.join(place, "node").join(place.toDF("reader", "at", "reader_app"), "reader").where("at > position")
-    first = later.groupBy("node").agg(F.min(F.struct("at", "reader", "reader_app")).alias("w"))
-    ways = path_lengths(edges, "source", "target").toDF("node", "_r", "_l")
+    first = _first_readers(dirty, reads, nodes.select("node", "position", "app"))
     out = nodes.join(first, "node", "left").withColumn("_r", F.col("w.reader")).join(ways, ["node", "_r"], "left")
     out = out.join(lineage.join(checked.select(F.col("node").alias("other")).distinct(), "other").select("node").distinct().withColumn("_c", F.lit(True)), "node", "left")
     horizon = F.when(F.col("w").isNotNull(), F.coalesce("_l", F.col("w.at") - F.col("position")))
@@ -147,14 +146,35 @@ def latent_horizons(nodes: DataFrame, edges: DataFrame, reads: DataFrame, writes
     return out.select("node", "position", "app", F.col("_r").alias("visible"), horizon.alias("horizon"), kind.alias("observability"), F.coalesce(F.col("w.reader_app") != F.col("app"), F.lit(False)).alias("cross_app"))
 
 
-def _meetings(dirty: DataFrame, seen: DataFrame) -> DataFrame:
-    """(node, reader) whose facts meet: equal entities or a wildcard on either side, as three equi-joins."""
-    key = ["table", "column"]
-    star_a, star_b = dirty.where(F.col("entity").endswith(":*")), seen.where(F.col("entity").endswith(":*"))
-    equal = dirty.join(seen, [*key, "entity"]).select("node", "reader")
-    left = star_a.select("node", *key).distinct().join(seen.select("reader", *key).distinct(), key).select("node", "reader")
-    right = dirty.select("node", *key).distinct().join(star_b.select("reader", *key).distinct(), key).select("node", "reader")
-    return equal.unionByName(left).unionByName(right).distinct()
+def _first_readers(dirty: DataFrame, reads: DataFrame, place: DataFrame) -> DataFrame:
+    """(node, w): at, reader and reader_app of the first later reader whose facts meet the node's: equal entities or a wildcard on either side.
+
+    Only the next reader behind each position is looked for, in steps of ``SPAN`` positions and then among the steps, so
+    neither pairs nor large groups arise.
+    """
+    star = F.col("entity").endswith(":*")
+    way = lambda kind, entity: F.struct(F.lit(kind).alias("kind"), entity.alias("entity"))
+    equal = way("equal", F.col("entity"))
+    key = ["table", "column", "kind", "entity"]
+
+    def keyed(rows: DataFrame, always: str, starred: str) -> DataFrame:
+        """Rows under each key by which they meet others; a fact without a place, table or column meets none."""
+        ways = F.array_compact(F.array(F.when(F.col("entity").isNotNull(), equal), way(always, F.lit("")), F.when(star, way(starred, F.lit("")))))
+        own = rows.join(place, "node").where("position is not null and table is not null and column is not null")
+        return own.withColumn("_k", F.explode(ways)).select("table", "column", "_k.kind", "_k.entity", "position", F.floor(F.col("position") / SPAN).alias("step"), "node", "app")
+
+    asked = keyed(dirty, "starred_reader", "starred_node")
+    readers = keyed(reads, "starred_node", "starred_reader")
+    w = F.struct(F.col("position").alias("at"), F.col("node").alias("reader"), F.col("app").alias("reader_app"))
+    at = readers.groupBy(*key, "step", "position").agg(F.min(w).alias("w"))
+    ask = asked.select(*key, "step", "position").distinct().withColumn("w", F.lit(None).cast(at.schema["w"].dataType))
+    rows = ask.withColumn("_ask", F.lit(1)).union(at.withColumn("_ask", F.lit(0)))
+    behind = Window.partitionBy(*key, "step").orderBy(F.desc("position"), F.desc("_ask")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.withColumn("near", F.min("w").over(behind)).where("_ask = 1").select(*key, "step", "position", "near")
+    steps = rows.groupBy(*key, "step").agg(F.min("w").alias("w"))
+    far = steps.withColumn("far", F.min("w").over(Window.partitionBy(*key).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))).drop("w")
+    found = near.join(far, [*key, "step"]).select(*key, "position", F.coalesce("near", "far").alias("w")).where("w is not null")
+    return asked.join(found, [*key, "position"]).groupBy("node").agg(F.min("w").alias("w"))
 
 
 def profile(horizons: DataFrame, graph: str, buckets: list[str], targets: list[str]) -> DataFrame:

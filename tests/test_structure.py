@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrail.operators import changes, compositions, graphs, relations, repairs, sampling
+from loomtrail.operators import audits, changes, compositions, graphs, relations, repairs, sampling
 
 
 def test_long_chains_take_few_joins(spark, monkeypatch):
@@ -212,3 +212,21 @@ def test_shards_and_digests_in_levels(spark):
     assert one == changes.table_digest(rows.orderBy(F.desc("k")).repartition(5), ["id", "g"], leaf=4).first() and one.n_rows == 5000
     assert one.digest != changes.table_digest(rows.where("id <> 77"), ["id", "g"], levels=2).first().digest
     assert changes.table_digest(rows.limit(0), ["id"]).first().digest is not None
+
+
+@pytest.mark.parametrize("span", [2, 100])
+def test_first_readers(spark, monkeypatch, span):
+    """The next reader behind a node, within a step of positions and beyond it, equal facts or wildcards, against all pairs."""
+    monkeypatch.setattr(audits, "SPAN", span)
+    rng = random.Random(4)
+    places = {n: (rng.choice([None, *range(12)]), rng.choice("pq")) for n in range(30)}
+    facts = [[(rng.randrange(32), "t", rng.choice("cd"), rng.choice(["e:1", "e:2", "e:3", "e:*", None])) for _ in range(25)] for _ in range(2)]
+    meets = lambda x, y: x[1:3] == y[1:3] and (str(x[3]).endswith(":*") or str(y[3]).endswith(":*") or (x[3] is not None and x[3] == y[3]))
+    found = {}
+    for x, y in itertools.product(*facts):
+        p, q = (places.get(z[0], (None,))[0] for z in (x, y))
+        if meets(x, y) and p is not None and q is not None and q > p:
+            found.setdefault(x[0], []).append((q, y[0], places[y[0]][1]))
+    dirty, reads = (spark.createDataFrame(f, "node long, table string, column string, entity string") for f in facts)
+    place = spark.createDataFrame([(n, *p) for n, p in places.items()], "node long, position long, app string")
+    assert {r.node: tuple(r.w) for r in audits._first_readers(dirty, reads, place).collect()} == {n: min(w) for n, w in found.items()}
