@@ -230,3 +230,13 @@ def test_first_readers(spark, monkeypatch, span):
     dirty, reads = (spark.createDataFrame(f, "node long, table string, column string, entity string") for f in facts)
     place = spark.createDataFrame([(n, *p) for n, p in places.items()], "node long, position long, app string")
     assert {r.node: tuple(r.w) for r in audits._first_readers(dirty, reads, place).collect()} == {n: min(w) for n, w in found.items()}
+
+
+def test_port_compatibility_of_one_type(spark, tmp_path):
+    """Pairs of a single type are made in many tasks, all of them."""
+    from loomtrail.plans import joins
+
+    spark.range(400).selectExpr("id AS p_partkey", "'T' AS p_type", "id % 3 AS p_size", "'B' AS p_brand").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    df = joins.port_compatibility(spark, str(tmp_path)).cache()
+    assert df.count() == df.distinct().count() == 20 * 399
+    assert df.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
