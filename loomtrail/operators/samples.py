@@ -15,6 +15,8 @@ from loomtrail.operators.facts import date_part, normal_text
 
 #: Sizes of the pieces by which values are looked up in texts: the longest that a value has is used.
 PIECES = [12, 6, 3, 1]
+#: Pieces of a run's values that its parameters are held against before they are cut into rows; those of a run with more are all cut.
+HELD = 256
 #: Kinds of a step that ends a run, and the texts of records (fixed values).
 ENDS = ["done", "fail"]
 SHOWN = "The current observation shows {} = {}, but I carried {} (from step {}){}."
@@ -32,7 +34,8 @@ def _filled(text: str, *values: Column) -> Column:
 def last_used(values: DataFrame, params: DataFrame) -> DataFrame:
     """run, value, last_at: the last step of the run with a parameter that contains the value, or its day, whatever the case.
 
-    Values and parameters meet by pieces: the first 12, 6, 3 or 1 characters of a value, and all pieces of that size of a parameter.
+    Values and parameters meet by pieces: the first 12, 6, 3 or 1 characters of a value, and all pieces of that size of a parameter. Of a
+    run with ``HELD`` different pieces of values at most, only those pieces of a parameter become rows that are among them.
     """
     plain = normal_text(F.col("value"))
     v = values.select("run", "value").distinct()
@@ -40,8 +43,11 @@ def last_used(values: DataFrame, params: DataFrame) -> DataFrame:
     size = F.coalesce(*(F.when(F.length("pat") >= n, n) for n in PIECES))
     pats = pats.withColumn("size", size).withColumn("piece", F.expr("left(pat, size)"))
     texts = params.where("value is not null").groupBy("run", F.lower("value").alias("text")).agg(F.max("at").alias("at"))
-    pieces = F.explode(F.flatten(F.array(*(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)) for n in PIECES))))
-    cut = texts.select("run", "text", "at", pieces.alias("piece")).distinct()
+    pieces = F.flatten(F.array(*(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)) for n in PIECES)))
+    asked = pats.select("run", "piece").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("run").orderBy("piece"))).where(F.col("_n") <= HELD + 1)
+    asked = asked.groupBy("run").agg(F.collect_list("piece").alias("asked"))
+    kept = F.when(F.size("asked") <= HELD, F.array_intersect(pieces, "asked")).otherwise(pieces)
+    cut = texts.join(asked, "run").select("run", "text", "at", F.explode(kept).alias("piece"))
     met = pats.join(cut, ["run", "piece"]).where(F.contains("text", F.col("pat")))
     return met.groupBy("run", "value").agg(F.max("at").alias("last_at"))
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrail.functions.expressions import ExpressionError, compile_expression
-from loomtrail.operators import changes, facts, graphs, metrics, prefixes, rubrics, rules, sampling, steps
+from loomtrail.operators import changes, facts, graphs, metrics, prefixes, rubrics, rules, samples, sampling, steps
 
 
 def test_first_passing_run_gives_the_score(spark):
@@ -161,3 +161,14 @@ def test_expressions(spark, text, want):
 def test_what_the_language_lacks(text):
     with pytest.raises(ExpressionError):
         compile_expression(text, {"a": None, "xs": None})
+
+
+def test_last_used_runs_with_few_and_many_values(spark, monkeypatch):
+    """A run with more pieces than are held gives the same as one whose pieces are held, and both the brute force."""
+    values = [(run, f"{k % 7}val-{k:03d}") for run, n in ((1, 3), (2, 40)) for k in range(n)] + [(1, "ab"), (3, "never"), (2, "2024-01-15T10:00")]
+    params = [(run, at, f"uses {at % 7}VAL-{at:03d} and ab") for run in (1, 2) for at in range(45)] + [(2, 50, "on 2024-01-15"), (2, 51, None)]
+    v, p = spark.createDataFrame(values, "run int, value string"), spark.createDataFrame(params, "run int, at int, value string")
+    want = {(r, x): max(at for run, at, t in params if run == r and t and x[:10].lower() in t.lower()) for r, x in values if any(run == r and t and x[:10].lower() in t.lower() for run, at, t in params)}
+    for held in (256, 10, 0):
+        monkeypatch.setattr(samples, "HELD", held)
+        assert {(r.run, r.value): r.last_at for r in samples.last_used(v, p).collect()} == want
