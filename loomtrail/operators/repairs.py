@@ -1,17 +1,27 @@
 """Repair of value edges between the steps of a task.
 
 Edges carry a value from a port of one step to an input of another. An edge may name an input of its source step instead
-of an output; such an edge passes on what that input got. Ports that pass on form pointers, and pointer jumping follows
-all of them at once, so a chain of n links takes log2(n) joins.
+of an output; such an edge passes on what that input got. Ports that pass on form pointers, which stay within a task.
+Those of tasks that fit are followed in one pass, many tasks at a time; in larger ones pointer jumping follows all of them
+at once, so a chain of n links takes log2(n) joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrail.operators.graphs import prepare_checkpoints
 
+#: Ports of a task that are followed in one pass at most; as many and one task more are in memory at once.
+CHUNK = 1 << 18
+#: Tasks per core that rows are spread over, so that what one of them sorts stays small.
+TASKS = 8
+
 #: What happens to an edge (fixed values).
 DROPPED, COPIED, REWIRED, KEPT = "dropped_self_edge", "literal_copied", "rewired_to_producer", "kept"
 
@@ -38,6 +48,78 @@ def follow_pointers(pointers: DataFrame) -> DataFrame:
     return state.where("done").select("at", F.col("to").alias("end"), "hops")
 
 
+def _followed(rows: pa.Table) -> pa.Table:
+    """The places of whole tasks with where their value comes from: ``rows`` with the end of each pointer in the place of its target, and hops and literal of that end.
+
+    Pointers have a to_node, other rows a literal. Pointers whose chain ends in a circle are left out.
+    """
+    n = len(rows)
+    code = np.zeros(2 * n, dtype=np.int64)
+    for at, to in (("task", "task"), ("node", "to_node"), ("port", "to_port")):
+        both = pa.chunked_array([*rows[at].chunks, *rows[to].chunks], rows[at].type).combine_chunks().dictionary_encode("encode")
+        own = both.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code * (len(both.dictionary) + 1) + own, return_inverse=True)[1]
+    at, to = code[:n], code[n:]
+    pointer = rows["to_node"].is_valid().to_numpy()
+    links = np.full(2 * n, -1, dtype=np.int64)
+    links[at[pointer]] = np.flatnonzero(pointer)
+    literals = np.full(2 * n, -1, dtype=np.int64)
+    literals[at[~pointer]] = np.flatnonzero(~pointer)
+    last, hops, ahead = np.arange(n), pointer.astype(np.int64), np.where(pointer, links[to], -1)
+    left = -1
+    while (rest := np.flatnonzero(ahead >= 0)).size not in (0, left):  # what no longer gets less runs in circles
+        left, over = rest.size, ahead[rest]
+        last[rest], hops[rest], ahead[rest] = last[over], hops[rest] + hops[over], ahead[over]
+    keep = np.flatnonzero(ahead < 0)
+    end = np.where(pointer, literals[to[last]], np.arange(n))[keep]
+    out = rows.select(["task", "node", "port"]).take(keep)
+    ends = rows.select(["to_node", "to_port"]).take(last[keep])
+    literal = rows["literal"].take(pa.array(end, mask=end < 0))
+    return pa.table([*out.columns, *ends.columns, literal, pa.array(hops[keep])], names=["task", "node", "port", "to_node", "to_port", "literal", "hops"])
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Follows pointers of whole tasks, of which each one's rows come behind each other."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n >= CHUNK:
+            rows = pa.Table.from_batches(held)
+            tasks = batch["task"]
+            code = tasks.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            change = np.flatnonzero(code != code[-1])
+            if change.size:  # the last task may go on
+                cut = n - len(batch) + int(change[-1]) + 1
+                yield from _followed(rows.slice(0, cut)).to_batches()
+                held, n = rows.slice(cut).to_batches(), n - cut
+    if held:
+        yield from _followed(pa.Table.from_batches(held)).to_batches()
+
+
+def _sources(places: DataFrame, ports: DataFrame, task: str, spread: Callable[..., DataFrame]) -> DataFrame:
+    """Where the values of ``places`` (task, node, port, literal, to_node, to_port) come from in the end."""
+    t = {f.name: f.dataType.simpleString() for f in places.schema}
+    schema = f"task {t[task]}, node {t['node']}, port {t['port']}, to_node {t['to_node']}, to_port {t['to_port']}, literal {t['literal']}, hops bigint"
+    large = ports.groupBy(task).count().where(F.col("count") > CHUNK).select(task)
+    some = not large.isEmpty()
+    fits = places.join(large, task, "left_anti") if some else places
+    rows = spread(fits, task).sortWithinPartitions(task).withColumnRenamed(task, "task").select("task", "node", "port", "literal", "to_node", "to_port")
+    out = rows.mapInArrow(_follow, schema).withColumnRenamed("task", task)
+    if not some:
+        return out
+    rest = places.join(large, task, "left_semi")
+    source = F.struct(F.col(task), F.col("to_node").alias("node"), F.col("to_port").alias("port"))
+    ends = follow_pointers(rest.where("to_node is not null").select(F.struct(task, "node", "port").alias("at"), source.alias("to")))
+    ends = ends.select(f"at.{task}", "at.node", "at.port", F.col("end.node").alias("to_node"), F.col("end.port").alias("to_port"), "hops")
+    literal = rest.where("to_node is null").select(task, "node", "port", "literal")
+    found = ends.join(literal.withColumnsRenamed({"node": "to_node", "port": "to_port"}), [task, "to_node", "to_port"], "left")
+    return out.unionByName(found).unionByName(literal.withColumn("hops", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
 def repair_edges(edges: DataFrame, ports: DataFrame, task: str, final: bool = True) -> DataFrame:
     """What becomes of each edge: task, edge, repair, from_node, from_port, to_node, to_port, literal and hops.
 
@@ -50,26 +132,26 @@ def repair_edges(edges: DataFrame, ports: DataFrame, task: str, final: bool = Tr
     feeds, or that is fed in a circle keeps its edge. With ``final`` a literal at the end of a chain is copied as well.
     Rows with nulls in an edge's ends match no port and are kept.
     """
-    p = ports.groupBy(task, "node", "port").agg(F.bool_or("is_output").alias("out"), F.max("literal").alias("literal"))
-    place = F.struct(task, "node", "port")
-    feeds = edges.groupBy(task, F.col("to_node").alias("node"), F.col("to_port").alias("port")).agg(F.max_by(F.struct("from_node", "from_port"), "edge").alias("f"))
-    passing = p.where("not out and literal is null").join(feeds, [task, "node", "port"]).where("f.from_node <> node")
-    source = F.struct(F.col(task), F.col("f.from_node").alias("node"), F.col("f.from_port").alias("port"))
-    pointers = passing.select(place.alias("at"), source.alias("to"))
-    ends = follow_pointers(pointers) if final else pointers.select("at", F.col("to").alias("end"), F.lit(1).cast("long").alias("hops"))
-    ends = ends.select(F.col(f"at.{task}").alias(task), F.col("at.node").alias("from_node"), F.col("at.port").alias("from_port"), F.col("end.node").alias("end_node"), F.col("end.port").alias("end_port"), "hops")
-    literal = p.where("not out and literal is not null")
-    ends = ends.join(literal.select(task, F.col("node").alias("end_node"), F.col("port").alias("end_port"), F.col("literal").alias("end_literal")), [task, "end_node", "end_port"], "left") if final else ends.withColumn("end_literal", F.lit(None).cast("string"))
-    own = literal.select(task, F.col("node").alias("from_node"), F.col("port").alias("from_port"), "literal")
-    all_ = edges.join(own, [task, "from_node", "from_port"], "left").join(ends, [task, "from_node", "from_port"], "left")
+    n = max(TASKS * edges.sparkSession.sparkContext.defaultParallelism, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = lambda df, *by: df.repartition(n, *by)
+    fed = edges.select(task, F.col("to_node").alias("node"), F.col("to_port").alias("port"), F.lit(None).cast("boolean").alias("is_output"), F.lit(None).cast(dict(ports.dtypes)["literal"]).alias("literal"), "edge", F.struct("from_node", "from_port").alias("f"))
+    own = ports.select(task, "node", "port", "is_output", "literal", F.lit(None).cast(dict(edges.dtypes)["edge"]).alias("edge"), F.lit(None).cast(fed.schema["f"].dataType).alias("f"))
+    p = spread(own.union(fed).where(F.col(task).isNotNull() & F.col("node").isNotNull() & F.col("port").isNotNull()), task)
+    p = p.groupBy(task, "node", "port").agg(F.bool_or("is_output").alias("out"), F.max("literal").alias("literal"), F.max_by("f", "edge").alias("f"))
+    links = F.col("literal").isNull() & (F.col("f.from_node") != F.col("node"))
+    places = p.where("not out").where(F.col("literal").isNotNull() | links)
+    places = places.select(task, "node", "port", "literal", *(F.when(links, F.col(f"f.from_{c}")).cast(dict(p.dtypes)[c]).alias(f"to_{c}") for c in ("node", "port")))
+    ends = _sources(places, ports, task, spread) if final else places.withColumn("hops", F.lit(1).cast("long"))
+    ends = ends.select(task, F.col("node").alias("from_node"), F.col("port").alias("from_port"), F.col("to_node").alias("end_node"), F.col("to_port").alias("end_port"), "literal", "hops")
+    all_ = edges.join(spread(ends, task, "from_node", "from_port"), [task, "from_node", "from_port"], "left")
     itself = F.col("from_node") == F.col("to_node")
-    value = F.coalesce("literal", "end_literal")
+    value = F.col("literal")
     repair = F.when(itself, DROPPED).when(value.isNotNull(), COPIED).when(F.col("end_node").isNotNull(), REWIRED).otherwise(KEPT)
     out = all_.withColumns({"repair": repair, "literal": F.when(repair == COPIED, value)})
     moved = F.col("repair") == REWIRED
     return out.select(
         task, "edge", "repair", F.when(moved, F.col("end_node")).otherwise(F.col("from_node")).alias("from_node"), F.when(moved, F.col("end_port")).otherwise(F.col("from_port")).alias("from_port"),
-        "to_node", "to_port", "literal", F.when(F.col("repair").isin(REWIRED, COPIED), F.coalesce("hops", F.lit(0))).otherwise(0).cast("long").alias("hops"),
+        "to_node", "to_port", "literal", F.when(F.col("repair") == REWIRED, F.coalesce("hops", F.lit(0))).when((F.col("repair") == COPIED) & F.col("end_node").isNotNull(), F.col("hops")).otherwise(0).cast("long").alias("hops"),
     )
 
 

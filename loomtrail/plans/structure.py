@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtrail.operators import compositions, graphs, relations, repairs
-from loomtrail.plans.tables import table
+from loomtrail.plans.tables import spread, table
 
 
 def _chains(spark, d):
@@ -18,13 +18,13 @@ def _chains(spark, d):
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_discount", "l_returnflag")
     own = (F.col("l_tax") >= 0.08) & (F.col("l_discount") == 0)
     literal = (F.col("l_linenumber") == 7) & (F.col("l_quantity") >= 25)
-    steps = table(spark, d, "lineitem").select(
+    steps = spread(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_discount", "l_returnflag"), "l_suppkey", repairs.TASKS).select(
         F.col("l_suppkey").alias("task"), F.row_number().over(w).cast("long").alias("node"), own.alias("own"), F.when(literal & ~own, F.concat(F.lit("v"), "l_orderkey")).alias("literal"),
-        ((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08) & ~own).alias("itself"), ((F.col("l_linenumber") == 1) & (F.col("l_tax") >= 0.08)).alias("unknown"),
+        ((F.col("l_returnflag") == "R") & (F.col("l_tax") >= 0.08) & ~own).alias("itself"), ((F.col("l_linenumber") == 1) & (F.col("l_tax") >= 0.08)).alias("unknown"), F.lag(own).over(w).alias("own_before"),
     )
     ports = steps.select("task", "node", F.when(F.col("own"), "out").otherwise("in").alias("port"), F.col("own").alias("is_output"), "literal")
     before = F.when(F.col("itself"), F.col("node")).otherwise(F.col("node") - 1)
-    made = F.coalesce(F.when(~F.col("itself"), F.lag("own").over(Window.partitionBy("task").orderBy("node"))), F.lit(False))
+    made = F.coalesce(F.when(~F.col("itself"), F.col("own_before")), F.lit(False))
     edges = steps.select("task", F.col("node").alias("edge"), before.alias("from_node"), F.when(F.col("unknown"), "none").when(made, "out").otherwise("in").alias("from_port"), F.col("node").alias("to_node"), F.lit("in").alias("to_port"))
     return edges.where("from_node > 0"), ports
 

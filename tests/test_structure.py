@@ -240,3 +240,22 @@ def test_port_compatibility_of_one_type(spark, tmp_path):
     df = joins.port_compatibility(spark, str(tmp_path)).cache()
     assert df.count() == df.distinct().count() == 20 * 399
     assert df.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_chains_of_tasks_that_fit_take_no_rounds(spark, monkeypatch):
+    """Whole tasks are followed in one pass, in several chunks, or by rounds where they are larger than a chunk, with one result."""
+    rng = random.Random(5)
+    ports = [(f"t{t}", f"n{k}", "in", False, "v" if k % 17 == 3 else None) for t in range(6) for k in range(40)] + [(f"t{t}", f"n{k}", "out", True, None) for t in range(6) for k in range(40)]
+    edges = [(f"t{t}", t * 100 + k, f"n{rng.randrange(k) if k % 9 else (k + 1) % 40}", "out" if rng.random() < 0.1 else "in", f"n{k}", "in") for t in range(6) for k in range(1, 40)]
+    e = spark.createDataFrame(edges, "task string, edge long, from_node string, from_port string, to_node string, to_port string")
+    p = spark.createDataFrame(ports, "task string, node string, port string, is_output boolean, literal string")
+    rounds = repairs.follow_pointers
+    got = []
+    for chunk in (0, 100, 1 << 18):
+        called = []
+        monkeypatch.setattr(repairs, "CHUNK", chunk)
+        monkeypatch.setattr(repairs, "follow_pointers", lambda x: called.append(1) or rounds(x))
+        got.append(sorted(map(str, repairs.repair_edges(e, p, "task").collect())))
+        assert bool(called) == (chunk == 0)
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(edges)
+    assert {"rewired_to_producer", "literal_copied", "kept"} <= {r.repair for r in repairs.repair_edges(e, p, "task").collect()}
