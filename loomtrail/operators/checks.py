@@ -59,7 +59,7 @@ def grounding_issues(nodes: DataFrame, refs: DataFrame, ports: DataFrame, querie
     literal = ports.where(~unbound & (F.col("literal") != "")).join(texts, "task", "left")
     parts.append(_issues(literal.where(~literal_allowed(F.col("literal"), F.coalesce("text", F.lit("")))), "LITERAL_NOT_IN_INSTRUCTION", ERROR, "port", "literal"))
     parts.append(_issues(queries.join(apps, "app", "left_anti"), "SQL_UNCHECKED", WARNING, "name", "app"))
-    used = queries.join(apps, "app", "left_semi").withColumn("_t", F.explode_outer(statements.tables(statements.solid(statements.tokens(F.col("sql"))))))
+    used = queries.join(apps, "app", "left_semi").withColumn("_t", F.explode_outer(statements.table_names(F.col("sql"))))
     missing = used.where("_t is not null").withColumn("table", F.concat_ws(".", "app", "_t")).join(tables, "table", "left_anti")
     parts.append(_issues(missing, "SQL_COMPILE_ERROR", ERROR, "name", F.lit("no such table"), "_t"))
     return _all(parts)

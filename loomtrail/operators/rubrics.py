@@ -131,7 +131,7 @@ def hidden_values(values: DataFrame, by: str, value: str, public: DataFrame, tex
 
 def spellings(c: Column) -> Column:
     """How a literal may be written: as it is, in lower case, a whole number without fraction or with commas, an ISO date in three ways."""
-    number = c.try_cast("double")
+    number = F.when(c.rlike("[0-9]"), c.try_cast("double"))  # a text without a digit is no whole number; to find that out by a cast costs an exception
     whole = F.when(number == F.floor(number), F.array(F.floor(number).cast("string"), F.format_number(number, 0)))
     day = F.try_to_timestamp(F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(c, 1, 10)), F.lit("yyyy-MM-dd"))
     dates = F.when(day.isNotNull(), F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "MMMM d"), F.date_format(day, "MMM d")))
@@ -140,4 +140,5 @@ def spellings(c: Column) -> Column:
 
 def literal_allowed(c: Column, text: Column) -> Column:
     """Whether any spelling of a literal occurs in a text, whatever the case."""
-    return F.coalesce(F.exists(spellings(c), lambda s: F.contains(F.lower(text), F.lower(s))), F.lit(False))
+    plain = F.contains(F.lower(text), F.lower(c))  # without a digit there is no other spelling
+    return F.coalesce(F.when(plain, True).when(~c.rlike("[0-9]"), False).otherwise(F.exists(spellings(c), lambda s: F.contains(F.lower(text), F.lower(s)))), F.lit(False))

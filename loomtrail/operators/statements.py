@@ -82,6 +82,20 @@ def tables(solid: Column) -> Column:
     return _once(solid, lambda s: F.array_distinct(F.concat(behind(s, "from"), behind(s, "join"))))
 
 
+def table_names(sql: Column) -> Column:
+    """The same of a statement's text: only what stands behind FROM and JOIN is looked at closely, and no other token is given its kind. Null for null."""
+    def behind(texts: Column, low: Column, word: str) -> Column:
+        after = F.transform(F.filter(F.transform(low, lambda t, i: F.when(t == word, i + 1)), lambda i: i.isNotNull()), lambda i: F.get(texts, i))
+        named = F.filter(after, lambda t: F.coalesce(_kind(t).isin("word", "name") & (F.lower(t) != "select"), F.lit(False)))
+        return F.transform(named, lambda t: F.when(F.left(t, F.lit(1)).isin('"', "`"), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t))
+
+    def of(texts: Column) -> Column:
+        return _once(F.transform(texts, lambda t: F.lower(t)), lambda low: F.array_distinct(F.concat(behind(texts, low, "from"), behind(texts, low, "join"))))
+
+    texts = F.regexp_extract_all(sql, F.lit(f"({TOKEN})"), 1)
+    return _once(F.filter(texts, lambda t: ~F.regexp_like(t, F.lit(r"\A(?:\s|--|/\*)"))), of)
+
+
 def _place(deep: Column, words: list[str], after: Column) -> Column:
     """Where the first of some words stands outside of brackets behind a place, from 1; 0 without one."""
     hit = F.transform(deep, lambda t, i: (t["kind"] == "word") & t["low"].isin(words) & (t["depth"] == 0) & (i + 1 > after))

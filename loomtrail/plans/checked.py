@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrail.operators import checks
-from loomtrail.plans.tables import table
+from loomtrail.plans.tables import spread, table
 
 OPERATIONS = ["R", "A", "N"]
 #: The tables of the data, by application, with their key and the columns that are referred to.
@@ -26,7 +26,7 @@ def _grounding(spark, d):
     nodes = key.groupBy("task", "node").agg(F.min(F.when(F.col("l_suppkey") % 11 == 4, "mail").otherwise("shop")).alias("app"))
     refs = key.selectExpr("task", "node", f"{_REF['kind']} AS kind", f"{_REF['t']} AS table", f"{_REF['c']} AS column", f"{_REF['e']} AS entity", f"{_REF['v']} AS has_value")
     ports = key.selectExpr("task", "node", "concat('p', l_linenumber) AS port", "CASE WHEN l_partkey % 2 = 0 THEN l_returnflag WHEN l_partkey % 7 = 0 THEN '' END AS literal", "CASE WHEN l_suppkey % 19 = 2 THEN 'unbound:x' ELSE 'literal' END AS grounding")
-    sql = table(spark, d, "orders").selectExpr("o_orderkey AS task", "'1' AS node", "CASE WHEN o_custkey % 8 = 1 THEN 'mail' ELSE 'shop' END AS app", "'q' AS name", "CASE WHEN o_custkey % 6 = 2 THEN 'SELECT 1 FROM part JOIN goods ON 1 = 1' ELSE concat('SELECT ''FROM x'' FROM orders WHERE o_orderkey = ', o_orderkey) END AS sql")
+    sql = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").selectExpr("o_orderkey AS task", "'1' AS node", "CASE WHEN o_custkey % 8 = 1 THEN 'mail' ELSE 'shop' END AS app", "'q' AS name", "CASE WHEN o_custkey % 6 = 2 THEN 'SELECT 1 FROM part JOIN goods ON 1 = 1' ELSE concat('SELECT ''FROM x'' FROM orders WHERE o_orderkey = ', o_orderkey) END AS sql")
     texts = table(spark, d, "orders").selectExpr("o_orderkey AS task", "concat('Buy ', o_orderstatus, ' now') AS text")
     columns = spark.createDataFrame([(f"shop.{t}", c) for t, cols in COLUMNS.items() for c in cols], "table string, column string")
     rows = None

@@ -172,3 +172,12 @@ def test_last_used_runs_with_few_and_many_values(spark, monkeypatch):
     for held in (256, 10, 0):
         monkeypatch.setattr(samples, "HELD", held)
         assert {(r.run, r.value): r.last_at for r in samples.last_used(v, p).collect()} == want
+
+
+def test_literals_without_digits_are_not_cast(spark):
+    """Each spelling is found, and a text without a digit is not tried as a number, which costs an exception."""
+    rows = [("R", "buy r now", True), ("R", "buy o", False), ("1234.0", "for 1,234 dollars", True), ("1e3", "1000", True), ("2024-03-05", "on March 5", True), ("nan", "0", False), ("Infinity", "9223372036854775807", False), (None, "x", False), ("x", None, False), ("7", "8", False)]
+    df = spark.createDataFrame(rows, "c string, t string, want boolean").repartition(1)
+    assert [tuple(r) for r in df.select("c", rubrics.literal_allowed(F.col("c"), F.col("t"))).collect()] == [(c, w) for c, _, w in rows]
+    cast = df.select(rubrics.literal_allowed(F.col("c"), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(c" in cast.split("exi")[0]

@@ -113,3 +113,14 @@ def test_statements_spread(spark, tmp_path):
 
     for query in (plans.statement_parts, plans.rebound_statements, plans.observed_facts):
         assert query(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_table_names_of_a_text_are_those_of_its_tokens(spark):
+    rng = random.Random(8)
+    words = ["FROM", "from", "Join", "JOIN", "select", "Select", "(", ")", ",", ".", "t1", "_x", ":p", "7", "1.5", "'from x'", "'it''s'", '"a b"', '"select"', "`q`", "-- join y\n", "/* from z */", "/*", '"', "'", "\t", "\x0b", "<>", "as"]
+    made = [(k, "".join(rng.choice(words) + rng.choice([" ", "", "\n"]) for _ in range(14))) for k in range(300)] + [(300, None), (301, ""), (302, "from"), (303, "select 1 from")]
+    df = spark.createDataFrame(made, "k int, sql string")
+    sql = F.col("sql")
+    rows = df.select("sql", statements.table_names(sql).alias("got"), statements.tables(statements.solid(statements.tokens(sql))).alias("want")).collect()
+    assert len(rows) == len(made) and sum(bool(r.got) for r in rows) > 100
+    assert [r.sql for r in rows if r.got != r.want] == []
