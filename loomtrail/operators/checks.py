@@ -94,8 +94,8 @@ def structure_issues(nodes: DataFrame, ports: DataFrame, edges: DataFrame, opera
     parts.append(_issues(into.where(F.col("source").isin("world", "literal") & empty("grounding")), bad, ERROR, F.lit("lacks stable grounding"), "port"))
     parts.append(_issues(into.where(~F.coalesce(F.col("source").isin(SOURCES), F.lit(False))), bad, ERROR, F.lit("invalid source"), "port"))
     parts.append(_issues(ports.where(F.col("is_output") & empty("grounding")), bad, ERROR, F.lit("lacks grounding"), "port"))
-    ends = edges.select(*(F.struct("task", F.col(f"{end}_node").alias("node")).alias(end) for end in ("from", "to"))).where("from.node is not null and to.node is not null")
-    on = graphs.cycle_members(ends, "from", "to")
+    ends = edges.select(F.struct("task").alias("part"), *(F.struct("task", F.col(f"{end}_node").alias("node")).alias(end) for end in ("from", "to"))).where("from.node is not null and to.node is not null")
+    on = graphs.cycle_members(ends, "from", "to", "part")
     parts.append(_issues(on.select("node.task", "node.node", F.col("component.node").alias("least")), "GLOBAL_CONSTRAINT_UNSAT", ERROR, F.lit("on a cycle with"), "least"))
     return _all(parts)
 

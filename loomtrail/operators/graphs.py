@@ -230,7 +230,7 @@ def _settled(e: DataFrame) -> DataFrame:
     return both.join(both.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
-def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
+def cycle_members(edges: DataFrame, source: str, target: str, part: str | None = None) -> DataFrame:
     """(node, component, members) of every node on a cycle: components in which every node reaches every other.
 
     Nodes without an edge in or without one out are trimmed first. Then the least node that reaches each node and the
@@ -238,15 +238,25 @@ def cycle_members(edges: DataFrame, source: str, target: str) -> DataFrame:
     that differ in either lie in no component and go, as do the components found; each round settles one at least in
     every connected part of what is left. First, and again whenever half of the edges have gone, the connected parts of ``CHUNK`` edges at most are settled, many
     of them in a task, so that only larger ones take rounds. A node that has only an edge to itself is a component of its own; edges with
-    a null end are left out. Once ``CHUNK`` edges are left at most, one task settles them.
+    a null end are left out. Once ``CHUNK`` edges are left at most, one task settles them. ``part`` is a column that no two connected edges
+    differ in, if there is one, and never null: its parts of ``CHUNK`` edges at most are settled without a search for what is connected.
     """
     prepare_checkpoints(edges.sparkSession)
-    raw = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a is not null and b is not null").checkpoint()
-    e = raw.distinct().checkpoint()
+    ends = edges.select(F.col(source).alias("a"), F.col(target).alias("b"), *([F.col(part).alias("part")] if part else [])).where("a is not null and b is not null")
+    if part:
+        e = ends.distinct().checkpoint()
+        raw = e.select("a", "b")
+    else:
+        raw = ends.checkpoint()
+        e = raw.distinct().checkpoint()
     loops = e.where("a = b").select(F.col("a").alias("node"))
     found = e.where("false").selectExpr("a as node", "a as component")
     e = e.where("a <> b")
     tried = None
+    if part:
+        large = e.groupBy("part").count().where(F.col("count") > CHUNK).select("part")
+        found = found.union(_settled(e.join(large, "part", "left_anti")))
+        e = raw = e.join(large, "part", "left_semi").select("a", "b").checkpoint()
     while True:
         n = e.count()
         if n > CHUNK and (tried is None or 2 * n <= tried):

@@ -259,3 +259,19 @@ def test_chains_of_tasks_that_fit_take_no_rounds(spark, monkeypatch):
         assert bool(called) == (chunk == 0)
     assert got[0] == got[1] == got[2] and len(got[0]) == len(edges)
     assert {"rewired_to_producer", "literal_copied", "kept"} <= {r.repair for r in repairs.repair_edges(e, p, "task").collect()}
+
+
+def test_cycles_of_parts_are_found_without_a_search_for_them(spark, monkeypatch):
+    """With a column of parts the result is the same, with parts that fit a task and with larger ones, and those that fit are not searched for."""
+    rng = random.Random(11)
+    made = [(t, f"{t}-{rng.randrange(12)}", f"{t}-{rng.randrange(12)}") for t in range(8) for _ in range(3 + 2 * t)]
+    df = spark.createDataFrame(made + [(1, None, "1-1"), (1, "1-2", None)], "t int, a string, b string")
+    want = sorted(map(tuple, graphs.cycle_members(df, "a", "b").collect()))
+    assert any(members > 1 for _, _, members in want)
+    connected = graphs._connected
+    for chunk, searched in ((1 << 18, False), (8, True)):
+        called = []
+        monkeypatch.setattr(graphs, "CHUNK", chunk)
+        monkeypatch.setattr(graphs, "_connected", lambda e: called.append(1) or connected(e))
+        assert sorted(map(tuple, graphs.cycle_members(df, "a", "b", "t").collect())) == want
+        assert bool(called) == searched
