@@ -24,6 +24,8 @@ BY_FAMILY = {
     "boolean": ["boolean_flip"],
     "text": ["text_stale_version", "text_similar_entity"],
 }
+#: Tasks per core that nodes are spread over.
+TASKS = 8
 WRITES = ["write_other_entity", "write_mutated_value", "write_omit", "write_duplicate"]
 
 
@@ -42,11 +44,13 @@ def static_records(produced: DataFrame, writing: DataFrame, horizons: DataFrame)
 
     Of several values of a node with one mutation the first counts; ``writing`` (task, node) have the mutations of writes behind them. ``horizons``: task, node and more.
     """
-    own = mutations_of(produced).select("task", "node", "place", "name", "mutation")
-    wrote = writing.select("task", "node", F.lit(1 << 30).alias("place"), F.lit("<writes>").alias("name"), F.explode(F.array(*map(F.lit, WRITES))).alias("mutation"))
-    first = own.unionByName(wrote).groupBy("task", "node", "mutation").agg(F.min_by("name", F.struct("place", "name")).alias("name"))
+    n = TASKS * produced.sparkSession.sparkContext.defaultParallelism
+    # a node's rows meet before they become rows per mutation, so that those are not shuffled
+    own = mutations_of(produced.select("task", "node", "place", "name", "type").repartition(n, "task", "node")).select("task", "node", "place", "name", "mutation")
+    wrote = writing.select("task", "node").repartition(n, "task", "node").select("task", "node", F.lit(1 << 30).alias("place"), F.lit("<writes>").alias("name"), F.explode(F.array(*map(F.lit, WRITES))).alias("mutation"))
+    first = own.unionByName(wrote).groupBy("task", "node", "mutation").agg(F.min(F.struct("place", "name")).alias("first")).select("task", "node", "mutation", "first.name")
     refs = first.select("task", "node", "mutation", F.concat_ws(":", F.lit("static"), "name", "mutation").alias("mutated_ref"), F.when(F.col("name") != "<writes>", F.concat_ws(":", F.lit("derived"), "node", "name")).alias("original_ref"))
-    return refs.join(horizons, ["task", "node"])
+    return refs.join(horizons.repartition(n, "task", "node"), ["task", "node"])
 
 
 def _choice(seed: int, *key: str) -> Column:
@@ -109,12 +113,14 @@ def outcomes(mutations: DataFrame, order: DataFrame, results: DataFrame, ends: D
     state differs from the wanted one). A run that failed counts as caught by the execution; else the first failing check behind the node catches
     it, so many places later; else the final check, else a difference of states, else nothing does.
     """
-    place = order.select("task", F.col("node").alias("_n"), F.col("place").alias("_p"))
-    own = mutations.join(order, ["task", "node"]).select("id", "task", "node", "place")
-    failed = own.join(results.where("not passed").select("id", F.col("node").alias("_n")), "id").join(place, ["task", "_n"]).where("_p > place")
-    first = failed.groupBy("id").agg(F.min(F.struct(F.col("_p"), F.col("_n"))).alias("f"), F.min("place").alias("_own"))
-    between = failed.select("id", "task", "place").distinct().join(place, "task").join(first.select("id", F.col("f._p").alias("_to")), "id").where("_p > place and _p <= _to").groupBy("id").agg(F.count("*").cast("int").alias("distance"))
-    out = mutations.select("id").join(ends, "id", "left").join(first.select("id", F.col("f._n").alias("node")), "id", "left").join(between, "id", "left")
+    upto = F.count("*").over(Window.partitionBy("task").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow))  # places up to this one
+    counted = order.where("place is not null").select("task", "node", "place", upto.alias("_upto"))
+    place = counted.select("task", F.col("node").alias("_n"), F.col("place").alias("_p"), F.col("_upto").alias("_to"))
+    failing = results.where("not passed").select("id", F.col("node").alias("_n"))
+    own = mutations.join(counted, ["task", "node"]).select("id", "task", "place", "_upto")
+    failed = own.join(failing, "id").join(place, ["task", "_n"]).where("_p > place")
+    first = failed.groupBy("id").agg(F.min(F.struct("_p", "_n", (F.col("_to") - F.col("_upto")).cast("int").alias("distance"))).alias("f")).select("id", F.col("f._n").alias("node"), "f.distance")
+    out = mutations.select("id").join(ends, "id", "left").join(first, "id", "left")
     error, final = F.col("error").isNotNull(), F.col("final_passed") == F.lit(False)
     caught = F.when(error, "execution_error").when(F.col("node").isNotNull(), F.col("node")).when(final, "final").otherwise(F.col("diverged"))
     kind = F.when(error, "verifier_only").when(F.col("node").isNotNull(), F.when(F.col("distance") == 1, "required_next").otherwise("required_later")).when(final | F.col("diverged").isNotNull(), "verifier_only").otherwise("silent")

@@ -24,3 +24,26 @@ def test_values(spark):
 def test_families(spark):
     df = spark.createDataFrame([("Person",), ("order_total",), ("created_at_time",), ("total",), ("itemlist",), ("is_open",), ("whatever",), ("user_id",)], "type string")
     assert {r.type: r.f for r in df.select("type", mutations.family(df.type).alias("f")).collect()} == {"Person": "entity", "order_total": "entity", "created_at_time": "date", "total": "amount", "itemlist": "list", "is_open": "boolean", "whatever": "text", "user_id": "entity"}
+
+
+def test_rows_per_mutation_are_not_shuffled(spark):
+    """Nodes are dealt over tasks before they become a row per mutation; two tables, the writing nodes and the horizons are the only ones shuffled."""
+    produced = spark.createDataFrame([("a", "1", 1, "x", "title"), ("a", "1", 0, "y", "name"), ("a", "2", 0, "z", "is_open")], "task string, node string, place int, name string, type string")
+    out = mutations.static_records(produced, spark.createDataFrame([("a", "2")], "task string, node string"), spark.createDataFrame([("a", "1", 5), ("a", "2", 6)], "task string, node string, horizon int"))
+    assert {(r.node, r.mutation, r.mutated_ref, r.original_ref, r.horizon) for r in out.collect()} == {
+        *(("1", m, f"static:y:{m}", "derived:1:y", 5) for m in mutations.BY_FAMILY["text"]), ("2", "boolean_flip", "static:z:boolean_flip", "derived:2:z", 6), *(("2", m, f"static:<writes>:{m}", None, 6) for m in mutations.WRITES)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Exchange" not in plan.split("== Initial Plan ==")[-1].split("Generate")[0]
+
+
+def test_distance_of_a_catch_is_counted_without_pairs(spark):
+    """The places up to the first failing check are counted by a running number, not by all pairs of places of a task."""
+    n = 60
+    order = spark.createDataFrame([("t", str(k), 3 * k) for k in range(n)], "task string, node string, place int")
+    mutated = spark.createDataFrame([(f"m{k}", "t", str(k)) for k in range(n)], "id string, task string, node string")
+    results = spark.createDataFrame([(f"m{k}", str(j), not (j > k and (j * k) % 7 == 3)) for k in range(n) for j in range(n)], "id string, node string, passed boolean")
+    ends = spark.createDataFrame([(f"m{k}", None, True, None) for k in range(n)], "id string, error string, final_passed boolean, diverged string")
+    out = mutations.outcomes(mutated, order, results, ends)
+    first = {k: min((j for j in range(k + 1, n) if (j * k) % 7 == 3), default=None) for k in range(n)}
+    assert {r.id: (r.caught_by, r.distance) for r in out.collect()} == {f"m{k}": (None, None) if j is None else (str(j), j - k) for k, j in first.items()}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 5
