@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tasks per core over which the paths of a closure go.
+TASKS = 8
+
 
 def _folder(path: Column) -> Column:
     return F.regexp_extract(path, r"\A(.*)/[^/]*\z", 1)
@@ -19,23 +22,31 @@ def file_closure(items: DataFrame, roles: list[str], trajectory: str, records: D
     ``repaired``, a column of paths, that trajectory is followed too. Sources that are not there are missing; beside a
     source the file named ``sidecar`` is required if it is there, and ``messages`` is needed where the agent's name contains ``agent``.
     """
-    there = files.select("path").distinct()
-    role = lambda df, name: df.select("path", F.lit(name).alias("role")).where("path is not null")
-    listed = items.select(F.explode(F.array(*(F.struct(F.col(c).alias("path"), F.lit(c).alias("role")) for c in roles))).alias("f")).select("f.path", "f.role").where("path is not null").distinct()
-    present = items.select(F.col(trajectory).alias("path")).join(there, "path", "left_semi")
-    followed = present
+    names = sorted({*roles, "repaired", "source", "sidecar", "messages"})
+    rank = lambda name: F.lit(names.index(name)).alias("rank")
+    tasks = TASKS * files.sparkSession.sparkContext.defaultParallelism
+    there = files.select("path").where("path is not null")
+    at_hand = there.repartition(tasks, "path").hint("merge")  # texts: small on disk, large as a table in memory
+    kept = items.repartition(tasks, trajectory).join(at_hand.withColumnRenamed("path", trajectory), trajectory, "left_semi")
+    listed = items.select(F.explode(F.array(*(F.struct(F.col(c).alias("path"), rank(c)) for c in roles))).alias("f")).select("f.path", "f.rank")
+    followed = kept.select(F.col(trajectory).alias("path"))
     if repaired:
-        again = items.join(there.withColumnRenamed("path", trajectory), trajectory, "left_semi").select(F.col(repaired).alias("path"))
-        listed = listed.union(role(again, "repaired"))
-        followed = present.union(again.join(there, "path", "left_semi"))
-    rows = records.join(followed.distinct(), "path", "left_semi").select(F.regexp_replace("source", r"#line=[0-9]+\z", "").alias("path"), F.col("agent").alias("_agent"))
-    sources = rows.select("path").distinct()
-    beside = sources.select(F.concat(_folder(F.col("path")), F.lit("/" + sidecar)).alias("path")).join(there, "path", "left_semi")
-    wanted = rows.where(F.contains(F.lower(F.coalesce("_agent", F.lit(""))), F.lit(agent))).select(F.concat(_folder(F.col("path")), F.lit("/" + messages)).alias("path"))
-    needed = listed.union(role(sources, "source")).union(role(beside, "sidecar")).union(role(wanted, "messages"))
-    by = needed.groupBy("path").agg(F.min("role").alias("role"), F.bool_or(F.col("role").isin([r for r in roles if r != trajectory])).alias("always"))
-    out = by.join(there.withColumn("_there", F.lit(True)), "path", "left")
-    return out.select("path", F.when(F.col("_there").isNotNull() | F.col("always"), "required").otherwise("missing").alias("state"), "role")
+        again = kept.select(F.col(repaired).alias("path")).where("path is not null")
+        listed = listed.union(again.select("path", rank("repaired")))
+        followed = followed.union(again.repartition(tasks, "path").join(at_hand, "path", "left_semi"))
+    rows = records.select("path", F.regexp_replace("source", r"#line=[0-9]+\z", "").alias("_source"), F.contains(F.lower(F.coalesce("agent", F.lit(""))), F.lit(agent)).alias("_wanted"))
+    rows = rows.where("path is not null and _source is not null").repartition(tasks, "path").join(followed.repartition(tasks, "path").hint("merge"), "path", "left_semi")
+    # rows are read once: a source brings itself, what lies beside it and the messages along
+    near = lambda name: F.concat(_folder(F.col("_source")), F.lit("/" + name))
+    sources = rows.groupBy("_source").agg(F.bool_or("_wanted").alias("_wanted")).select(F.explode(F.array(
+        F.struct(F.col("_source").alias("path"), rank("source"), F.lit(False).alias("beside")), F.struct(near(sidecar).alias("path"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("beside")),
+        F.struct(F.when(F.col("_wanted"), near(messages)).alias("path"), rank("messages"), F.lit(False).alias("beside")),
+    )).alias("f")).select("f.*", F.lit(False).alias("there"))
+    needed = listed.select("path", "rank", F.lit(False).alias("beside"), F.lit(False).alias("there")).union(sources).union(there.select("path", F.lit(None).cast("int").alias("rank"), F.lit(False).alias("beside"), F.lit(True).alias("there")))
+    by = needed.where("path is not null").repartition(tasks, "path").groupBy("path").agg(
+        F.min("rank").alias("rank"), F.bool_or("beside").alias("beside"), F.bool_or("there").alias("there"), F.bool_or(F.coalesce(F.col("rank").isin([names.index(r) for r in roles if r != trajectory]), F.lit(False))).alias("always"))
+    by = by.withColumn("rank", F.least("rank", F.when(F.col("beside") & F.col("there"), rank("sidecar")))).where("rank is not null")
+    return by.select("path", F.when(F.col("there") | F.col("always"), "required").otherwise("missing").alias("state"), F.get(F.array(*map(F.lit, names)), "rank").alias("role"))
 
 
 def canonical_copies(selection: DataFrame, copies: DataFrame) -> DataFrame:

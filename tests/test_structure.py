@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrail.operators import audits, changes, compositions, graphs, relations, repairs, sampling
+from loomtrail.operators import audits, bundles, changes, compositions, graphs, relations, repairs, sampling
 
 
 def test_long_chains_take_few_joins(spark, monkeypatch):
@@ -186,6 +186,26 @@ def test_beam_reads_fits_once(spark):
     assert read.value == 4
 
 
+def test_closure_reads_records_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    items = spark.createDataFrame([("/t/1", "/r/1", "/f/1"), ("/t/1", "/r/2", None), ("/t/2", None, "/f/2"), ("/t/3", "/t/1", "/f/3"), (None, "/r/4", "/f/1")], "trajectory string, review string, fixed string")
+    rows = [("/t/1", "/s/a.jsonl#line=3", None), ("/t/1", "/s/a.jsonl#line=4", "my AGENT-x"), ("/f/1", "/p/b.jsonl", "other"), ("/t/2", "/q/c.jsonl", "agent-x"), ("/f/3", "/u/d.jsonl", "agent-x"), ("/t/3", "/v/#line=x", ""), ("/t/3", None, "agent-x"), (None, "/w/e", "agent-x")]
+    records = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "path string, source string, agent string")
+    files = spark.createDataFrame([(p,) for p in ("/t/1", "/t/1", "/t/3", "/f/1", "/s/a.jsonl", "/s/probe.json", "/v/probe.json", "/q/probe.json", "/n", None)], "path string")
+    got = sorted(tuple(r) for r in bundles.file_closure(items, ["trajectory", "review"], "trajectory", records, files, "probe.json", "messages.json", "agent-x", "fixed").collect())
+    assert got == sorted([
+        ("/t/1", "required", "review"), ("/t/2", "missing", "trajectory"), ("/t/3", "required", "trajectory"), ("/r/1", "required", "review"), ("/r/2", "required", "review"), ("/r/4", "required", "review"),
+        ("/f/1", "required", "repaired"), ("/f/3", "missing", "repaired"), ("/s/a.jsonl", "required", "source"), ("/s/probe.json", "required", "sidecar"), ("/s/messages.json", "missing", "messages"),
+        ("/p/b.jsonl", "missing", "source"), ("/v/#line=x", "missing", "source"), ("/v/probe.json", "required", "sidecar"),
+    ])
+    assert read.value == len(rows)
+
+
 def test_relations(spark):
     rng = random.Random(4)
     a = spark.createDataFrame([(i, f"n{i}") for i in range(300)], "a_id long, a_name string")
