@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrail.operators import audits, bundles, changes, compositions, graphs, relations, repairs, sampling
+from loomtrail.plans import modular
 
 
 def test_long_chains_take_few_joins(spark, monkeypatch):
@@ -232,6 +233,14 @@ def test_inclusions_count_all_values(spark, monkeypatch):
         assert got == {("s_id", "k_id"): (0.85, 1000), ("k_id", "s_id"): (1.0, 850)}
 
 
+def test_keys_are_confirmed_without_keeping_values(spark, data, monkeypatch):
+    """What is kept between steps follows from the schema, not from the rows."""
+    kept, keep = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a: kept.append(self.count()) or keep(self, *a))
+    assert modular.schema_prompt(spark, data).count() == 7
+    assert kept and max(kept) < 100
+
+
 def test_shards_and_digests_in_levels(spark):
     rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 5003).alias("k"))
     got = {r.id: r.shard for r in sampling.shards(rows.repartition(9), ["k"], "g", 7).collect()}
