@@ -62,24 +62,28 @@ def graph_degrees(spark, d):
     return graphs.degrees(_edges(spark, d), "a", "b")
 
 
-def _columns(spark, d):
-    rows = [(t, c, i) for t in TABLES for i, c in enumerate(table(spark, d, t).columns)]
+def _tables(spark, d):
+    return {t: table(spark, d, t) for t in TABLES}
+
+
+def _columns(spark, tables):
+    rows = [(t, c, i) for t, df in tables.items() for i, c in enumerate(df.columns)]
     return spark.createDataFrame(rows, "table string, column string, position int")
 
 
-def confirmed_keys(spark, d):
+def confirmed_keys(spark, tables):
     """Relations between tables by the names of key columns, of which every value is found among those of the key."""
-    named = graphs.infer_keys(_columns(spark, d), "key")
-    keys = {t: table(spark, d, t).select(*(c for c in table(spark, d, t).columns if c.endswith("key"))) for t in TABLES}
-    return named.join(relations.inclusions(relations.column_values(keys)), named.columns, "left_semi")
+    named = graphs.infer_keys(_columns(spark, tables), "key")
+    keys = {t: df.select(*(c for c in df.columns if c.endswith("key"))) for t, df in tables.items()}
+    return relations.confirmed(named, relations.column_values(keys, nulls=True))
 
 
 def key_inference(spark, d):
-    return confirmed_keys(spark, d)
+    return confirmed_keys(spark, _tables(spark, d))
 
 
 def key_paths(spark, d):
-    return graphs.key_paths(confirmed_keys(spark, d), 3)
+    return graphs.key_paths(confirmed_keys(spark, _tables(spark, d)), 3)
 
 
 EXPRESSIONS = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrail.operators import graphs, modules
-from loomtrail.plans.documents import _EDGES, _KEYS, TABLES, _columns, _edges, confirmed_keys
+from loomtrail.plans.documents import _EDGES, _KEYS, TABLES, _columns, _edges, _tables, confirmed_keys
 from loomtrail.plans.tables import table
 
 OPS = ["retrieve", "aggregate", "filter", "create", "compare"]
@@ -117,11 +117,11 @@ def typed_texts(spark, d):
 
 def schema_prompt(spark, d):
     """A line per table with its number of rows, its columns and its confirmed keys."""
-    columns, rows = _columns(spark, d), None
-    for t in TABLES:
-        own = table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n")
+    tables, rows = _tables(spark, d), None
+    for t, df in tables.items():
+        own = df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n")
         rows = own if rows is None else rows.union(own)
-    return modules.schema_lines(columns.withColumn("type", F.lit("t")), rows, confirmed_keys(spark, d))
+    return modules.schema_lines(_columns(spark, tables).withColumn("type", F.lit("t")), rows, confirmed_keys(spark, tables))
 
 
 def statement_tables(spark, d):

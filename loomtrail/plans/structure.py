@@ -83,7 +83,7 @@ def _values(spark, d):
 
 def column_sizes(spark, d):
     """Columns of whole numbers and texts with their distinct values, and whether they are a key."""
-    return _values(spark, d).groupBy("table", "column", "kind").agg(F.count("*").alias("n_values"), (F.max("n") == 1).alias("is_key"))
+    return relations.column_sizes(_values(spark, d)).select("table", "column", "kind", F.col("size").alias("n_values"), (~F.col("twice")).alias("is_key"))
 
 
 def inclusions(spark, d):

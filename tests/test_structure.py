@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomtrail.operators import audits, bundles, changes, compositions, graphs, relations, repairs, sampling
-from loomtrail.plans import modular
+from loomtrail.plans import documents, modular
 
 
 def test_long_chains_take_few_joins(spark, monkeypatch):
@@ -241,6 +244,39 @@ def test_keys_are_confirmed_without_keeping_values(spark, data, monkeypatch):
     assert kept and max(kept) < 100
 
 
+def test_values_are_shuffled_once(spark, data, monkeypatch):
+    """Values go straight to their columns: one exchange by value, one of the sets of columns, none by column and value before."""
+    plans, keep = [], type(spark.range(1)).checkpoint
+
+    def plan(self, *a):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            self.explain()
+        plans.append(out.getvalue())
+        return keep(self, *a)
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", plan)
+    assert modular.schema_prompt(spark, data).count() == 7
+    assert [p.count("Exchange ") for p in plans] == [2]
+
+
+def test_keys_on_odd_tables(spark, data, tmp_path):
+    """A null lies in no key, a key may hold a value twice, and an empty column lies in every key: as its SQL has it."""
+    tables = {t: spark.read.parquet(f"{data}/{t}.parquet") for t in documents.TABLES}
+    tables["customer"] = tables["customer"].withColumn("c_nationkey", F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey")))
+    tables["part"] = tables["part"].union(tables["part"].limit(3))
+    tables["supplier"] = tables["supplier"].limit(0)
+    tables["region"] = tables["region"].union(tables["region"].limit(1).withColumn("r_regionkey", F.lit(None).cast("int")))
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name, query, sql in (("key_inference", documents.key_inference, documents.ORACLE), ("schema_prompt", modular.schema_prompt, modular.ORACLE)):
+        got = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(sql[name]).fetchall())
+    pairs = {(r.from_column, r.to_column) for r in documents.key_inference(spark, str(tmp_path)).collect()}
+    assert pairs == {("n_regionkey", "r_regionkey"), ("s_nationkey", "n_nationkey"), ("o_custkey", "c_custkey"), ("l_orderkey", "o_orderkey"), ("l_partkey", "p_partkey")}
+
+
 def test_shards_and_digests_in_levels(spark):
     rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 5003).alias("k"))
     got = {r.id: r.shard for r in sampling.shards(rows.repartition(9), ["k"], "g", 7).collect()}
