@@ -355,7 +355,7 @@ def repeats(groups: list[list[tuple[int, int, bytes]]]) -> list[tuple[int, int,
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
-    stop = np.append(cut[1:], len(doc)) - 1
+    stop = np.append(cut, len(doc))[1:] - 1  # none where nothing is repeated
     return list(zip(doc[cut].tolist(), place[cut].tolist(), (place[stop] + LENGTH).tolist(), strict=True))
 
 

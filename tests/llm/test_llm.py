@@ -169,6 +169,17 @@ def test_suffix_dedup(docs, texts, empty, odd):
     assert suffix_dedup.suffix_dedup(odd).count() == 2
 
 
+def test_suffix_dedup_of_texts_that_share_less_than_a_string(spark):
+    """Stretches that meet by their anchor and the bytes beside it may have no whole string in common; then nothing goes."""
+    rng = random.Random(17)
+    some = lambda n: "".join(rng.choices("abcdefghij", k=n))
+    shared = some(90)
+    texts = [some(150) + shared + some(150) for _ in range(3)]
+    assert suffix_dedup.repeats([[(k, 0, t[110:290].encode()) for k, t in enumerate(texts)]]) == []
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept).decode()) for r in got} == {k: (0, t) for k, t in enumerate(texts)}
+
+
 def test_suffix_dedup_of_many_small_texts(spark):
     """Mutated copies, periodic texts and pieces over small alphabets, each case in ids of its own and letters of its own."""
     rng = random.Random(1)
