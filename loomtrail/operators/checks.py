@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomtrail.operators import graphs, statements
 from loomtrail.operators.rubrics import literal_allowed
@@ -74,30 +75,38 @@ def structure_issues(nodes: DataFrame, ports: DataFrame, edges: DataFrame, opera
     grounding; no step depends on itself, in however many steps. Each node of a cycle is named with the least node of its cycle.
     """
     empty = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    none = F.lit(None).cast("string")
+    # one row for a node, a port, an edge and each of its ends, which meet by task: where the tables are dealt by task already, nothing is shuffled
+    role = lambda role, key, port, node, x=none, y=none, flag=F.lit(None).cast("boolean"): F.struct(
+        *(c.alias(n) for n, c in {"role": F.lit(role), "place": F.lit("port" if role in ("from", "to") else role), "key": key, "key_port": port, "node": node, "x": x, "y": y, "flag": flag}.items()))
+    c = F.col
+    sides = F.array(role("from", c("from_node"), c("from_port"), c("from_node"), c("edge")), role("to", c("to_node"), c("to_port"), c("to_node"), c("edge")), role("edge", c("edge"), none, c("to_node"), c("kind")))
+    rows = nodes.select("task", role("node", c("node"), none, c("node"), c("op"), c("app")).alias("r"))
+    rows = rows.union(ports.select("task", role("port", c("node"), c("port"), c("node"), c("source"), c("grounding"), c("is_output")).alias("r"))).union(edges.select("task", F.explode(sides).alias("r")))
+    w = Window.partitionBy("task", "place", "key", "key_port")
+    named = c("task").isNotNull() & c("key").isNotNull() & c("key_port").isNotNull()  # a null is no port
+    has = lambda cond: F.coalesce(F.max(cond).over(w), F.lit(False))
+    rows = rows.select("task", "r.*").select("*", F.count("*").over(w).alias("n"), F.min("node").over(w).alias("least"), has((c("role") == "port") & c("flag")).alias("output"), has((c("role") == "port") & ~c("flag")).alias("input"), F.count_if(c("role") == "to").over(w).alias("fed"))
     bad, loose = "INVALID_GROUNDING", "UNBOUND_PORT"
-    parts = [
-        _issues(nodes.where(empty("node")), bad, ERROR, F.lit("node without an id")),
-        _issues(nodes.groupBy("task", "node").count().where("count > 1"), bad, ERROR, F.lit("duplicate node"), "node"),
-        _issues(nodes.where(~F.coalesce(F.col("op").isin(operations), F.lit(False))), bad, ERROR, F.lit("unknown operation"), "op"),
-        _issues(nodes.where(empty("app")), bad, ERROR, F.lit("no app")),
-        _issues(edges.where(empty("edge")), bad, ERROR, F.lit("edge without an id"), node="to_node"),
-        _issues(edges.groupBy("task", "edge").agg(F.count("*").alias("n"), F.min("to_node").alias("to_node")).where("n > 1"), bad, ERROR, F.lit("duplicate edge"), "edge", node="to_node"),
-        _issues(edges.where(~F.coalesce(F.col("kind").isin(KINDS), F.lit(False))), bad, ERROR, F.lit("unknown dependency kind"), "edge", node="to_node"),
-    ]
-    outputs, inputs = (ports.where("is_output" if out else "not is_output").select("task", F.col("node").alias(f"{end}_node"), F.col("port").alias(f"{end}_port")).distinct() for out, end in ((True, "from"), (False, "to")))
-    parts.append(_issues(edges.join(outputs, ["task", "from_node", "from_port"], "left_anti"), loose, ERROR, F.lit("source is no output"), "edge", node="from_node"))
-    parts.append(_issues(edges.join(inputs, ["task", "to_node", "to_port"], "left_anti"), loose, ERROR, F.lit("target is no input"), "edge", node="to_node"))
-    fed = edges.groupBy("task", F.col("to_node").alias("node"), F.col("to_port").alias("port")).agg(F.count("*").alias("n"))
-    parts.append(_issues(fed.where("n > 1"), loose, ERROR, F.lit("several producers"), "port"))
-    into = ports.where("not is_output")
-    parts.append(_issues(into.where("source = 'upstream'").join(fed, ["task", "node", "port"], "left_anti"), loose, ERROR, F.lit("lacks an edge"), "port"))
-    parts.append(_issues(into.where(F.col("source").isin("world", "literal") & empty("grounding")), bad, ERROR, F.lit("lacks stable grounding"), "port"))
-    parts.append(_issues(into.where(~F.coalesce(F.col("source").isin(SOURCES), F.lit(False))), bad, ERROR, F.lit("invalid source"), "port"))
-    parts.append(_issues(ports.where(F.col("is_output") & empty("grounding")), bad, ERROR, F.lit("lacks grounding"), "port"))
-    ends = edges.select(F.struct("task").alias("part"), *(F.struct("task", F.col(f"{end}_node").alias("node")).alias(end) for end in ("from", "to"))).where("from.node is not null and to.node is not null")
-    on = graphs.cycle_members(ends, "from", "to", "part")
-    parts.append(_issues(on.select("node.task", "node.node", F.col("component.node").alias("least")), "GLOBAL_CONSTRAINT_UNSAT", ERROR, F.lit("on a cycle with"), "least"))
-    return _all(parts)
+    issue = lambda cond, code, *detail, node="node": F.when(cond, F.struct(c(node).alias("node"), F.lit(code).alias("code"), F.concat_ws(" ", F.lit(detail[0]), *detail[1:]).alias("detail")))
+    known = lambda name, values: F.coalesce(c(name).isin(values), F.lit(False))
+    into = F.coalesce(~c("flag"), F.lit(False))
+    faults = {
+        "node": [issue(empty("key"), bad, "node without an id"), issue(c("n") > 1, bad, "duplicate node", "key"), issue(~known("x", operations), bad, "unknown operation", "x"), issue(empty("y"), bad, "no app")],
+        "port": [
+            issue(into & (c("x") == "upstream") & ~(named & (c("fed") > 0)), loose, "lacks an edge", "key_port"), issue(into & c("x").isin("world", "literal") & empty("y"), bad, "lacks stable grounding", "key_port"),
+            issue(into & ~known("x", SOURCES), bad, "invalid source", "key_port"), issue(c("flag") & empty("y"), bad, "lacks grounding", "key_port"),
+        ],
+        "from": [issue(~(named & c("output")), loose, "source is no output", "x")],
+        "to": [issue(~(named & c("input")), loose, "target is no input", "x"), issue(c("fed") > 1, loose, "several producers", "key_port")],
+        "edge": [issue(empty("key"), bad, "edge without an id"), issue(c("n") > 1, bad, "duplicate edge", "key", node="least"), issue(~known("x", KINDS), bad, "unknown dependency kind", "key")],
+    }
+    of_role = reduce(lambda rest, name: F.when(c("role") == name, F.array(*faults[name])).otherwise(rest), faults, F.lit(None))
+    found = rows.select("task", F.explode(of_role).alias("i")).where("i is not null").select("task", "i.node", "i.code", F.lit(ERROR).alias("severity"), "i.detail").distinct()
+    ends = edges.select("task", *(F.struct("task", F.col(f"{end}_node").alias("node")).alias(end) for end in ("from", "to"))).where("from.node is not null and to.node is not null")
+    on = graphs.cycle_members(ends, "from", "to", "task")
+    # each kind of fault has a text of its own, so those of cycles are none of the others
+    return found.union(_issues(on.select("node.task", "node.node", F.col("component.node").alias("least")), "GLOBAL_CONSTRAINT_UNSAT", ERROR, F.lit("on a cycle with"), "least"))
 
 
 def verdicts(tasks: DataFrame, issues: DataFrame) -> DataFrame:

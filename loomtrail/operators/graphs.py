@@ -11,8 +11,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 #: Edges that one task takes at most.
 CHUNK = 1 << 18
@@ -230,6 +233,61 @@ def _settled(e: DataFrame) -> DataFrame:
     return both.join(both.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
+def _rooted(edges: pa.Table) -> pa.Table:
+    """(a, b, root) with each node of a cycle once as ``a``, and b null; edges are (a, b, x, y)."""
+    x, y = (edges[c].to_pylist() for c in ("x", "y"))
+    strong = next(_strong(iter([pd.DataFrame({"x": x, "y": y})])))
+    roots = dict(zip(strong["x"], strong["root"], strict=True))
+    for name, other in zip(x, y, strict=True):
+        if name == other:
+            roots.setdefault(name, name)
+    at = {name: k for k, name in enumerate(x) if name in roots}
+    a = edges["a"].take(pa.array(list(at.values()), pa.int64()))
+    return pa.table([a, pa.nulls(len(at), a.type), pa.array([roots[name] for name in at], pa.string())], names=["a", "b", "root"])
+
+
+def _within(chunk: int):
+    """(a, b, root) of edges (a, b, x, y, n) whose parts come whole behind each other, n edges each: nodes of cycles of parts of ``chunk`` edges at most, and the edges of larger ones, without a root."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = rest = 0  # rows held, and those that the last part still lacks
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            if (n > chunk).any():
+                large = batch.filter(pa.array(n > chunk))
+                yield pa.RecordBatch.from_arrays([large.column("a"), large.column("b"), pa.nulls(len(large), pa.string())], names=["a", "b", "root"])
+                batch, n = batch.filter(pa.array(n <= chunk)), n[n <= chunk]
+            at = whole = rest  # a part begins at ``whole``, the last one of the batch in the end
+            while at < len(n):
+                whole, at = at, at + int(n[at])
+            whole, rest = at if at == len(n) else whole, at - len(n)
+            if whole <= len(n) and size + whole >= chunk:
+                yield from _rooted(pa.Table.from_batches([*held, batch.slice(0, whole)])).to_batches()
+                held, size, batch = [], 0, batch.slice(whole)
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+        if held:
+            yield from _rooted(pa.Table.from_batches(held)).to_batches()
+
+    return each
+
+
+def _parted(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component, members) of the cycles of edges (a, b, part) whose part has ``CHUNK`` edges at most, and the edges (a, b) of larger parts.
+
+    Edges meet by part once. A part whose edges all lead to greater nodes, or all to lesser ones, has no cycle.
+    """
+    w = Window.partitionBy("part")
+    seen = ends.select("*", F.count("*").over(w).alias("n"), F.max(F.col("a") < F.col("b")).over(w).alias("up"), F.max(F.col("a") > F.col("b")).over(w).alias("down"), F.max(F.col("a") == F.col("b")).over(w).alias("loop"))
+    some = seen.where("(up and down) or loop").sortWithinPartitions("part").select("a", "b", _name("a").alias("x"), _name("b").alias("y"), "n")
+    kind = StructType([StructField("a", ends.schema["a"].dataType), StructField("b", ends.schema["b"].dataType), StructField("root", StringType())])
+    out = some.mapInArrow(_within(CHUNK), kind).checkpoint()
+    own = Window.partitionBy("root")
+    on = out.where("root is not null").select(F.col("a").alias("node"), F.min("a").over(own).alias("component"), F.count("*").over(own).alias("members"))
+    return on, out.where("root is null").select("a", "b")
+
+
 def cycle_members(edges: DataFrame, source: str, target: str, part: str | None = None) -> DataFrame:
     """(node, component, members) of every node on a cycle: components in which every node reaches every other.
 
@@ -239,24 +297,20 @@ def cycle_members(edges: DataFrame, source: str, target: str, part: str | None =
     every connected part of what is left. First, and again whenever half of the edges have gone, the connected parts of ``CHUNK`` edges at most are settled, many
     of them in a task, so that only larger ones take rounds. A node that has only an edge to itself is a component of its own; edges with
     a null end are left out. Once ``CHUNK`` edges are left at most, one task settles them. ``part`` is a column that no two connected edges
-    differ in, if there is one, and never null: its parts of ``CHUNK`` edges at most are settled without a search for what is connected.
+    differ in, if there is one: its parts of ``CHUNK`` edges at most, repeated ones included, are settled where they meet, without a search for what is connected.
     """
     prepare_checkpoints(edges.sparkSession)
     ends = edges.select(F.col(source).alias("a"), F.col(target).alias("b"), *([F.col(part).alias("part")] if part else [])).where("a is not null and b is not null")
     if part:
-        e = ends.distinct().checkpoint()
-        raw = e.select("a", "b")
-    else:
-        raw = ends.checkpoint()
-        e = raw.distinct().checkpoint()
+        settled, ends = _parted(ends)
+        if ends.isEmpty():
+            return settled
+    raw = ends.checkpoint()
+    e = raw.distinct().checkpoint()
     loops = e.where("a = b").select(F.col("a").alias("node"))
     found = e.where("false").selectExpr("a as node", "a as component")
     e = e.where("a <> b")
     tried = None
-    if part:
-        large = e.groupBy("part").count().where(F.col("count") > CHUNK).select("part")
-        found = found.union(_settled(e.join(large, "part", "left_anti")))
-        e = raw = e.join(large, "part", "left_semi").select("a", "b").checkpoint()
     while True:
         n = e.count()
         if n > CHUNK and (tried is None or 2 * n <= tried):
@@ -283,7 +337,7 @@ def cycle_members(edges: DataFrame, source: str, target: str, part: str | None =
     size = found.groupBy("component").agg(F.count("*").alias("members")).where("members > 1")  # a pivot may turn out to be alone
     on = found.join(size, "component").select("node", "component", "members")
     alone = loops.join(on, "node", "left_anti").select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("members"))
-    return on.union(alone)
+    return reduce(DataFrame.union, [on, alone, *([settled] if part else [])])
 
 
 def component_ratio(nodes: DataFrame, node: str, edges: DataFrame, source: str, target: str) -> DataFrame:

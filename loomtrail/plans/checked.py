@@ -8,6 +8,8 @@ from loomtrail.operators import checks
 from loomtrail.plans.tables import spread, table
 
 OPERATIONS = ["R", "A", "N"]
+#: Lines that a task takes of those that are dealt by order.
+LINES = 1 << 17
 #: The tables of the data, by application, with their key and the columns that are referred to.
 KEYS = {"part": "p_partkey", "supplier": "s_suppkey", "orders": "o_orderkey"}
 COLUMNS = {"part": ["p_name", "p_size"], "supplier": ["s_name"], "orders": ["o_orderstatus", "o_custkey"]}
@@ -42,12 +44,17 @@ def grounding_issues(spark, d):
 
 def _structure(spark, d):
     """Orders as tasks: lines are nodes, each feeds the next one, and returned lines also feed one before."""
-    key = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("k")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("flag"))
-    nodes = key.selectExpr("task", "CAST(k AS STRING) AS node", "CASE WHEN s % 23 = 7 THEN 'X' ELSE flag END AS op", "CASE WHEN s % 29 = 3 THEN ' ' ELSE 'shop' END AS app")
-    nodes = nodes.union(key.where("p % 31 = 4").selectExpr("task", "CAST(k AS STRING)", "flag", "'shop'"))
-    ports = key.selectExpr("task", "CAST(k AS STRING) AS node", "'in' AS port", "false AS is_output", "CASE WHEN k = 1 THEN 'world' WHEN p % 37 = 9 THEN 'file' ELSE 'upstream' END AS source", "CASE WHEN p % 3 = 0 THEN 'x' END AS grounding").union(key.selectExpr("task", "CAST(k AS STRING)", "'out'", "true", "CAST(NULL AS STRING)", "CASE WHEN p % 41 <> 5 THEN 'y' END"))
-    edges = key.where("k > 1 and s % 5 <> 0").selectExpr("task", "concat('e', k) AS edge", "CAST(k - 1 AS STRING) AS from_node", "CASE WHEN p % 13 = 1 THEN 'in' ELSE 'out' END AS from_port", "CAST(k AS STRING) AS to_node", "CASE WHEN p % 11 = 2 THEN 'other' ELSE 'in' END AS to_port", "CASE WHEN p % 17 = 6 THEN 'loose' ELSE 'value_dependency' END AS kind")
-    edges = edges.union(key.where("k > 2 and flag = 'R' and p % 4 = 0").selectExpr("task", "CASE WHEN s % 7 = 0 THEN 'e2' ELSE concat('b', k) END", "CAST(k AS STRING)", "'out'", "CAST(k - 1 - s % 2 AS STRING)", "'in'", "'control_dependency'"))
+    line = table(spark, d, "lineitem")
+    # lines are dealt by order once, a part of them small enough to be sorted in memory; what is made of them stays where it is
+    tasks = max(4, 1 + line.count() // (LINES * spark.sparkContext.defaultParallelism))
+    key = spread(line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_orderkey", tasks).groupBy(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("k")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("flag"))
+    made = lambda *rows: key.selectExpr("task", "explode(array(" + ", ".join(f"CASE WHEN {cond} THEN named_struct({cols}) END" for cond, cols in rows) + ")) AS r").where("r is not null").select("task", "r.*")
+    nodes = made(("true", "'node', CAST(k AS STRING), 'op', CASE WHEN s % 23 = 7 THEN 'X' ELSE flag END, 'app', CASE WHEN s % 29 = 3 THEN ' ' ELSE 'shop' END"), ("p % 31 = 4", "'node', CAST(k AS STRING), 'op', flag, 'app', 'shop'"))
+    ports = made(("true", "'node', CAST(k AS STRING), 'port', 'in', 'is_output', false, 'source', CASE WHEN k = 1 THEN 'world' WHEN p % 37 = 9 THEN 'file' ELSE 'upstream' END, 'grounding', CASE WHEN p % 3 = 0 THEN 'x' END"), ("true", "'node', CAST(k AS STRING), 'port', 'out', 'is_output', true, 'source', CAST(NULL AS STRING), 'grounding', CASE WHEN p % 41 <> 5 THEN 'y' END"))
+    edges = made(
+        ("k > 1 and s % 5 <> 0", "'edge', concat('e', k), 'from_node', CAST(k - 1 AS STRING), 'from_port', CASE WHEN p % 13 = 1 THEN 'in' ELSE 'out' END, 'to_node', CAST(k AS STRING), 'to_port', CASE WHEN p % 11 = 2 THEN 'other' ELSE 'in' END, 'kind', CASE WHEN p % 17 = 6 THEN 'loose' ELSE 'value_dependency' END"),
+        ("k > 2 and flag = 'R' and p % 4 = 0", "'edge', CASE WHEN s % 7 = 0 THEN 'e2' ELSE concat('b', k) END, 'from_node', CAST(k AS STRING), 'from_port', 'out', 'to_node', CAST(k - 1 - s % 2 AS STRING), 'to_port', 'in', 'kind', 'control_dependency'"),
+    )
     return nodes, ports, edges
 
 

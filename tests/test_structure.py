@@ -9,10 +9,11 @@ import itertools
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrail.operators import audits, bundles, changes, compositions, graphs, relations, repairs, sampling
+from loomtrail.operators import audits, bundles, changes, checks, compositions, graphs, relations, repairs, sampling
 from loomtrail.plans import documents, modular
 
 
@@ -352,3 +353,63 @@ def test_cycles_of_parts_are_found_without_a_search_for_them(spark, monkeypatch)
         monkeypatch.setattr(graphs, "_connected", lambda e: called.append(1) or connected(e))
         assert sorted(map(tuple, graphs.cycle_members(df, "a", "b", "t").collect())) == want
         assert bool(called) == searched
+
+
+def _faults(nodes, ports, edges):
+    """What is wrong with tasks, by plain loops."""
+    text = lambda *x: " ".join(y for y in x if y is not None)
+    empty = lambda x: x is None or not x.strip(" ")
+    out = set()
+    bad, loose = (lambda t, n, *x: out.add((t, n, "INVALID_GROUNDING", text(*x)))), (lambda t, n, *x: out.add((t, n, "UNBOUND_PORT", text(*x))))
+    for t, n, op, app in nodes:
+        same = [x for x in nodes if x[:2] == (t, n)]
+        for wrong, *what in ((empty(n), "node without an id"), (len(same) > 1, "duplicate node", n), (op not in ("R", "A"), "unknown operation", op), (empty(app), "no app")):
+            _ = wrong and bad(t, n, *what)
+    fed = [(t, x, y) for t, _, _, _, x, y, _ in edges]
+    for t, n, p, is_out, source, ground in ports:
+        if is_out is False:
+            _ = source == "upstream" and ((t, n, p) not in fed or None in (t, n, p)) and loose(t, n, "lacks an edge", p)
+            _ = source in ("world", "literal") and empty(ground) and bad(t, n, "lacks stable grounding", p)
+            _ = source not in checks.SOURCES and bad(t, n, "invalid source", p)
+        _ = is_out and empty(ground) and bad(t, n, "lacks grounding", p)
+    of = lambda side: {x[:3] for x in ports if x[3] is side and None not in x[:3]}
+    for t, e, a, p, b, q, kind in edges:
+        same = [x[4] for x in edges if x[:2] == (t, e)]
+        _ = empty(e) and bad(t, b, "edge without an id")
+        _ = len(same) > 1 and bad(t, min((x for x in same if x is not None), default=None), "duplicate edge", e)
+        _ = kind not in checks.KINDS and bad(t, b, "unknown dependency kind", e)
+        _ = (t, a, p) not in of(True) and loose(t, a, "source is no output", e)
+        _ = (t, b, q) not in of(False) and loose(t, b, "target is no input", e)
+        _ = fed.count((t, b, q)) > 1 and loose(t, b, "several producers", q)
+    for n, least, _ in components([((t, a), (t, b)) for t, _, a, _, b, _, _ in edges if a is not None and b is not None]):
+        out.add((*n, "GLOBAL_CONSTRAINT_UNSAT", f"on a cycle with {least[1]}"))
+    return out
+
+
+def test_structure_of_tasks_dealt_already_is_not_shuffled(spark):
+    """All faults are found, with nulls too, and where the tables are dealt by task only the nodes of cycles are shuffled."""
+    rng = random.Random(23)
+    pick = lambda *x: rng.choice(x)
+    node = lambda: pick("a", "b", "c", "d", " ", None)
+    nodes = [(t, node(), pick("R", "A", "X", None), pick("s", "", None)) for t in range(9) for _ in range(5)]
+    ports = [(t, node(), pick("i", "o", None), pick(True, False, False, None), pick(*checks.SOURCES, "file", None), pick("g", "", None)) for t in range(9) for _ in range(8)]
+    edges = [(t, pick("e", "f", "g", "h", "", None), node(), pick("i", "o", None), node(), pick("i", "o", None), pick(*checks.KINDS, "x", None)) for t in range(9) for _ in range(7)]
+    frame = lambda rows, cols: spark.createDataFrame(rows, cols).repartition(3, "task")
+    df = checks.structure_issues(frame(nodes, "task long, node string, op string, app string"), frame(ports, "task long, node string, port string, is_output boolean, source string, grounding string"), frame(edges, "task long, edge string, from_node string, from_port string, to_node string, to_port string, kind string"), ["R", "A"])
+    got = [(r.task, r.node, r.code, r.detail) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == _faults(nodes, ports, edges)
+    assert {r.severity for r in df.collect()} == {"error"} and len({d.split(" ")[0] + d.split(" ")[1] for *_, d in got}) >= 14
+    assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("ENSURE_REQUIREMENTS") <= 1
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_parts_of_edges_are_cut_where_they_end(size):
+    """However the rows are cut into batches, parts are settled whole, and the edges of those that are too large pass."""
+    rows = []
+    for part, n in enumerate([5, 1, 8, 2, 9, 5, 12, 3]):
+        rows += [(f"{part}-{k}", f"{part}-{(k + 1) % n}", n) for k in range(n)]  # a circle of n nodes
+    table = pa.table({"a": [r[0] for r in rows], "b": [r[1] for r in rows], "x": [r[0] for r in rows], "y": [r[1] for r in rows], "n": pa.array([r[2] for r in rows], pa.int64())})
+    out = [tuple(r.values()) for b in graphs._within(8)(iter(table.to_batches(size))) for r in b.to_pylist()]
+    roots = {a: root for a, b, root in out if root is not None}
+    assert sorted((a, b) for a, b, root in out if root is None) == sorted(r[:2] for r in rows if r[2] > 8)
+    assert set(roots) == {r[0] for r in rows if r[2] <= 8} and all(roots[r[0]] == roots[r[1]] for r in rows if r[2] <= 8) and len(set(roots.values())) == 6
