@@ -10,6 +10,7 @@ import random
 
 import duckdb
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,6 +321,21 @@ def test_port_compatibility_of_one_type(spark, tmp_path):
     assert df.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
 
 
+def test_port_compatibility_writes_little_per_pair(spark, tmp_path):
+    """Pairs that differ by their input alone lie together, so files of all pairs are small; nulls score no points, and a null type or key has no pair."""
+    from loomtrail.plans import joins
+
+    rows = [(k if k % 701 else None, "T" if k % 97 else None, k * 7919 % 5 or None, f"B{k * 104729 % 4}" if k % 3 else None) for k in range(1, 4001)]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_size int, p_brand string").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    joins.port_compatibility(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    typed = [r for r in rows if r[0] and r[1]]
+    want = sorted((a, b, 50 + 30 * (x is not None and x == y) + 20 * (u is not None and u == v)) for a, _, x, u in typed if a % 20 == 0 for b, _, y, v in typed if a != b)
+    out = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert list(zip(*(out.sort_values(["src", "dst"])[c].tolist() for c in ("src", "dst", "score")), strict=True)) == want
+    runs = [sum(1 for _ in itertools.groupby(zip(*(t[c].to_pylist() for c in ("src", "score")), strict=True))) for t in map(pq.read_table, (tmp_path / "out").glob("*.parquet"))]
+    assert len(runs) > 4 and sum(runs) < len(want) / 8
+
+
 def test_chains_of_tasks_that_fit_take_no_rounds(spark, monkeypatch):
     """Whole tasks are followed in one pass, in several chunks, or by rounds where they are larger than a chunk, with one result."""
     rng = random.Random(5)
